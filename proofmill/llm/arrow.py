@@ -26,7 +26,7 @@ def binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.large_binary()).cast(pa.binary()) if sum(map(len, values)) < 2**31 else pa.array(values, pa.large_binary())
 
 
-def with_fields(schema: StructType, **kinds: str) -> StructType:
+def with_fields(schema: StructType, **kinds) -> StructType:
     """A new schema: the fields of ``schema``, then the named ones."""
     out = StructType(list(schema.fields))
     for name, kind in kinds.items():

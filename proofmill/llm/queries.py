@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import language
+from proofmill.llm import bpe, language
 from proofmill.tables import table
 
 QUERIES: dict = {}
@@ -28,3 +29,15 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(remainder(3) == 1, F.lit(False))
     model = language.fit(docs.where(~held))
     return language.identify(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+
+
+#: The vocabularies' folder is a package of the environment; its files are named by the contract.
+RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).drop("text")
+    both = bpe.decode(ids, RANKS, public_tokenizers.PATTERN)
+    return both.select("doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
