@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import bpe, language
+from proofmill.llm import bpe, language, packing
 from proofmill.tables import table
 
 QUERIES: dict = {}
@@ -41,3 +41,8 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).drop("text")
     both = bpe.decode(ids, RANKS, public_tokenizers.PATTERN)
     return both.select("doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), JSON, public_tokenizers.PATTERN)
