@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import bpe, chat, language, packing
+from proofmill.llm import bpe, chat, language, packing, secrets
 from proofmill.tables import table
 
 QUERIES: dict = {}
@@ -59,3 +59,10 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read.select(F.col("conv_id").alias("id"), F.size("turns").cast("bigint").alias("n_turns"), joined(lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))).alias("whole"), joined(lambda t: F.coalesce(t["loss_text"], F.lit(""))).alias("loss"))
     sizes = out.groupBy("conv_id").agg(F.sum(F.char_length("formatted")).alias("formatted_chars"), F.count("*").alias("n_windows"))
     return read.join(sizes, F.col("id").eqNullSafe(F.col("conv_id"))).select("conv_id", "n_turns", F.sha2("whole", 256).alias("turns_sha256"), F.char_length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_windows")
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.concat("base", "linked")).alias("spans"))
