@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import bpe, chat, language, packing, secrets
+from proofmill.llm import bpe, chat, language, packing, secrets, toxicity
 from proofmill.tables import table
 
 QUERIES: dict = {}
@@ -66,3 +66,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.concat("base", "linked")).alias("spans"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(remainder(4) == 2, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held)
+    model = toxicity.fit(docs.where(~held), labels)
+    scored = toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
