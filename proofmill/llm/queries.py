@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import bpe, chat, language, packing, secrets, toxicity
+from proofmill.llm import bpe, chat, language, packing, secrets, topk, toxicity
 from proofmill.tables import table
 
 QUERIES: dict = {}
@@ -76,3 +76,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs.where(~held), labels)
     scored = toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors.where(F.col("vec_id") % 20 == 0), vectors)
