@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import bpe, chat, language, packing, secrets, topk, toxicity
+from proofmill.llm import bpe, chat, language, neardup, packing, secrets, topk, toxicity
 from proofmill.tables import table
 
 QUERIES: dict = {}
@@ -82,3 +82,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
     return topk.search(vectors.where(F.col("vec_id") % 20 == 0), vectors)
+
+
+@query
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
