@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,11 +28,15 @@ from proofmill.llm.arrow import batched, with_fields
 #: A space between two other characters that are no white space: no match of the pattern holds both sides.
 SPLIT = re.compile(r"(?<!\s) (?!\s)")
 #: Entries a worker keeps of each of the two caches before it starts them anew.
-CACHE = 400_000
+CACHE = 600_000
 #: Matches and chunks longer than this are encoded each time, so the caches stay small.
 LONGEST = 64
 
 
+class _Irregular(Exception):
+    """White space beside a space: the text must be split with more care."""
+
+
 @lru_cache(1)
 def byte_alphabet() -> list[str]:
     """The character of each byte: printable Latin-1 bytes stand for themselves, the others follow from 256 on."""
@@ -53,6 +58,22 @@ def _merges(ranks: dict[bytes, int]) -> Iterator[tuple[bytes, bytes]]:
             yield parts[0], parts[1]
 
 
+class _Kept(dict):
+    """Packed ids of texts, made by ``make`` as they come; packed on little-endian machines."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.make(text)
+        if len(text) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[text] = ids
+        return ids
+
+
 class ByteBpe:
     """Encoder and byte table of one vocabulary; made once in each worker process by ``load``."""
 
@@ -75,43 +96,42 @@ class ByteBpe:
             table, self.added = {v: k for k, v in ranks.items()}, []
         self.table = [table.get(i, b"") for i in range(max(table, default=-1) + 1)]
         self.sizes = np.array([len(x) for x in self.table], dtype=np.int64)
-        self.chunks: dict[str, bytes] = {}
-        self.matches: dict[str, bytes] = {}
+        # the bytes of a text as Latin-1 characters, to the characters that stand for them
+        self.alphabet = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
+        self.model = self.tokenizer.model
+        self.chunks = _Kept(self._chunk)
+        self.matches = _Kept(self._match)
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk, from the ids of its matches of the pattern."""
-        parts = []
-        for match in self.pattern.findall(chunk):
-            ids = self.matches.get(match)
-            if ids is None:
-                ids = self._encode(match)
-                if len(match) <= LONGEST:
-                    if len(self.matches) >= CACHE:
-                        self.matches.clear()
-                    self.matches[match] = ids
-            parts.append(ids)
-        return b"".join(parts)
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _match(self, match: str) -> bytes:
+        """Ids of one match of the pattern: the model alone, without another split."""
+        return array("I", [t.id for t in self.model.tokenize(match.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+
+    def _chunk(self, word: str) -> bytes:
+        """Ids of a space and a word behind it."""
+        if word.isalpha():
+            return self._match(" " + word)
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Irregular
+        return self._matches(" " + word)
+
+    def _matches(self, part: str) -> bytes:
+        return b"".join(map(self.matches.__getitem__, self.pattern.findall(part)))
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text."""
         if any(t in text for t in self.added):
             return self._encode(text)
-        words = SPLIT.split(text)
-        out, kept = [], self.chunks
-        for i, word in enumerate(words):
-            key = " " + word if i else word
-            ids = kept.get(key)
-            if ids is None:
-                ids = self._chunk(key)
-                if len(key) <= LONGEST:
-                    if len(kept) >= CACHE:
-                        kept.clear()
-                    kept[key] = ids
-            out.append(ids)
-        return b"".join(out)
+        first, *words = text.split(" ")
+        try:
+            if first[-1:].isspace() or not first and words:
+                raise _Irregular
+            return self._matches(first) + b"".join(map(self.chunks.__getitem__, words))
+        except _Irregular:
+            first, *words = SPLIT.split(text)
+            return self._matches(first) + b"".join([self._matches(" " + w) for w in words])
 
     def decode(self, ids_le: bytes) -> bytes:
         """Bytes of packed ids; an id that the table lacks is an error."""
@@ -132,7 +152,7 @@ def load(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = False, rows: int = 2000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = False, rows: int = 1000) -> DataFrame:
     """``docs`` with ``ids_le`` (binary: packed ids of the whole text), and ``offsets`` if asked for.
 
     ``offsets`` has the index of the character in which each id starts. A null text counts as
@@ -149,7 +169,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets
     return kept.mapInArrow(batched(rows, run), with_fields(kept.schema, ids_le="binary", **({"offsets": ArrayType(LongType())} if offsets else {})))
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids_le", rows: int = 2000) -> DataFrame:
+def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids_le", rows: int = 1000) -> DataFrame:
     """``encoded`` with ``decoded`` (binary: the bytes of all ids joined); null ids give null.
 
     ``text_of("decoded")`` makes characters of them.
