@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import bpe, chat, language, neardup, packing, secrets, topk, toxicity
+from proofmill.llm import bpe, chat, jaccard, language, neardup, packing, secrets, topk, toxicity
 from proofmill.tables import table
 
 QUERIES: dict = {}
@@ -87,3 +87,8 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
