@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from proofmill.llm.arrow import with_fields
 from proofmill.tables import cut
@@ -336,6 +337,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return joined.mapInArrow(strip, with_fields(joined.select(*names).schema, n_bytes="long", n_removed="long", n_spans="long", kept="binary"))
 
 
+@F.pandas_udf(StringType())
+def whole_characters(kept: pd.Series) -> pd.Series:
+    """Bytes as text, without the rests of characters that lost a byte."""
+    return kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
+
+
 def _merged(runs: str):
     """Sorted runs of window starts, those whose bytes overlap or touch as one."""
     empty = F.array().cast("array<struct<low:bigint,high:bigint>>")
