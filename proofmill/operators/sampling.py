@@ -70,11 +70,15 @@ def input_dtypes(mix: Column, n: Column, u: Column) -> Column:
     same = F.when(mix == "fp16_only", "float16").when(mix == "bf16_only", "bfloat16").otherwise("float32")
     out = F.array_repeat(same, n)
     for name, (a, b) in pairs.items():
-        side = lambda i, a=a, b=b: F.when((i + (u >= 0.5).cast("int")) % 2 == 0, a).otherwise(b)
-        out = F.when(mix == name, F.transform(F.sequence(F.lit(0), n - 1), side)).otherwise(out)
+        places = F.transform(F.sequence(F.lit(0), n - 1), _alternating(a, b, u))
+        out = F.when(mix == name, places).otherwise(out)
     return out
 
 
+def _alternating(a: str, b: str, u: Column):
+    return lambda i: F.when((i + (u >= 0.5).cast("int")) % 2 == 0, a).otherwise(b)
+
+
 def sample_specs(observations: DataFrame, total: int, seed: str, allowed: list[str] | None = None, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """E5: distinct skeleton specs to quota, and a report ``op_category, quota, n, capped`` of what was reached.
 

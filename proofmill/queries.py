@@ -739,7 +739,7 @@ def a10_speedup_map(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(h.speedup_map(av.eval_rows(spark, sf)))
 
 
-@query("SELECT model_label, tier, final_outcome, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY model_label, tier), 6) AS p FROM last_rows GROUP BY ALL", av.EVAL_SQL)
+@query("SELECT model_label, tier, final_outcome, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY model_label, tier), 6) AS p FROM last_rows GROUP BY model_label, tier, final_outcome", av.EVAL_SQL)
 def a11_conditional_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(d.conditional(_last(spark, sf)))
 
@@ -759,7 +759,7 @@ def a14_bootstrap_median(spark: SparkSession, sf: str) -> DataFrame:
     return d.bootstrap_median(_last(spark, sf), "model_label", "speedup_vs_inductor", "example_id", replicates=400)
 
 
-@query("SELECT op_category, final_outcome, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY op_category), 6) AS p FROM outcome GROUP BY ALL", av.ATTEMPT_SQL)
+@query("SELECT op_category, final_outcome, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY op_category), 6) AS p FROM outcome GROUP BY op_category, final_outcome", av.ATTEMPT_SQL)
 def a15_category_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     rows = _outcomes(spark, sf).withColumn("model_label", F.lit("all"))
     return rounded(d.conditional(rows, given="op_category")).drop("model_label")
