@@ -4,8 +4,8 @@ Documents with equal shingle sets are one class. Rows of the document by n-gram
 ordered by rarity; only the first columns of a row can decide whether a partner exists, so the
 sparse product runs over those. It adds up shared columns for each pair of classes, block by block
 of columns, and drops pairs whose count stays below what their sizes ask for. Columns that very
-many classes share are not multiplied out: their classes are compared with a few pivots, and then
-only across components and within the triangle inequality of the Jaccard distance.
+many classes share would make too many pairs: their classes form crowds, which are compared with a
+few pivots first; only what still lies apart in a crowd is multiplied, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.llm.components import components
-from proofmill.tables import cut, drop
+from proofmill.tables import cut
 
 #: Odd 64-bit multipliers of the places in a shingle.
 PLACES = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3) + 4 * i) % 2**64 | 1) for i in range(64)]
@@ -28,6 +28,8 @@ SHIFTS = (np.uint64(31), np.uint64(29))
 SLOTS, SLICE = 1 << 20, 1 << 16
 #: Columns with more classes than this go by pivots; pivots of such a column.
 WIDE, PIVOTS = 32, 8
+#: Classes of a block outside the largest component of a crowd, and of a block of the whole crowd.
+MINOR, BLOCK = 512, 2048
 #: Sides up to this many rows (of ids only) are broadcast; larger ones are shuffled.
 SMALL = 1_000_000
 
@@ -78,14 +80,13 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
         words, counts = _Words(), np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
-            ids, sizes, marks = batch.column(0), [], []
+            ids, sizes, marks, places = batch.column(0), [], [], [np.zeros(0, np.int64)]
             for text in batch.column(1).to_pylist():
                 s = shingles(text, words, size)
-                counts += np.bincount((s >> np.uint64(44)).astype(np.int64), minlength=SLOTS) if len(s) > SLOTS // 8 else 0
-                if len(s) <= SLOTS // 8:
-                    np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), 1)
+                places.append((s >> np.uint64(44)).astype(np.int64))
                 sizes.append(len(s))
                 marks.append(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64) if len(s) else None)
+            counts += np.bincount(np.concatenate(places), minlength=SLOTS)
             none = pa.nulls(len(sizes), pa.int32())
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), none, pa.nulls(len(sizes), pa.binary())], names=["doc_id", "n_shingles", "fp", "slice", "counts"])
         parts = SLOTS // SLICE
@@ -174,7 +175,8 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id",
 
     # columns that rows of two classes or more have among their first
     posted = _first_columns(rows, sketch, size, percent).repartition("gram")
-    shared = posted.groupBy("gram").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("gram")
+    # n is asked for on both sides, so that they read the same exchange
+    shared = posted.groupBy("gram").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.min("n").alias("least")).where("low <> high and least > 0").select("gram")
     live = cut(posted.join(shared, "gram").distinct())
     widths = live.groupBy("gram").agg((F.count("*") > WIDE).alias("wide"))
     live_w = live.join(widths, "gram")
@@ -189,18 +191,22 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id",
     needed = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent) - 1e-9)
     product = cut(product.where(F.col("count") + F.least("ha", "hb") + F.greatest(rest("na"), rest("nb")) >= needed).select("a", "b", "count"))
 
-    # wide columns: every class against a few pivots of the column
-    salted, whole = Window.partitionBy("gram", F.pmod("fp", F.lit(64))).orderBy("fp"), Window.partitionBy("gram").orderBy("fp")
-    pivots = wide.withColumn("k", F.row_number().over(salted)).where(F.col("k") <= PIVOTS).withColumn("k", F.row_number().over(whole)).where(F.col("k") <= PIVOTS)
-    pivots = pivots.select("gram", F.col("fp").alias("pivot"), F.col("n").alias("np"))
-    starred = wide.join(pivots, "gram").where(F.col("fp") != F.col("pivot")).where(_fits("n", "np", percent)).select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
+    # classes tied by wide columns form crowds: every class against a few pivots, those of most wide columns
+    lowest = wide.groupBy("gram").agg(F.min("fp").alias("low"))
+    crowds = components(wide.join(lowest, "gram").select("fp", "low"), "fp", "low").withColumnsRenamed({"id": "fp", "component": "crowd"})
+    crowd = cut(wide.groupBy("fp").agg(F.count("*").alias("heavy"), F.first("n").alias("n")).join(crowds, "fp"))
+    order = [F.desc("heavy"), "fp"]
+    salted, whole = Window.partitionBy("crowd", F.pmod("fp", F.lit(64))).orderBy(*order), Window.partitionBy("crowd").orderBy(*order)
+    pivots = crowd.withColumn("k", F.row_number().over(salted)).where(F.col("k") <= PIVOTS).withColumn("k", F.row_number().over(whole)).where(F.col("k") <= PIVOTS)
+    pivots = _small(cut(pivots.select("crowd", F.col("fp").alias("pivot"), F.col("n").alias("np"))))
+    starred = crowd.join(pivots, "crowd").where(F.col("fp") != F.col("pivot")).where(_fits("n", "np", percent)).select(F.col("pivot").alias("a"), F.col("fp").alias("b"))
 
     # each class with its best partner and the pivots first; then only what still lies apart
     either = product.select("a", "b", "count").union(product.select(F.col("b").alias("a"), F.col("a").alias("b"), "count"))
     best = either.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     starred = cut(starred)
     ends = product.select("a", "b").union(starred)
-    asked = cut(ends.select(F.col("a").alias("fp")).union(ends.select("b")).distinct())
+    asked = cut(ends.select(F.col("a").alias("fp")).union(ends.select("b")).union(crowd.select("fp")).distinct())
     holders = members.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     holders = cut(holders.join(asked, "fp"))
 
@@ -216,15 +222,13 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id",
     first = cut(_verified(cut(best.union(starred.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()), incidence))
     near = components(first.where(_linked(percent)))
 
-    # what is left: pairs of the product across components, and classes of wide columns outside its largest component
+    # what is left: pairs of the product across components, and in each crowd the classes outside its largest component
     label = near.select(F.col("id").alias("fp"), "component")
-    apart = lambda df: df.join(label.select(F.col("fp").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("fp").alias("b"), F.col("component").alias("cb")), "b", "left").where(~(F.coalesce("ca", "a") == F.coalesce("cb", "b"))).select("a", "b")
-    placed = cut(wide.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
-    main = placed.groupBy("gram", "component").agg(F.count("*").alias("k")).groupBy("gram").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    minor = placed.join(main, "gram").where("component <> main").select("gram", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    across = minor.join(placed.select("gram", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")), "gram").where(F.col("ca") != F.col("cb")).where(_fits("na", "nb", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = _verified(cut(_apart_by_triangle(apart(product).union(across).distinct(), first, percent).join(first.select("a", "b"), ["a", "b"], "left_anti")), incidence)
-    edges = first.where(_linked(percent)).select("a", "b").union(second.where(_linked(percent)).select("a", "b"))
+    apart = product.select("a", "b").join(label.select(F.col("fp").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("fp").alias("b"), F.col("component").alias("cb")), "b", "left")
+    apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = _verified(cut(apart), incidence)
+    placed = cut(crowd.join(label, "fp", "left").select("fp", "crowd", F.coalesce("component", "fp").alias("component")))
+    edges = first.where(_linked(percent)).select("a", "b").union(second.where(_linked(percent)).select("a", "b")).union(_across(placed, incidence, percent))
     final = components(edges)
 
     classes = members.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("low"))
@@ -232,21 +236,49 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id",
     lows = classes.groupBy("component").agg(F.min("low").alias("component_id"))
     named = classes.join(lows, "component").select("fp", "component_id")
     out = members.join(named, "fp", "left")
-    drop(placed)
     return out.select(F.col("doc_id").alias(key), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _apart_by_triangle(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs that a common pivot doesn't prove to be too far apart.
+def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components of a crowd (fp, crowd, component), at least one for each class and component it links to.
 
-    1 - similarity is a metric: if the distances of a and b to one set differ by more than the
-    largest distance of a link, a and b don't link. Each class brings its nearest known set.
+    Classes outside the largest component meet all classes of the crowd, in blocks of bounded size:
+    a task multiplies the incidence of two blocks and adds up overlaps. Crowds of one component are done.
     """
-    distance = 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    sided = known.withColumn("d", distance)
-    both = sided.select(F.col("a").alias("pivot"), F.col("b").alias("fp"), "d").union(sided.select(F.col("b").alias("pivot"), F.col("a").alias("fp"), "d"))
-    nearest = both.groupBy("fp").agg(F.min_by(F.struct("pivot", "d"), F.struct("d", "pivot")).alias("x"))
-    tested = pairs.join(nearest.select(F.col("fp").alias("a"), F.col("x.pivot").alias("pivot"), F.col("x.d").alias("da")), "a", "left")
-    tested = tested.join(both.select("pivot", F.col("fp").alias("b"), F.col("d").alias("db")), ["pivot", "b"], "left")
-    far = F.abs(F.col("da") - F.col("db")) > 1 - percent / 100 + 1e-9
-    return tested.where(~F.coalesce(far, F.lit(False))).select("a", "b")
+    main = placed.groupBy("crowd", "component").agg(F.count("*").alias("k")).groupBy("crowd").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("n"), F.max("k").alias("k"))
+    open_ = main.where("n > k").withColumns({"minors": F.ceil((F.col("n") - F.col("k")) / MINOR), "blocks": F.ceil(F.col("n") / BLOCK)})
+    rows = placed.join(open_, "crowd").join(sets, "fp")
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        join = lambda c: group[c].to_numpy(np.int64).tobytes()
+        size = group["members"].map(len).to_numpy(np.int64) // 8
+        return pd.DataFrame({"crowd": [group["crowd"].iloc[0]], "at": [group["at"].iloc[0]], "over": [group["over"].iloc[0]], "fps": [join("fp")], "components": [join("component")], "sizes": [size.tobytes()], "members": [b"".join(group["members"])]})
+
+    def blocks(part: DataFrame, own: str, over: str) -> DataFrame:
+        dealt = part.select("crowd", F.pmod(F.xxhash64("fp"), F.col(own)).alias("at"), F.col(over).alias("over"), "fp", "component", "members")
+        packed = dealt.groupBy("crowd", "at", "over").applyInPandas(pack, "crowd long, at long, over long, fps binary, components binary, sizes binary, members binary")
+        return packed.select("crowd", "at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("over") - 1)).alias("other"), F.struct("fps", "components", "sizes", "members").alias("x"))
+
+    left = blocks(rows.where("component <> main"), "minors", "blocks").select("crowd", F.col("at").alias("i"), F.col("other").alias("j"), F.col("x").alias("a"))
+    right = blocks(rows, "blocks", "minors").select("crowd", F.col("at").alias("j"), F.col("other").alias("i"), F.col("x").alias("b"))
+
+    def multiply(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                (fa, ca, sa), (fb, cb, sb) = ([np.frombuffer(row[x][c], dtype=np.int64) for c in ("fps", "components", "sizes")] for x in "ab")
+                a, b = (np.frombuffer(row[x]["members"], dtype=np.uint64) for x in "ab")
+                columns = np.unique(a)
+                place = np.searchsorted(columns, b)
+                hit = columns[np.minimum(place, len(columns) - 1)] == b
+                place = np.where(hit, place, len(columns))
+                starts, out = np.cumsum(sb) - sb, []
+                for k, (at, n) in enumerate(zip((np.cumsum(sa) - sa).tolist(), sa.tolist(), strict=True)):
+                    mark = np.zeros(len(columns) + 1, dtype=np.int32)
+                    mark[np.searchsorted(columns, a[at : at + n])] = 1
+                    shared = np.add.reduceat(mark[place], starts)
+                    near = (shared * 100 >= (n + sb - shared) * percent) & (cb != ca[k])
+                    _, first = np.unique(cb[near], return_index=True)
+                    out += [(fa[k], x) for x in fb[near][first].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+
+    return left.join(right, ["crowd", "i", "j"]).select("a", "b").mapInArrow(multiply, "a long, b long")
