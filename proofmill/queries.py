@@ -13,6 +13,7 @@ from proofmill.operators import attempts as att
 from proofmill.operators import constraints, records, sampling, training
 from proofmill.plans import describe as d
 from proofmill.plans import hypothesis as h
+from proofmill.streaming import feeds
 from proofmill.tables import table
 
 QUERIES: dict = {}
@@ -903,3 +904,36 @@ _MDE = (h.tails.NORMAL.inv_cdf(0.975) + h.tails.NORMAL.inv_cdf(0.8)).__repr__()
 )
 def p3_mde_table(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(h.mde_table(av.eval_rows(spark, sf)), "mde_h", "mde_delta_p")
+
+
+# --- streams ---------------------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table as a stream: the pattern matches a single file and a folder alike. Event times become instants."""
+    rows = spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
+
+
+@query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
+def r2_first_seen(spark: SparkSession, sf: str) -> DataFrame:
+    seen = feeds.first_seen(_stream(spark, sf, "events"), ["user_id", "event_type"])
+    return feeds.drain(seen).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT final_outcome, n_attempts, count(*) AS n FROM (SELECT CASE WHEN passed > 0 THEN 'compiled_correct' WHEN compared > 0 THEN 'numeric_fail' ELSE 'runtime_fail' END AS final_outcome, n_attempts FROM (SELECT p_brand, count(*) FILTER (s = 'passed' AND r <= 3) AS passed, count(s) FILTER (r <= 3) AS compared, least(coalesce(min(r) FILTER (s = 'passed' AND r <= 3), 3), 3) AS n_attempts FROM (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r, CASE p_size % 3 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' END AS s FROM part) WHERE r <= 3 GROUP BY 1)) GROUP BY ALL")
+def r3_attempt_fold(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size") % 3
+    rows = _stream(spark, sf, "part").select(F.col("p_brand").alias("dataset_id"), F.col("p_partkey").alias("attempt_n"), F.lit("success").alias("compile_status"), F.when(size == 0, "passed").when(size == 1, "failed").alias("correctness_status"), F.timestamp_seconds(F.lit(1700000000)).alias("ts"))
+    return feeds.drain(feeds.fold_attempts(rows)).groupBy("final_outcome", F.col("n_attempts").cast("bigint").alias("n_attempts")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id AS job_id, arg_max(event_type, ts) AS status, max(ts) AS ts, min(ts) AS first_ts FROM events GROUP BY 1")
+def r4_status_fold(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _stream(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), "ts")
+    return feeds.drain(feeds.fold_status(rows), "complete").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "first_ts")})
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def r6_windowed_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return feeds.drain(feeds.rates(_stream(spark, sf, "events"), "event_type", "1 day"), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
