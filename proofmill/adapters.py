@@ -14,10 +14,10 @@ EVAL_SQL = """ev AS (SELECT *, CAST(json_extract_string(props,'$.k') AS INT) AS
 eval_rows AS (SELECT event_id AS seq, event_type AS model_label, concat('ex', CAST(user_id AS VARCHAR)) AS example_id, ts, k,
   CASE WHEN user_id % 4 = 0 THEN 'easy' WHEN user_id % 4 = 3 THEN 'hard' ELSE 'medium' END AS tier,
   CASE WHEN k < 5 THEN 'compile_fail' WHEN k < 10 THEN 'runtime_fail' WHEN k < 15 THEN 'correctness_failed'
-       WHEN 40.0/value >= 1.1 THEN 'compiled_correct_faster_than_inductor'
-       WHEN 40.0/value >= 1.0 THEN 'compiled_correct_parity' ELSE 'compiled_correct_slow' END AS final_outcome,
+       WHEN 40.0/greatest(value, 0.01) >= 1.1 THEN 'compiled_correct_faster_than_inductor'
+       WHEN 40.0/greatest(value, 0.01) >= 1.0 THEN 'compiled_correct_parity' ELSE 'compiled_correct_slow' END AS final_outcome,
   CASE WHEN k >= 15 THEN 0 END AS final_winning_attempt_n,
-  CASE WHEN k >= 15 THEN 40.0/value END AS speedup_vs_inductor, CASE WHEN k >= 15 THEN 55.0/value END AS speedup_vs_eager, value AS triton_ms FROM ev),
+  CASE WHEN k >= 15 THEN 40.0/greatest(value, 0.01) END AS speedup_vs_inductor, CASE WHEN k >= 15 THEN 55.0/greatest(value, 0.01) END AS speedup_vs_eager, value AS triton_ms FROM ev),
 last_rows AS (SELECT * FROM eval_rows QUALIFY row_number() OVER (PARTITION BY model_label, example_id ORDER BY seq DESC) = 1)"""
 ATTEMPT_SQL = """numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem),
 all_attempts AS (SELECT CAST(l_orderkey AS VARCHAR) AS dataset_id, CAST(o_custkey AS VARCHAR) AS example_id, o_orderpriority AS op_category, n - 1 AS attempt_n,
@@ -41,10 +41,10 @@ CODE_SQL = """code AS (SELECT p_partkey AS seq, p_size, concat('import torch', c
 def eval_rows(spark: SparkSession, d: str) -> DataFrame:
     """AV1: results of five labels; a label may have several rows of an example, the last by ``seq`` counts."""
     e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    ratio, won = F.lit(40.0) / F.col("value"), F.col("k") >= 15
+    ratio, won = F.lit(40.0) / F.greatest("value", F.lit(0.01)), F.col("k") >= 15
     outcome = F.when(F.col("k") < 5, "compile_fail").when(F.col("k") < 10, "runtime_fail").when(~won, "correctness_failed").when(ratio >= 1.1, "compiled_correct_faster_than_inductor").when(ratio >= 1.0, "compiled_correct_parity").otherwise("compiled_correct_slow")
     tier = F.when(F.col("user_id") % 4 == 0, "easy").when(F.col("user_id") % 4 == 3, "hard").otherwise("medium")
-    return e.select(F.col("event_id").alias("seq"), F.col("event_type").alias("model_label"), F.concat(F.lit("ex"), F.col("user_id").cast("string")).alias("example_id"), "ts", "k", tier.alias("tier"), outcome.alias("final_outcome"), F.when(won, 0).alias("final_winning_attempt_n"), F.when(won, ratio).alias("speedup_vs_inductor"), F.when(won, F.lit(55.0) / F.col("value")).alias("speedup_vs_eager"), F.col("value").alias("triton_ms"))
+    return e.select(F.col("event_id").alias("seq"), F.col("event_type").alias("model_label"), F.concat(F.lit("ex"), F.col("user_id").cast("string")).alias("example_id"), "ts", "k", tier.alias("tier"), outcome.alias("final_outcome"), F.when(won, 0).alias("final_winning_attempt_n"), F.when(won, ratio).alias("speedup_vs_inductor"), F.when(won, F.lit(55.0) / F.greatest("value", F.lit(0.01))).alias("speedup_vs_eager"), F.col("value").alias("triton_ms"))
 
 
 def attempts(spark: SparkSession, d: str, limit: int | None = 3) -> DataFrame:
