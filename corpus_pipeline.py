@@ -31,6 +31,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     is found for it, whatever its label says.
     """
     model = language.fit(docs)
+    if not model.langs:  # nothing to learn from: only texts without letters go
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return _columns(language.identify(docs, model).where(F.col("lang_pred") != language.UNDETERMINED), docs)
 
 
