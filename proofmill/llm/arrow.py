@@ -21,9 +21,11 @@ def batched(rows: int, f: Callable[[pa.RecordBatch], pa.RecordBatch]):
     return run
 
 
-def binary(values: list[bytes]) -> pa.Array:
-    """Binary values with 64-bit offsets, so that a batch may pass 2 GB."""
-    return pa.array(values, pa.large_binary()).cast(pa.binary()) if sum(map(len, values)) < 2**31 else pa.array(values, pa.large_binary())
+def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows, so that what a worker derives of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def with_fields(schema: StructType, **kinds) -> StructType:

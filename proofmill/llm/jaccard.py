@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofmill.llm.arrow import slices
 from proofmill.llm.components import components
 from proofmill.tables import cut
 
@@ -28,6 +29,8 @@ SHIFTS = (np.uint64(31), np.uint64(29))
 SLOTS, SLICE = 1 << 20, 1 << 16
 #: Columns with more classes than this go by pivots; pivots of such a column.
 WIDE, PIVOTS = 32, 8
+#: Words whose hashes a worker keeps, and rows that it takes at a time.
+KEPT, ROWS = 150_000, 500
 #: Classes of a block outside the largest component of a crowd, and of a block of the whole crowd.
 MINOR, BLOCK = 512, 2048
 #: Sides up to this many rows (of ids only) are broadcast; larger ones are shuffled.
@@ -38,7 +41,7 @@ class _Words(dict):
     """64-bit hashes of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > KEPT:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
@@ -79,14 +82,14 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         words, counts = _Words(), np.zeros(SLOTS, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             ids, sizes, marks, places = batch.column(0), [], [], [np.zeros(0, np.int64)]
             for text in batch.column(1).to_pylist():
                 s = shingles(text, words, size)
                 places.append((s >> np.uint64(44)).astype(np.int64))
                 sizes.append(len(s))
                 marks.append(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64) if len(s) else None)
-            counts += np.bincount(np.concatenate(places), minlength=SLOTS)
+            np.add.at(counts, *np.unique(np.concatenate(places), return_counts=True))
             none = pa.nulls(len(sizes), pa.int32())
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), none, pa.nulls(len(sizes), pa.binary())], names=["doc_id", "n_shingles", "fp", "slice", "counts"])
         parts = SLOTS // SLICE
@@ -120,7 +123,7 @@ def _first_columns(docs: DataFrame, sketch, size: int, percent: int) -> DataFram
 
     def run(batches):
         words, rarity = _Words(), sketch.value
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             grams, marks, sizes = [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingles(text, words, size)
@@ -144,7 +147,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with ``shared`` (exact overlap) and both sizes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             rows = [np.frombuffer(x, dtype=np.uint64) for c in (2, 3) for x in batch.column(c).to_pylist()]
             n = batch.num_rows
             shared = [len(np.intersect1d(rows[i], rows[n + i], assume_unique=True)) for i in range(n)]
@@ -212,7 +215,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id",
 
     def gather(batches):
         words = _Words()
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             found = [shingles(t, words, size) for t in batch.column(1).to_pylist()]
             marks = [np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64) for s in found]
             right = np.array(marks, dtype=np.int64) == batch.column(0).to_numpy()

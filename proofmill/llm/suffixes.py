@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from proofmill.llm.arrow import with_fields
+from proofmill.llm.arrow import slices, with_fields
 from proofmill.tables import cut
 
 #: Bytes of a repeated string, and of the strings whose hashes choose where it is compared.
@@ -29,10 +29,12 @@ SHALLOW = 64
 #: Groups with more contexts than this are compared by hashes of windows instead, dealt out again.
 HOT = 20_000
 #: Most contexts that are sorted together, unless one group has more.
-CHUNK = 20_000
+CHUNK = 10_000
 #: Least and most bits of the Bloom filter, its odd multipliers, and bytes of one row of it.
 BITS, CELLS, SLICE = (20, 31), [(0xC2B2AE3D27D4EB4F * (2 * i + 3) + 2 * i) % 2**64 | 1 for i in range(3)], 1 << 16
 SMALL = 1_000_000
+#: Rows that a worker takes at a time.
+ROWS = 500
 FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << j, 2**64)) for j in range(5)]
 
 
@@ -179,7 +181,7 @@ def _hashes(docs: DataFrame) -> DataFrame:
     """Hashes of all runs with their number in each batch."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             found = [anchors(np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8))[0] for t in batch.column(0).to_pylist()]
             values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["hash", "n"])
@@ -198,7 +200,7 @@ def _contexts(docs: DataFrame, bloom, bits: int) -> DataFrame:
 
     def run(batches):
         table = bloom.value
-        for batch in batches:
+        for batch in slices(batches, 4 * ROWS):
             rows = sorted({r[:2]: r for r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)}.values(), key=lambda r: r[:2])
             out, seen = [[] for _ in range(7)], set()
             for doc, mark, text in rows:
@@ -319,7 +321,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     names = [c for c in joined.columns if c != "runs"]
 
     def strip(batches):
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             out = [[] for _ in range(4)]
             for t, runs in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index("runs")).to_pylist(), strict=True):
                 raw = (t or "").encode("utf-8", "surrogatepass")
