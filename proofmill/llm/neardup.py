@@ -1,8 +1,9 @@
 """Near-duplicate vectors: hierarchical navigable small-world graphs, one for each shard.
 
 A shard holds a bounded number of vectors of one label. Every vector asks every shard of its label.
-A sample of the queries of each shard pair is held against brute force; while the recall of links is
-too low, the beam is widened for all. Links count only if the cosine in double precision reaches the
+A sample of the queries of each shard pair is held against brute force, a vector's match with itself
+left out; while the recall of links (of nearest vectors where links are rare) is too low, the beam is
+widened for all. Links count only if the cosine in double precision reaches the
 threshold. Tasks return counts and spanning forests of the links they found, not all pairs.
 """
 
@@ -162,26 +163,73 @@ class Graph:
         return self.walk(queries, 0, min(beam, len(self.points)), entry, len(self.points))
 
 
-def links(graph: Graph, points: np.ndarray, queries: np.ndarray, least: float, beam: int = 32, audit: int = 64, recall: float = 0.98):
+class Audit:
+    """What brute force says of a sample of the queries: their links, and the cosine of their nearest node.
+
+    A query's own node (``own``, -1: none) counts as neither. The sample grows until ``linked`` of
+    its queries have links, or to ``most`` queries.
+    """
+
+    def __init__(self, points: np.ndarray, queries: np.ndarray, least: float, own: np.ndarray, audit: int, linked: int = 64, most: int = 1024):
+        n, count, rows, nodes, best = len(points), 0, [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+        spread = np.unique(np.linspace(0, len(queries) - 1, min(most, len(queries))).astype(int))
+        spread = np.concatenate([spread[i :: -(-len(spread) // audit)] for i in range(-(-len(spread) // audit))])
+        for at in range(0, len(spread), audit):
+            some = spread[at : at + audit]
+            cosines = queries[some] @ points.T
+            mine = np.nonzero(own[some] >= 0)[0]
+            cosines[mine, own[some[mine]]] = -np.inf
+            r, c = np.nonzero(cosines >= least)
+            rows.append(r + at)
+            nodes.append(c)
+            best.append(cosines.max(1, initial=-np.inf))
+            count += len(np.unique(r))
+            if count >= linked:
+                break
+        self.n, self.linked, self.best = n, linked // 2, np.concatenate(best)
+        self.sample = spread[: len(self.best)]
+        self.own = own[self.sample]
+        self.rows, self.links = np.concatenate(rows), np.concatenate(rows) * n + np.concatenate(nodes)
+
+    def passes(self, ids: np.ndarray, sims: np.ndarray, slack: float, recall: float) -> bool:
+        """Whether walks of the sample found the share ``recall`` of all links, and of a linked query's on average.
+
+        Where fewer than half of ``linked`` queries count, so many walks must have found a nearest
+        node, too. Queries whose whole beam is linked are left out, as they get a wider one.
+        """
+        narrow = ~(sims[:, -1] >= slack)
+        r, c = np.nonzero((sims >= slack) & (ids >= 0))
+        asked = narrow[self.rows]
+        rows, hit = self.rows[asked], np.isin(self.links[asked], r * self.n + ids[r, c])
+        total = np.bincount(rows, minlength=len(narrow))
+        found = np.bincount(rows, hit, minlength=len(narrow))
+        some = total > 0
+        if hit.sum() < recall * len(rows) or (found[some] / total[some]).sum() < recall * some.sum():
+            return False
+        if some.sum() >= self.linked:
+            return True
+        other = np.where((ids >= 0) & (ids != self.own[:, None]), sims, -np.inf).max(1)
+        return (other >= self.best - 1e-5)[narrow].sum() >= recall * narrow.sum()
+
+
+def links(graph: Graph, points: np.ndarray, queries: np.ndarray, least: float, beam: int = 32, audit: int = 64, recall: float = 0.98, own: np.ndarray | None = None):
     """Yield (query rows, node rows) of all links found, batch by batch.
 
-    The cosines of ``audit`` queries with all nodes say which links there are. While the walks find
-    a smaller share of them than ``recall``, the beam doubles. A query whose whole beam is linked
-    also gets a wider one, and a query that would need half the shard is compared with all of it.
-    ``points`` and ``queries`` are unit vectors in double precision.
+    Brute force over at least ``audit`` queries says which links there are, see ``Audit``. While the
+    walks find a smaller share of them than ``recall``, the beam doubles. A query whose whole beam is
+    linked also gets a wider one, and a query that would need half the shard is compared with all of
+    it. ``points`` and ``queries`` are unit vectors in double precision; ``own`` is each query's own
+    node (-1: none), by default that of its place if the queries are the points.
     """
     n = len(points)
     slack = np.float32(least - 1e-5)
     flat = points.astype(np.float32)
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))
-    truth = queries[sample] @ points.T >= least
+    if own is None:
+        own = np.arange(n) if queries is points else np.full(len(queries), -1)
+    held = Audit(points, queries, least, own, audit) if beam < n // 2 else None
     while beam < n // 2:
-        ids, sims = graph.search(queries[sample].astype(np.float32), beam)
-        got = np.zeros_like(truth)
-        r, c = np.nonzero((sims >= slack) & (ids >= 0))
-        got[r, ids[r, c]] = True
-        full = sims[:, -1] >= slack
-        if (got & truth)[~full].sum() >= recall * truth[~full].sum():
+        ids, sims = graph.search(queries[held.sample].astype(np.float32), beam)
+        if held.passes(ids, sims, slack, recall):
             break
         beam *= 2
     for at in range(0, len(queries), BATCH):
@@ -267,7 +315,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, shard_rows: int = 1
                 graph = Graph(points.astype(np.float32), [int(s[0]) for s in shapes], lists)
                 names, place = np.unique(np.concatenate([ids, own]), return_inverse=True)
                 count, forest = np.zeros(len(own), dtype=np.int64), Forest(len(names))
-                for q, v in links(graph, points, queries, least):
+                order = np.argsort(ids)
+                at = order[np.minimum(np.searchsorted(ids, own, sorter=order), len(ids) - 1)]
+                for q, v in links(graph, points, queries, least, own=np.where(ids[at] == own, at, -1)):
                     other = own[q] != ids[v]
                     q, v = q[other], v[other]
                     np.add.at(count, q, copies[v])

@@ -61,3 +61,46 @@ def test_frames_against_brute_force(spark):
         assert all(got[i]["n_links"] == sum(a == i for a, _ in pairs) for i in range(240))
         assert all(got[i]["n_links"] == 0 and got[i]["kept"] and got[i]["component_id"] == i for i in (900, 901, 902, 903, 904, 905)) and got[None]["kept"]
     assert neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+class Blind(neardup.Graph):
+    """Walks that find nothing but a query's own vector until the beam is wide."""
+
+    def search(self, queries, beam):
+        ids, sims = super().search(queries, beam)
+        if beam < 128:
+            lost = sims < 0.99999
+            return np.where(lost, -1, ids), np.where(lost, np.float32(-np.inf), sims)
+        return ids, sims
+
+
+def rare_pairs(n=3000, pairs=15):
+    """Unit vectors of which few, standing together, are near copies of others that stand together."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(n, 32))
+    x[1010 : 1010 + pairs] = x[10 : 10 + pairs] + r.normal(0, 0.05, (pairs, 32))
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def pairs_found(graph, points, queries):
+    return {(int(a), int(b)) for q, v in neardup.links(graph, points, queries, 0.98) for a, b in zip(q, v)}
+
+
+def test_audit_does_not_count_a_vectors_match_with_itself():
+    x = rare_pairs()
+    built = neardup.Graph.build(x.astype(np.float32))
+    want = {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.98)) if a != b}
+    assert len(want) == 30
+    for graph in (built, Blind(built.points, built.sizes, built.lists)):
+        got = {(a, b) for a, b in pairs_found(graph, x, x) if a != b}
+        assert got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_audit_of_two_shards_does_not_pass_without_links():
+    x = rare_pairs()
+    nodes, queries = x[:1000], x[1000:]
+    built = neardup.Graph.build(nodes.astype(np.float32))
+    want = set(zip(*np.nonzero(queries @ nodes.T >= 0.98)))
+    assert len(want) == 15
+    got = pairs_found(Blind(built.points, built.sizes, built.lists), nodes, queries)
+    assert got <= want and len(got) >= 0.97 * len(want)
