@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.functions import ids
+from proofmill.tables import cut
 from proofmill.vocab import OP_CATEGORY
 
 
@@ -163,6 +164,22 @@ def shuffled(rows: DataFrame, seed: str, key: str) -> DataFrame:
     return rows.orderBy(F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256), key)
 
 
+def shuffle_places(rows: DataFrame, seed: str, key: str) -> DataFrame:
+    """``rows`` with ``place``, from 1: where each stands in the order of ``shuffled``.
+
+    Rows are dealt out by range and numbered within each range; earlier ranges' totals are added.
+    """
+    order = ["_s", key]
+    dealt = rows.withColumn("_s", F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)).repartitionByRange(*order)
+    dealt = cut(dealt.withColumn("_range", F.spark_partition_id()))
+    totals = dealt.groupBy("_range").agg(F.count("*").alias("_t"))
+    before = F.sum("_t").over(Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    numbered = dealt.withColumn("_in", inside).join(F.broadcast(offsets), "_range")
+    return numbered.select(*rows.columns, (F.col("_before") + F.col("_in")).alias("place"))
+
+
 def aligned(holdout: DataFrame, results: DataFrame, key: str = "example_id", order: str = "seq") -> tuple[DataFrame, DataFrame]:
     """Both tables on the same unique keys; of repeated keys the first row stays."""
     a, b = first_per_key(holdout, [key], [order]), first_per_key(results, [key], [order])

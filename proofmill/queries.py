@@ -277,6 +277,12 @@ def j7_canonical_contamination(spark: SparkSession, sf: str) -> DataFrame:
     return records.canonical_contamination(rows, rows.where("seq <= 2")).select("seq", "in_corpus")
 
 
+@query("SELECT seq, p_size % 4 IN (SELECT p_size % 4 FROM part WHERE p_size % 2 = 0) AS in_corpus FROM code", av.CODE_SQL)
+def j7_canonical_contamination_all(spark: SparkSession, sf: str) -> DataFrame:
+    rows = av.code(spark, sf).withColumn("canonical_sha", code.canonical("pytorch_code"))
+    return records.canonical_contamination(rows, rows.where("p_size % 2 = 0")).select("seq", "in_corpus")
+
+
 @query("SELECT seq, CASE WHEN seq > min(seq) OVER (PARTITION BY code_sha) THEN substr(code_sha, 1, 12) END AS duplicate_of FROM corpus", av.CORPUS_SQL)
 def j8_self_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return records.self_dedup(av.corpus(spark, sf), "code_sha").select("seq", "duplicate_of")
@@ -367,8 +373,12 @@ def j19_best_per_source(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY sha256('7' || CAST(p_partkey AS VARCHAR)), p_partkey) AS BIGINT) AS place FROM part ORDER BY 2 LIMIT 100")
 def j20_seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
-    top = records.shuffled(table(spark, sf, "part").select("p_partkey"), "7", "p_partkey").limit(100)
-    return top.select("p_partkey", F.sha2(F.concat(F.lit("7"), F.col("p_partkey").cast("string")), 256).alias("s")).selectExpr("p_partkey", "cast(row_number() over (order by s, p_partkey) as bigint) as place")
+    return j20_seeded_shuffle_all(spark, sf).where("place <= 100")
+
+
+@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY sha256('7' || CAST(p_partkey AS VARCHAR)), p_partkey) AS BIGINT) AS place FROM part")
+def j20_seeded_shuffle_all(spark: SparkSession, sf: str) -> DataFrame:
+    return records.shuffle_places(table(spark, sf, "part").select("p_partkey"), "7", "p_partkey")
 
 
 @query("SELECT a.example_id, a.s AS seq_a, b.s AS seq_b FROM (SELECT example_id, min(seq) AS s FROM eval_rows WHERE model_label = 'click' GROUP BY 1) a JOIN (SELECT example_id, min(seq) AS s FROM eval_rows WHERE model_label = 'error' GROUP BY 1) b USING (example_id)", av.EVAL_SQL)

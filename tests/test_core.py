@@ -120,6 +120,15 @@ def test_degenerate_and_skipped_tests(spark):
     assert skipped == {"b vs a": "all pairs identical", "c vs a": None}
 
 
+def test_shuffle_gives_every_row_its_place(spark):
+    keys = [*range(700), 5, 5, None]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i int")
+    got = records.shuffle_places(rows, "7", "k").collect()
+    assert sorted(r["place"] for r in got) == list(range(1, len(keys) + 1)) and sorted(r["i"] for r in got) == list(range(len(keys)))
+    want = [None, *sorted((k for k in keys if k is not None), key=lambda k: (hashlib.sha256(f"7{k}".encode()).hexdigest(), k))]
+    assert [r["k"] for r in sorted(got, key=lambda r: r["place"])] == want
+
+
 def test_average_ranks_across_ranges(spark):
     import random
 
