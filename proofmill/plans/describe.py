@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofmill.tables import cut
 from proofmill.vocab import PASSING
 
 Z = 1.96
@@ -116,18 +119,55 @@ def hash_sample(rows: DataFrame, by: list[str], key: str, n: int, salt: int = 32
     return some.withColumn("_n", F.row_number().over(late)).where(F.col("_n") <= n).drop("_n", "_h")
 
 
-def bootstrap_median(rows: DataFrame, by: str, x: str, key: str, replicates: int = 1000, alpha: float = 0.05, seed: int = 7, most: int = 5000) -> DataFrame:
-    """``by, n, median, lo, hi``: percentile interval of the median over resamples of at most ``most`` values a group."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        values = group.sort_values(key)[x].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        medians = np.concatenate([np.median(rng.choice(values, (100, len(values))), axis=1) for _ in range(-(-replicates // 100))])[:replicates]
-        low, high = np.quantile(medians, [alpha / 2, 1 - alpha / 2])
-        return pd.DataFrame([(group[by].iloc[0], len(values), float(np.median(values)), low, high)], columns=[by, "n", "median", "lo", "hi"])
+def average_ranks(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``by, value, count, rank``: average ranks of values within each group, without a window over a whole group.
 
-    sample = hash_sample(rows.where(F.col(x).isNotNull()).select(by, x, key), [by], key, most)
-    return sample.groupBy(by).applyInPandas(run, f"{by} string, n long, median double, lo double, hi double")
+    Values are counted, dealt out by range, and numbered within each range; what lies in earlier
+    ranges is added from their few totals.
+    """
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("count"))
+    dealt = cut(counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()))
+    totals = dealt.groupBy(*by, "_range").agg(F.sum("count").alias("_t"))
+    key = Window.partitionBy(*by) if by else Window.partitionBy()
+    offsets = totals.withColumn("_before", F.coalesce(F.sum("_t").over(key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
+    inside = F.coalesce(F.sum("count").over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = dealt.withColumn("_in", inside).join(F.broadcast(offsets), [*by, "_range"])
+    return numbered.select(*by, value, "count", (F.col("_before") + F.col("_in") + (F.col("count") + 1) / 2).alias("rank"))
+
+
+def bootstrap_median(rows: DataFrame, by: str, x: str, replicates: int = 1000, alpha: float = 0.05, seed: int = 7) -> DataFrame:
+    """``by, n, median, lo, hi``: the exact median and its percentile interval over resamples of all n values of a group.
+
+    A resample of n values is n uniform draws, each of which takes the value at its share of the
+    sorted values. So its middle values are those at the middle ones of n sorted uniforms, which are
+    beta distributed: they are drawn as such, and only their ranks are looked up in the values.
+    """
+    group = F.coalesce(F.concat(F.lit("="), by), F.lit("-"))
+    counts = cut(average_ranks(rows.where(F.col(x).isNotNull()).select(group.alias("_g"), F.col(x).cast("double").alias("x")), "x", ["_g"]))
+    sizes = counts.groupBy("_g").agg(F.sum("count").alias("n"))
+
+    def draw(batches):
+        for batch in batches:
+            for g, n in zip(batch["_g"], batch["n"].tolist(), strict=True):
+                rng = np.random.default_rng([seed, zlib.crc32(g.encode())])
+                low, high = (n + 1) // 2, n // 2 + 1
+                u = rng.beta(low, n + 1 - low, replicates)
+                v = u if high == low else 1 - (1 - u) * rng.random(replicates) ** (1 / (n - low))
+                at = lambda share: np.clip(np.ceil(share * n).astype(np.int64), 1, n)  # noqa: B023, E731
+                # replicate -1 is the median of the values themselves
+                at_low, at_high = np.append(at(u), low), np.append(at(v), high)
+                names = np.append(np.arange(replicates), -1)
+                yield pd.DataFrame({"_g": g, "n": n, "replicate": np.tile(names, 2), "at": np.concatenate([at_low, at_high])})
+
+    picks = cut(sizes.mapInPandas(draw, "_g string, n long, replicate long, at long"))
+    bounds = picks.groupBy("_g").agg(F.min("at").alias("_lo"), F.max("at").alias("_hi"))
+    placed = counts.select("_g", "x", (F.col("rank") - (F.col("count") + 1) / 2).cast("bigint").alias("_before"), "count")
+    near = placed.join(bounds, "_g").where((F.col("_before") < F.col("_hi")) & (F.col("_before") + F.col("count") >= F.col("_lo"))).drop("_lo", "_hi")
+    taken = picks.join(near, "_g").where((F.col("at") > F.col("_before")) & (F.col("at") <= F.col("_before") + F.col("count")))
+    medians = taken.groupBy("_g", "n", "replicate").agg(F.avg("x").alias("m"))
+    own, drawn = F.when(F.col("replicate") < 0, F.col("m")), F.when(F.col("replicate") >= 0, F.col("m"))
+    out = medians.groupBy("_g", "n").agg(F.max(own).alias("median"), F.percentile(drawn, F.lit(alpha / 2)).alias("lo"), F.percentile(drawn, F.lit(1 - alpha / 2)).alias("hi"))
+    return out.select(F.when(F.col("_g") != "-", F.substring("_g", 2, 2147483647)).alias(by), "n", "median", "lo", "hi")
 
 
 def stage_counts(rows: DataFrame, stage: str = "stage") -> DataFrame:

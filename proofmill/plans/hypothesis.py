@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from proofmill.functions import tails
 from proofmill.operators.records import last_per_key
 from proofmill.plans import describe as d
-from proofmill.plans.describe import hash_sample, passed, wilson_difference
+from proofmill.plans.describe import average_ranks, hash_sample, passed, wilson_difference
 from proofmill.tables import cut
 from proofmill.vocab import TIER
 
@@ -107,28 +107,15 @@ def planned_contrasts(rows: DataFrame, contrasts: DataFrame, alpha: float = 0.05
     return contrasts.join(found.drop("label_a", "label_b"), "name", "left").withColumn("missing", F.col("n_common").isNull())
 
 
-def average_ranks(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """``by, value, count, rank``: average ranks of values within each group, without a window over a whole group.
+def shapiro(rows: DataFrame, most: int = 5000) -> DataFrame:
+    """H7: ``model_label, n, n_used, statistic, p_value`` of winners' speedups; null below three.
 
-    Values are counted, dealt out by range, and numbered within each range; what lies in earlier
-    ranges is added from their few totals.
+    Statistic and p-value are of ``n_used`` values: all, or a sample of ``most`` by hash.
     """
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("count"))
-    dealt = cut(counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()))
-    totals = dealt.groupBy(*by, "_range").agg(F.sum("count").alias("_t"))
-    key = Window.partitionBy(*by) if by else Window.partitionBy()
-    offsets = totals.withColumn("_before", F.coalesce(F.sum("_t").over(key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    inside = F.coalesce(F.sum("count").over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = dealt.withColumn("_in", inside).join(F.broadcast(offsets), [*by, "_range"])
-    return numbered.select(*by, value, "count", (F.col("_before") + F.col("_in") + (F.col("count") + 1) / 2).alias("rank"))
-
-
-def shapiro(rows: DataFrame, most: int = 5000) -> DataFrame:
-    """H7: ``model_label, n, statistic, p_value`` of winners' speedups; null below three. At most ``most`` values, by hash."""
     values = speedup_map(rows)
     counts = values.groupBy("model_label").agg(F.count("*").alias("n"))
     lists = hash_sample(values, ["model_label"], "example_id", most).groupBy("model_label").agg(F.sort_array(F.collect_list("speedup")).alias("x"))
-    return counts.join(lists, "model_label").withColumn("t", tails.shapiro("x")).select("model_label", "n", F.col("t.w").alias("statistic"), F.col("t.p").alias("p_value"))
+    return counts.join(lists, "model_label").withColumn("t", tails.shapiro("x")).select("model_label", "n", F.size("x").cast("bigint").alias("n_used"), F.col("t.w").alias("statistic"), F.col("t.p").alias("p_value"))
 
 
 def friedman(rows: DataFrame, labels: list[str], least: int = 30) -> DataFrame:

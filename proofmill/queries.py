@@ -767,7 +767,7 @@ def a13_outliers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def a14_bootstrap_median(spark: SparkSession, sf: str) -> DataFrame:
-    return d.bootstrap_median(_last(spark, sf), "model_label", "speedup_vs_inductor", "example_id", replicates=400)
+    return d.bootstrap_median(_last(spark, sf), "model_label", "speedup_vs_inductor")
 
 
 @query("SELECT op_category, final_outcome, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY op_category), 6) AS p FROM outcome GROUP BY op_category, final_outcome", av.ATTEMPT_SQL)

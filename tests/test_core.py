@@ -129,6 +129,25 @@ def test_shuffle_gives_every_row_its_place(spark):
     assert [r["k"] for r in sorted(got, key=lambda r: r["place"])] == want
 
 
+def test_bootstrap_median_takes_all_values(spark):
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    data = {"a": r.lognormal(size=20001), "b": np.round(r.normal(size=8000), 1), "c": np.array([3.0]), "d": np.array([1.0, 4.0, 2.0, 9.0]), None: np.array([2.0, 5.0])}
+    rows = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs] + [("a", None)], "g string, v double")
+    got = {x["g"]: x for x in describe.bootstrap_median(rows, "g", "v").collect()}
+    assert {g: (x["n"], x["median"]) for g, x in got.items()} == {g: (len(v), np.median(v)) for g, v in data.items()}
+    assert all(x["lo"] <= x["median"] <= x["hi"] for x in got.values())
+    assert (got["c"]["lo"], got["c"]["hi"], got["d"]["lo"], got["d"]["hi"]) == (3.0, 3.0, 1.0, 9.0)
+    want = np.quantile([np.median(r.choice(data["a"], 20001)) for _ in range(1000)], [0.025, 0.975])
+    assert 0.85 < (got["a"]["hi"] - got["a"]["lo"]) / (want[1] - want[0]) < 1.15
+
+
+def test_shapiro_names_the_values_used(spark):
+    rows = _labels(spark, [(1.0 + i % 7, None, None) for i in range(12)])
+    assert [(x["n"], x["n_used"]) for x in hypothesis.shapiro(rows, most=5).collect()] == [(12, 5)]
+
+
 def test_average_ranks_across_ranges(spark):
     import random
 
