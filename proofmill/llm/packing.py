@@ -1,7 +1,8 @@
 """Packing of token sequences: first-fit decreasing in randomised groups of pieces.
 
-Documents are cut into pieces of at most one sequence. Pieces go to groups by a hash, so every group
-is a random part of the corpus with nearly the same mix of lengths, and groups pack independently.
+Documents are cut into pieces of at most one sequence. Pieces go to groups by a hash of their key,
+start and place in the table. So every group is a random part of the corpus with nearly the same mix
+of lengths, also where one key holds many rows, and groups pack independently.
 In a group, a tournament tree over the bins' free room finds the first bin that fits a piece.
 """
 
@@ -21,6 +22,8 @@ from proofmill.tables import cut
 
 #: The sequence ids of a group start at its number times this.
 STRIDE = 1 << 32
+#: Names a row of the cut table: its partition and position.
+ROW = "_row"
 
 
 def pieces(docs: DataFrame, path: str, pattern: str, length: int, end: int, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -76,21 +79,29 @@ def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np
     return bins, offsets
 
 
-def pack(parts: DataFrame, length: int, group_rows: int = 8192, key: str = "doc_id") -> DataFrame:
+def pack(parts: DataFrame, length: int, group_rows: int = 8192, key: str = "doc_id", salt: tuple[str, ...] = ()) -> DataFrame:
     """``parts`` with ``sequence_id`` and ``offset``: no sequence holds more than ``length`` ids.
 
     ``parts`` should be a written table (see ``cut``): it is counted once to set the number of
-    groups, so that each has about ``group_rows`` pieces. Pieces of full length need no company and
-    skip the tree. The group of a piece depends on its document, start and checksum only.
+    groups, so that each has about ``group_rows`` pieces. Pieces of full length need no company:
+    they fill sequences of their own and skip the tree. The group of a piece depends on ``salt``, the
+    columns of ``parts`` that say which row it is, and on ``key`` and start. Where keys are null or
+    repeat, only a salt that differs between their rows keeps groups near ``group_rows``.
     """
     count = parts.count()
     groups = max(1, round(count / group_rows))
-    keyed = parts.withColumn("group", F.pmod(F.xxhash64(key, "start", F.lit("pack")), F.lit(groups)))
-    schema = StructType([*parts.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    keyed = parts.withColumn("group", F.pmod(F.xxhash64(key, "start", *salt, F.lit("pack")), F.lit(groups))).drop(*salt)
+    schema = StructType([*(f for f in parts.schema.fields if f.name not in salt), StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([key, "start", "ids_crc32"], kind="stable", ignore_index=True)
-        bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), length)
+        lengths = rows["length"].to_numpy()
+        full, n = lengths == length, int((lengths == length).sum())
+        bins, offsets = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
+        bins[full] = np.arange(n)
+        if n < len(rows):
+            bins[~full], offsets[~full] = first_fit_decreasing(lengths[~full], length)
+            bins[~full] += n
         rows["sequence_id"], rows["offset"] = rows["group"] * STRIDE + bins, offsets
         return rows.drop(columns="group")
 
@@ -103,4 +114,5 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, length: int = 1024,
     Ids of a packed sequence are those of its pieces by offset; ``pieces(with_ids=True)`` has them.
     Sequences are padded to ``length`` by whoever writes them, unless full to a power of two.
     """
-    return pack(cut(pieces(docs, path, pattern, length, end, key, text)), length, group_rows, key)
+    parts = pieces(docs, path, pattern, length, end, key, text).withColumn(ROW, F.monotonically_increasing_id())
+    return pack(cut(parts), length, group_rows, key, (ROW,))

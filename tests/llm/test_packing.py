@@ -45,3 +45,27 @@ def test_every_id_lies_in_one_piece(spark):
     used = sum(r["length"] for r in rows)
     assert used > 0.8 * 64 * len(bins)
     assert packing.pack_documents(docs.limit(0), JSON, P.PATTERN).count() == 0
+
+
+def test_null_and_repeated_keys_spread_over_groups(spark):
+    docs = spark.createDataFrame([(None if i % 3 else 7, f"text {i}") for i in range(3000)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, JSON, P.PATTERN, length=64, group_rows=100).collect()
+    sizes = np.bincount([r["sequence_id"] // packing.STRIDE for r in rows], minlength=30)
+    assert len(rows) == 3000 and len(sizes) == 30 and sizes.max() < 200 and sizes.min() > 40
+
+
+def test_full_pieces_skip_the_tree(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "same text " * 200) for i in range(20)], "doc_id long, text string")
+    parts = packing.cut(packing.pieces(docs, JSON, P.PATTERN, 64, 0))
+    full = parts.where("length = 64")
+    plain = packing.first_fit_decreasing
+
+    def short_only(lengths, room):
+        assert (lengths < room).all()
+        return plain(lengths, room)
+
+    monkeypatch.setattr(packing, "first_fit_decreasing", short_only)
+    for some in (parts, full):
+        rows = packing.pack(some, 64).collect()
+        places = {(r["sequence_id"], r["offset"] + i) for r in rows for i in range(r["length"])}
+        assert len(places) == sum(r["length"] for r in rows)
