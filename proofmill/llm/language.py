@@ -1,6 +1,6 @@
 """Language identification with bit-sliced Bloom filters of character n-grams.
 
-Each cell of the filter holds one bit for each language. The AND of an n-gram's cells is a bitmask
+Each cell of the filter holds one bit for each language, in as many words as that takes. The AND of an n-gram's cells is a bitmask
 of all languages whose training text holds that n-gram. A document's score for a language is the
 share of its n-grams with that bit, corrected for the false positives of that language's filter.
 """
@@ -56,7 +56,7 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 
 class LanguageFilters:
-    """The filters of all learned languages.
+    """The filters of all learned languages, as many as there are: 64 to a word of each cell.
 
     ``bits``: log2 of the number of cells. ``least``: how often an n-gram must occur in the sample of
     a language, so that names and foreign passages stay out.
@@ -64,18 +64,18 @@ class LanguageFilters:
 
     def __init__(self, texts: dict[str, list[str]], bits: int = 18, least: int = 3):
         self.langs, self.bits = sorted(texts), bits
-        kind = next((k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(self.langs) <= np.dtype(k).itemsize * 8), None)
-        if kind is None:
-            raise ValueError("at most 64 languages")
-        self.cells = np.zeros(1 << bits, dtype=kind)
+        kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(self.langs) <= np.dtype(k).itemsize * 8), np.uint64)
+        self.width = np.dtype(kind).itemsize * 8
+        self.cells = np.zeros((max(1, -(-len(self.langs) // self.width)), 1 << bits), dtype=kind)
         self.false = np.zeros(len(self.langs))
         for k, lang in enumerate(self.langs):
             seen: list[np.ndarray] = [grams(_letters(t)) for t in texts[lang]]
             values, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, int))
             values = values[counts >= min(least, counts.max(initial=1))]
+            word, bit = self.cells[k // self.width], kind(k % self.width)
             for cell in CELLS:
-                self.cells[self._cell(values, cell)] |= kind(1 << k)
-            self.false[k] = min(0.99, float(((self.cells >> kind(k)) & kind(1)).mean()) ** len(CELLS))
+                word[self._cell(values, cell)] |= kind(1) << bit
+            self.false[k] = min(0.99, float(((word >> bit) & kind(1)).mean()) ** len(CELLS))
 
     def _cell(self, hashes: np.ndarray, cell: int) -> np.ndarray:
         return (hashes * np.uint64(cell)) >> np.uint64(64 - self.bits)
@@ -85,12 +85,14 @@ class LanguageFilters:
         codes, total, n = _letters(text), np.zeros(len(self.langs)), 0
         for at in range(0, max(1, len(codes) - GRAM + 1), CHUNK):
             hashes = grams(codes[at : at + CHUNK + GRAM - 1])
-            mask = self.cells[self._cell(hashes, CELLS[0])]
-            for cell in CELLS[1:]:
-                mask &= self.cells[self._cell(hashes, cell)]
-            held = np.bincount(mask, minlength=1 << min(8, len(self.langs))) if len(self.langs) <= 8 else None
-            for k in range(len(self.langs)):
-                total[k] += held[(np.arange(len(held)) >> k) & 1 == 1].sum() if held is not None else ((mask >> mask.dtype.type(k)) & mask.dtype.type(1)).sum()
+            places = [self._cell(hashes, cell) for cell in CELLS]
+            for w, word in enumerate(self.cells):
+                mask = word[places[0]]
+                for place in places[1:]:
+                    mask &= word[place]
+                held = np.bincount(mask, minlength=1 << min(8, len(self.langs))) if len(self.langs) <= 8 else None
+                for k in range(min(self.width, len(self.langs) - w * self.width)):
+                    total[w * self.width + k] += held[(np.arange(len(held)) >> k) & 1 == 1].sum() if held is not None else ((mask >> mask.dtype.type(k)) & mask.dtype.type(1)).sum()
             n += len(hashes)
         return total, n
 

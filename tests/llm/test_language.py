@@ -28,3 +28,13 @@ def test_no_training_rows(spark):
     model = language.fit(docs)
     assert [r["lang_pred"] for r in language.identify(docs, model).collect()] == ["und"]
     assert language.identify(docs.limit(0), model).count() == 0
+
+
+def test_more_languages_than_bits_in_a_word(spark):
+    letters = [chr(0x4E00 + i) for i in range(700)]
+    text = lambda k, seed: " ".join("".join(random.Random(f"{k} {seed} {j}").choices(letters[5 * k : 5 * k + 5], k=4)) for j in range(60))
+    docs = spark.createDataFrame([(k * 10 + i, text(k, i), f"l{k:03}") for k in range(140) for i in range(4)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert len(model.langs) == 140 and model.cells.shape[0] == 3
+    held = spark.createDataFrame([(k, text(k, 99)) for k in range(140)], "doc_id long, text string")
+    assert all(r["lang_pred"] == f"l{r['doc_id']:03}" for r in language.identify(held, model).collect())
