@@ -10,11 +10,13 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.llm.arrow import with_fields
+from proofmill.tables import cut
 
 UNDETERMINED = "und"
 #: Characters of an n-gram.
@@ -24,6 +26,8 @@ PLACES = [(0x9E3779B97F4A7C15 * (2 * i + 1) + 2 * i) % 2**64 | 1 for i in range(
 CELLS = [(0xC2B2AE3D27D4EB4F * (2 * i + 1) + 2 * i) % 2**64 | 1 for i in range(1, 4)]
 #: Characters that are hashed at a time.
 CHUNK = 1 << 20
+#: Rows of the sample's hashes that are broadcast at most; more are shuffled.
+SMALL = 1_000_000
 
 
 @lru_cache(1)
@@ -55,6 +59,16 @@ def grams(codes: np.ndarray) -> np.ndarray:
     return total ^ (total >> np.uint64(29))
 
 
+def _cell(hashes: np.ndarray, cell: int, bits: int) -> np.ndarray:
+    return (hashes * np.uint64(cell)) >> np.uint64(64 - bits)
+
+
+def _kept(seen: list[np.ndarray], least: int) -> np.ndarray:
+    """The n-grams that occur ``least`` times, or as often as any does."""
+    values, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, int))
+    return values[counts >= min(least, counts.max(initial=1))]
+
+
 class LanguageFilters:
     """The filters of all learned languages, as many as there are: 64 to a word of each cell.
 
@@ -63,29 +77,33 @@ class LanguageFilters:
     """
 
     def __init__(self, texts: dict[str, list[str]], bits: int = 18, least: int = 3):
-        self.langs, self.bits = sorted(texts), bits
+        kept = {lang: _kept([grams(_letters(t)) for t in ts], least) for lang, ts in texts.items()}
+        self._fill({lang: np.concatenate([_cell(values, cell, bits) for cell in CELLS]) for lang, values in kept.items()}, bits)
+
+    @classmethod
+    def of_cells(cls, cells: dict[str, np.ndarray], bits: int = 18) -> LanguageFilters:
+        """The filters whose set cells are known."""
+        model = cls.__new__(cls)
+        model._fill(cells, bits)
+        return model
+
+    def _fill(self, cells: dict[str, np.ndarray], bits: int) -> None:
+        self.langs, self.bits = sorted(cells), bits
         kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(self.langs) <= np.dtype(k).itemsize * 8), np.uint64)
         self.width = np.dtype(kind).itemsize * 8
         self.cells = np.zeros((max(1, -(-len(self.langs) // self.width)), 1 << bits), dtype=kind)
         self.false = np.zeros(len(self.langs))
         for k, lang in enumerate(self.langs):
-            seen: list[np.ndarray] = [grams(_letters(t)) for t in texts[lang]]
-            values, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, int))
-            values = values[counts >= min(least, counts.max(initial=1))]
             word, bit = self.cells[k // self.width], kind(k % self.width)
-            for cell in CELLS:
-                word[self._cell(values, cell)] |= kind(1) << bit
+            word[cells[lang]] |= kind(1) << bit
             self.false[k] = min(0.99, float(((word >> bit) & kind(1)).mean()) ** len(CELLS))
 
-    def _cell(self, hashes: np.ndarray, cell: int) -> np.ndarray:
-        return (hashes * np.uint64(cell)) >> np.uint64(64 - self.bits)
-
     def counts(self, text: str) -> tuple[np.ndarray, int]:
         """For each language the n-grams of the text that its filter holds; the number of n-grams."""
         codes, total, n = _letters(text), np.zeros(len(self.langs)), 0
         for at in range(0, max(1, len(codes) - GRAM + 1), CHUNK):
             hashes = grams(codes[at : at + CHUNK + GRAM - 1])
-            places = [self._cell(hashes, cell) for cell in CELLS]
+            places = [_cell(hashes, cell, self.bits) for cell in CELLS]
             for w, word in enumerate(self.cells):
                 mask = word[places[0]]
                 for place in places[1:]:
@@ -107,23 +125,52 @@ class LanguageFilters:
         return self.langs[best], float(share[best] / (share[best] + rest)) if share[best] > 0 else 0.0
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, key: str = "doc_id", bits: int = 18) -> LanguageFilters:
-    """Learn the filters from about ``per_language`` rows of each language (the documented bound of the sample).
+def sample(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, key: str = "doc_id", salt: int = 32) -> DataFrame:
+    """``lang, text`` of ``per_language`` different rows of each language, or of all if there are fewer.
 
-    Rows are chosen by a hash of ``key``, so the sample is the same at every run. Rows with null
-    text or language are left out.
+    Rows are chosen by a hash of ``key`` and ``text``, so the sample is the same at every run, and
+    null or repeated keys are as good as others. Rows equal in both count once. Ranks are taken of
+    hashes only, in salted parts first. Rows with null text or language are left out.
     """
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return LanguageFilters({}, bits)
-    span = F.pmod(F.xxhash64("key"), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int(1_000_000 * min(1.0, per_language / n)))])
-    chosen = rows.where(span < share[F.col("lang")]).select("lang", "text").collect()
-    texts: dict[str, list[str]] = {k: [] for k in counts}
-    for r in chosen:
-        texts[r["lang"]].append(r["text"])
-    return LanguageFilters({k: sorted(v) for k, v in texts.items() if v}, bits)
+    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
+    early, late = Window.partitionBy("lang", "part").orderBy("h"), Window.partitionBy("lang").orderBy("h")
+    ranked = rows.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(salt)))
+    some = ranked.withColumn("n", F.row_number().over(early)).where(F.col("n") <= per_language)
+    chosen = cut(some.withColumn("n", F.row_number().over(late)).where(F.col("n") <= per_language).select("lang", "h"))
+    chosen = F.broadcast(chosen) if chosen.count() <= SMALL else chosen
+    return rows.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, key: str = "doc_id", bits: int = 18, least: int = 3) -> LanguageFilters:
+    """Learn the filters from ``per_language`` rows of each language (the documented bound, see ``sample``).
+
+    N-grams are counted on Spark; the driver gets a bitmap of ``2**bits`` bits for each language.
+    """
+
+    def split(batches):
+        for batch in batches:
+            for name, t in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                codes = _letters(t)
+                for at in range(0, max(1, len(codes) - GRAM + 1), CHUNK):
+                    values, counts = np.unique(grams(codes[at : at + CHUNK + GRAM - 1]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
+
+    def place(batches):
+        for batch in batches:
+            hashes, names = batch.column(1).to_numpy().view(np.uint64), batch.column(0)
+            for cell in CELLS:
+                yield pa.RecordBatch.from_arrays([names, pa.array(_cell(hashes, cell, bits).astype(np.int32))], names=["lang", "cell"])
+
+    def bitmap(rows: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(1 << bits, dtype=bool)
+        held[rows["cell"].to_numpy()] = True
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "held": [np.packbits(held).tobytes()]})
+
+    counted = cut(sample(docs, text, lang, per_language, key).mapInArrow(split, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    most = counted.groupBy("lang").agg(F.least(F.max("n"), F.lit(least)).alias("least"))
+    kept = counted.join(most, "lang").where(F.col("n") >= F.col("least")).select("lang", "gram")
+    maps = kept.mapInArrow(place, "lang string, cell int").distinct().groupBy("lang").applyInPandas(bitmap, "lang string, held binary").collect()
+    return LanguageFilters.of_cells({r["lang"]: np.nonzero(np.unpackbits(np.frombuffer(r["held"], np.uint8)))[0] for r in maps}, bits)
 
 
 def identify(docs: DataFrame, model: LanguageFilters, text: str = "text") -> DataFrame:

@@ -38,3 +38,22 @@ def test_more_languages_than_bits_in_a_word(spark):
     assert len(model.langs) == 140 and model.cells.shape[0] == 3
     held = spark.createDataFrame([(k, text(k, 99)) for k in range(140)], "doc_id long, text string")
     assert all(r["lang_pred"] == f"l{r['doc_id']:03}" for r in language.identify(held, model).collect())
+
+
+def test_sample_is_bounded_for_null_and_repeated_keys(spark):
+    rows = [(None, prose("xx", 20, i), "xx") for i in range(400)] + [(7, prose("yy", 20, i), "yy") for i in range(400)]
+    rows += [(1, "same " * 9, "zz")] * 50 + [(2, prose("zz", 20, 1), "zz"), (3, None, "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(r["lang"], r["text"]) for r in language.sample(docs, per_language=30).collect()]
+    assert {lang: sum(x == lang for x, _ in got) for lang in SYLLABLES} == {"xx": 30, "yy": 30, "zz": 2} and len(set(got)) == 62
+    model = language.fit(docs, per_language=30)
+    plain = language.LanguageFilters({lang: [t for x, t in got if x == lang] for lang in SYLLABLES})
+    assert model.langs == plain.langs and (model.cells == plain.cells).all() and (model.false == plain.false).all()
+
+
+def test_fit_collects_no_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, prose(lang, 20, i), lang) for lang in SYLLABLES for i in range(40)], "doc_id long, text string, lang string")
+    plain, seen = type(docs).collect, []
+    monkeypatch.setattr(type(docs), "collect", lambda df: seen.append(df.columns) or plain(df))
+    assert language.fit(docs, per_language=10).langs == list(SYLLABLES)
+    assert seen and all("text" not in columns for columns in seen)
