@@ -1,7 +1,7 @@
 """Chat formatting into budgeted windows, with a loss mask; DataFrame functions only.
 
 A conversation's turns are rendered, their token estimates summed in order, and the prefix sums cut
-the conversation into turn-aligned spans. A window is the leading system turn, a limited history
+the conversation into turn-aligned spans, a large turn into one of its own. A window is the leading system turn, a limited history
 repeated from the span before, and the span itself. Assistant turns are targets in their own span
 and masked where they are repeated, so each is learned from exactly once.
 """
@@ -48,20 +48,27 @@ def windows(turns: DataFrame, budget: int = 1024, history_turns: int = 2, histor
     Null roles and texts count as empty, a null key is a conversation of its own. Turns with equal
     numbers are ordered by role, then text; repeated rows stay as turns. Other columns are ignored.
     """
-    stride = max(1, (budget - history_tokens - system_tokens) // 2)
     order = Window.partitionBy("key").orderBy("turn", "role", "text")
     rows = turns.select(F.col(key).alias("key"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     lead_in = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"))
     rows = rows.withColumns({"head": lead_in, "body": escape(F.col("text"))})
     rows = rows.withColumn("tokens", F.ceil((F.char_length("head") + F.char_length("body") + len(CLOSE)) / chars_per_token))
     rows = rows.withColumns({"index": F.row_number().over(order).cast("bigint") - 1, "end": F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    rows = rows.withColumns({"before": F.col("end") - F.col("tokens"), "span": F.floor((F.col("end") - 1) / stride), "leads": (F.col("index") == 0) & (F.col("role") == "system")})
+    rows = rows.withColumns({"before": F.col("end") - F.col("tokens"), "leads": (F.col("index") == 0) & (F.col("role") == "system")})
+    rows = rows.withColumn("system", F.coalesce(F.first(F.when(F.col("leads"), F.col("tokens"))).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    # turns of up to a stride: two strides at most in a step; a larger one is the first of its step and gets a span of its own
+    rows = rows.withColumn("stride", F.greatest(F.lit(1), F.floor((budget - history_tokens - F.greatest("system", F.lit(system_tokens))) / 2)))
+    rows = rows.withColumns({"step": F.floor((F.col("end") - 1) / F.col("stride")), "large": F.col("tokens") > F.col("stride")})
+    follows = ~F.col("large") & F.max("large").over(Window.partitionBy("key", "step"))
+    rows = rows.withColumn("span", 2 * F.col("step") + follows.cast("int"))
+    rows = rows.withColumn("held", F.sum("tokens").over(Window.partitionBy("key", "span")))
     rows = rows.withColumns({"first": F.coalesce(F.lag("span").over(order) != F.col("span"), F.lit(True)), "assistant": F.col("role") == "assistant"})
 
-    # a turn is history of each window that starts one to history_turns turns later, if near enough
+    # a turn is history of each window that starts one to history_turns turns later, if near enough and if the window has room
     later = []
     for j in range(1, history_turns + 1):
-        starts = F.lead("first", j).over(order) & (F.lead("before", j).over(order) - F.col("before") <= history_tokens) & ~F.col("leads")
+        back = F.lead("before", j).over(order) - F.col("before")
+        starts = F.lead("first", j).over(order) & (back <= history_tokens) & (back + F.lead("held", j).over(order) + F.col("system") <= budget) & ~F.col("leads")
         later.append(F.when(starts, F.struct(F.lead("span", j).over(order).alias("window"), F.lit(True).alias("repeated"))))
     own = F.struct(F.col("span").alias("window"), F.lit(False).alias("repeated"))
     placed = rows.withColumn("places", F.array_compact(F.array(own, *later)))

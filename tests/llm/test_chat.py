@@ -1,3 +1,5 @@
+import random
+
 import hashlib
 from itertools import product
 
@@ -36,3 +38,24 @@ def test_windows_read_back_and_learn_each_target_once(spark):
     assert all(not r["over_budget"] for r in two) and any(t["repeated"] and t["index"] for r in two for t in r["turns"])
     assert all(len(r["formatted"][t["start"] : t["start"] + t["length"]]) == t["length"] for r in kept for t in r["turns"])
     assert chat.windows(df.limit(0)).count() == 0 and hashlib
+
+
+def test_over_budget_only_where_turn_and_system_do_not_fit(spark):
+    r = random.Random(4)
+    rows = []
+    for conv in range(60):
+        system = [0, 20, 300, 700, 1100][conv % 5]
+        sizes = ([system] if system else []) + [r.choice([5, 60, 200, 380, 390, 700, 760, 1000, 1010, 1100]) for _ in range(40)]
+        rows += [(conv, i, "system" if system and not i else "user" if i % 2 else "assistant", "x" * (4 * n - 4 * 5)) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    sizes = {(c, i): -(-(len(chat.OPEN) + len(role) + 1 + len(text) + len(chat.CLOSE)) // 4) for c, i, role, text in rows}
+    own = {}
+    for w in chat.windows(df).collect():
+        turns = [t["index"] for t in w["turns"]]
+        assert w["n_tokens"] == sum(sizes[w["conv_id"], i] for i in turns) and w["over_budget"] == (w["n_tokens"] > 1024)
+        kept = [t["index"] for t in w["turns"] if not t["repeated"]]
+        own.setdefault(w["conv_id"], []).extend(kept)
+        if w["over_budget"]:
+            lead = sizes[w["conv_id"], 0] if w["conv_id"] % 5 and kept != [0] else 0
+            assert len(kept) == 1 and sizes[w["conv_id"], kept[0]] + lead > 1024 and set(turns) <= {0, *kept}
+    assert all(sorted(i) == list(range(len(i))) for i in own.values()) and sum(map(len, own.values())) == len(rows)
