@@ -7,30 +7,57 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql.types import StructType
 
+#: Bytes of a slice at most, unless one row alone has more.
+SIZE = 8 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int, size: int = SIZE) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``size`` bytes, so that what a worker derives of them stays small.
+
+    A row of more bytes is a slice of its own. Workers live on for other tasks, so Arrow's unused
+    memory goes back to the system at the end.
+    """
+    try:
+        for batch in batches:
+            todo = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+            while todo:
+                part = todo.pop()
+                half = part.num_rows // 2
+                if half and part.nbytes > size:
+                    todo += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part
+    finally:
+        pa.default_memory_pool().release_unused()
+
 
 def batched(rows: int, f: Callable[[pa.RecordBatch], pa.RecordBatch]):
     """A function for ``mapInArrow`` that applies ``f`` to slices of at most ``rows`` rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = f(batch.slice(at, rows))
-                if out.num_rows:
-                    yield out
+        for part in slices(batches, rows):
+            out = f(part)
+            if out.num_rows:
+                yield out
 
     return run
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``rows`` rows, so that what a worker derives of them stays small."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def with_fields(schema: StructType, **kinds) -> StructType:
     """A new schema: the fields of ``schema``, then the named ones."""
     out = StructType(list(schema.fields))
     for name, kind in kinds.items():
         out = out.add(name, kind)
     return out
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """``names`` for working columns, lengthened until they clash with none of ``columns`` (case does not count)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -4,8 +4,9 @@ Suffixes are dealt out by content: the smallest hash among the 32-byte strings o
 is the same wherever the window stands, so equal windows meet under one hash, each with the few
 bytes around it. There, their suffixes are ordered to a depth of 100 bytes: deep-shallow, by a
 multikey quicksort over words to a shallow depth, then by blind tries for groups that still agree.
-Only windows whose hash occurs more than once travel; a Bloom filter of those hashes decides that,
-and its false positives cost work, never results.
+Only windows whose hash occurs more than once travel. A Bloom filter of those hashes decides that
+where they are few enough for one of fixed size (its false positives cost work, never results);
+where they are more, a join does.
 """
 
 from __future__ import annotations
@@ -16,9 +17,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from proofmill.llm.arrow import slices, with_fields
+from proofmill.llm.arrow import slices, unused, with_fields
 from proofmill.tables import cut
 
 #: Bytes of a repeated string, and of the strings whose hashes choose where it is compared.
@@ -26,12 +26,13 @@ LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: Bytes that the multikey quicksort orders before blind tries take over.
 SHALLOW = 64
-#: Groups with more contexts than this are compared by hashes of windows instead, dealt out again.
+#: Groups with more contexts than this are sorted in parts first; what is left of each part is merged by digest.
 HOT = 20_000
 #: Most contexts that are sorted together, unless one group has more.
 CHUNK = 10_000
-#: Least and most bits of the Bloom filter, its odd multipliers, and bytes of one row of it.
-BITS, CELLS, SLICE = (20, 31), [(0xC2B2AE3D27D4EB4F * (2 * i + 3) + 2 * i) % 2**64 | 1 for i in range(3)], 1 << 16
+#: Log2 of the least and most bits of the Bloom filter (32 MB), bits for each hash, its odd multipliers, and bytes of one row of it.
+BITS, EACH, CELLS, SLICE = (20, 28), 12, [(0xC2B2AE3D27D4EB4F * (2 * i + 3) + 2 * i) % 2**64 | 1 for i in range(3)], 1 << 16
+#: Rows (runs, if a row lists them) of a side that is broadcast; larger ones are shuffled.
 SMALL = 1_000_000
 #: Rows that a worker takes at a time.
 ROWS = 500
@@ -62,14 +63,15 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return h[place], place, first, np.concatenate([first[1:], [len(at)]]) - 1
 
 
-def blind_classes(strings: list[bytes]) -> list[int]:
-    """For each string the index of the first equal one, by a blind trie: inner nodes know a depth and branch on one byte.
+def blind_order(strings: list[bytes]) -> list[list[int]]:
+    """Indices of strings of one length in order of content, equal ones together (as given), by a blind trie.
 
-    A string goes down by its bytes at those depths alone, is compared with one leaf of the place it
-    comes to, and is put in where they first differ.
+    Inner nodes know a depth and branch on one byte there. A string goes down by its bytes at those
+    depths alone, is compared with one leaf of the place it comes to, and is put in where they first
+    differ; reading the branches in order of their bytes gives the strings in order.
     """
     root: list | int = 0
-    out = [0]
+    leaves = {0: [0]}
     for i in range(1, len(strings)):
         s = strings[i]
         node = root
@@ -77,8 +79,9 @@ def blind_classes(strings: list[bytes]) -> list[int]:
             node = node[1].get(s[node[0]]) if s[node[0]] in node[1] else next(iter(node[1].values()))
         t = strings[node]
         if s == t:
-            out.append(node)
+            leaves[node].append(i)
             continue
+        leaves[i] = [i]
         lo, hi = 0, len(s)
         while lo < hi:
             mid = (lo + hi + 1) // 2
@@ -94,49 +97,95 @@ def blind_classes(strings: list[bytes]) -> list[int]:
                 root = new
             else:
                 above[1][s[above[0]]] = new
-        out.append(i)
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, list):
+            todo += [child for _, child in sorted(node[1].items(), reverse=True)]
+        else:
+            out.append(leaves[node])
     return out
 
 
-def first_windows(group: np.ndarray, start: np.ndarray, count: np.ndarray, rel: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Order windows of many groups; for each whether an equal one comes before it.
+def multikey_quicksort(words: np.ndarray, place: np.ndarray, label: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of strings by label, then by their first ``depth`` bytes (a multiple of 8); the bucket of each place of that order.
+
+    ``words[i]`` are the 8 bytes from place i on, as big-endian numbers. All open buckets are parted at once: by
+    the median of three of their words into smaller, equal and larger ones, of which the equal go
+    on with the next word. Strings that agree in all of it share a bucket, in the order given.
+    """
+    order = np.argsort(label, kind="stable")
+    begins = np.concatenate([[True], label[order][1:] != label[order][:-1]]) if len(order) else np.zeros(0, bool)
+    at = np.zeros(len(order), dtype=np.int64)
+    while True:
+        starts = np.flatnonzero(begins)
+        sizes = np.diff(np.append(starts, len(order)))
+        open_ = (sizes > 1) & (at[starts] < depth)
+        starts, sizes = starts[open_], sizes[open_]
+        if not len(starts):
+            return order, np.cumsum(begins) - 1
+        first = np.cumsum(sizes) - sizes  # of each open bucket among the open places
+        bucket = np.repeat(np.arange(len(sizes)), sizes)
+        places = np.arange(len(bucket)) - first[bucket] + starts[bucket]
+        mine = order[places]
+        key = words[place[mine] + at[places]]
+        a, b, c = key[first], key[first + sizes // 2], key[first + sizes - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[bucket]
+        side = (key >= pivot).astype(np.int8) + (key > pivot)
+        target, behind = np.zeros(len(bucket), dtype=np.int64), starts.copy()
+        for k in range(3):
+            here = side == k
+            rank = np.cumsum(here)
+            before = rank[first] - here[first]
+            target[here] = (behind[bucket] + rank - 1 - before[bucket])[here]
+            count = np.add.reduceat(here, first, dtype=np.int64)
+            begins[behind[count > 0]] = True
+            behind += count
+        order[target] = mine
+        step = at[places] + 8 * (side == 1)
+        at[target] = step
+
+
+def window_order(group: np.ndarray, start: np.ndarray, count: np.ndarray, rel: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the windows of many groups, and for each place of it whether the window equals the one before.
 
     Context k has ``count[k]`` windows from ``data[start[k]]`` on, its anchor ``rel[k]`` bytes behind
     the first; contexts are given in the order that counts as earlier. Equal windows are in one group
-    and have their anchor at the same place, so those two deal out the first buckets.
+    and have their anchor at the same place, so those two deal out the first buckets; windows alone
+    in theirs are left out. Equal windows stay in the order given.
     """
     context = np.repeat(np.arange(len(count)), count)
     step = np.arange(len(context)) - np.repeat(np.cumsum(count) - count, count)
     place, label = start[context] + step, group[context] * SPAN + rel[context] - step
+    _, label, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    live = np.flatnonzero(sizes[label] > 1)
     words = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
-    later = np.zeros(len(context), dtype=bool)
-    live = np.arange(len(context))
-    _, label = np.unique(label, return_inverse=True)
-    for depth in range(-8, SHALLOW, 8):
-        if depth >= 0:
-            key = words[place[live] + depth].copy().view(">u8").ravel().astype(np.uint64)
-            order = np.lexsort((key, label))
-            label, key, live = label[order], key[order], live[order]
-            label = np.cumsum(np.concatenate([[False], (label[1:] != label[:-1]) | (key[1:] != key[:-1])]))
-        pairs = np.bincount(label, minlength=1)[label] > 1
-        label, live = label[pairs], live[pairs]
-        if not len(live):
-            return later
-    order = np.lexsort((live, label))
-    label, live = label[order], live[order]
-    ends = np.flatnonzero(np.concatenate([label[1:] != label[:-1], [True]])) + 1
-    raw, deep, at = data.tobytes(), SHALLOW, 0
-    places = place[live].tolist()
-    for end in ends.tolist():
-        strings = [raw[p + deep : p + LENGTH] for p in places[at:end]]
-        if len(strings) == 2:
-            if strings[0] == strings[1]:
-                later[live[at + 1]] = True
-        else:
-            for i, first in enumerate(blind_classes(strings)):
-                if first != i:
-                    later[live[at + i]] = True
-        at = end
+    values = np.ascontiguousarray(words).view(">u8").ravel().astype(np.uint64)
+    order, bucket = multikey_quicksort(values, place[live], label[live], SHALLOW)
+    order = live[order]
+    equal = np.zeros(len(order), dtype=bool)
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(order) else np.zeros(0, int)
+    sizes = np.diff(np.append(starts, len(order)))
+    raw = data.tobytes()
+    for at, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+        own = order[at : at + size].copy()
+        strings = [raw[p + SHALLOW : p + LENGTH] for p in place[own].tolist()]
+        if size == 2:
+            equal[at + 1] = strings[0] == strings[1]
+            if strings[1] < strings[0]:
+                order[at : at + 2] = own[::-1]
+            continue
+        leaves = blind_order(strings)
+        order[at : at + size] = own[[i for leaf in leaves for i in leaf]]
+        equal[at : at + size] = [k > 0 for leaf in leaves for k in range(len(leaf))]
+    return order, equal
+
+
+def first_windows(group: np.ndarray, start: np.ndarray, count: np.ndarray, rel: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """For each window, as given to ``window_order``, whether an equal one comes before it."""
+    order, equal = window_order(group, start, count, rel, data)
+    later = np.zeros(int(count.sum()), dtype=bool)
+    later[order[equal]] = True
     return later
 
 
@@ -144,13 +193,14 @@ def _mask(hashes: np.ndarray, bits: int, cell: int) -> np.ndarray:
     return (hashes * np.uint64(cell)) >> np.uint64(64 - bits)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL else df
+def _small(df: DataFrame, weight: str = "1") -> DataFrame:
+    """``df``, to be broadcast if it is a written table of few rows (or of little ``weight`` in all)."""
+    return F.broadcast(df) if (df.agg(F.sum(F.expr(weight))).first()[0] or 0) <= SMALL else df
 
 
 def _bloom(repeated: DataFrame) -> tuple[np.ndarray, int]:
-    """Bit array of all repeated hashes; its size follows their number within ``BITS``."""
-    bits = min(BITS[1], max(BITS[0], (12 * repeated.count()).bit_length()))
+    """Bit array of all repeated hashes, its size by their number; the caller bounds that by ``BITS``."""
+    bits = max(BITS[0], (EACH * repeated.count()).bit_length())
 
     def fill(batches):
         own = np.zeros(1 << (bits - 3), dtype=np.uint8)
@@ -192,24 +242,56 @@ def _hashes(docs: DataFrame) -> DataFrame:
 CONTEXT = "hash long, doc long, mark long, lo int, windows int, rel int, bytes binary"
 
 
-def _contexts(docs: DataFrame, bloom, bits: int) -> DataFrame:
+def _starts(docs: DataFrame) -> DataFrame:
+    """The different hashes of each document's runs, with a number for the document."""
+
+    def run(batches):
+        for batch in slices(batches, ROWS):
+            found = [np.unique(anchors(np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8))[0]) for t in batch.column(1).to_pylist()]
+            count = [len(h) for h in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), count))], names=["hash", "row"])
+
+    return docs.select(_row().alias("row"), "text").mapInArrow(run, "hash long, row long")
+
+
+def _row():
+    """A number for a document; two may share one, which only lets more of their windows travel."""
+    return F.xxhash64("doc", "mark")
+
+
+def _contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """Runs of windows whose hash may be repeated, with the bytes of their windows.
 
     Of equal contexts in a batch only the earliest keeps its bytes: the others are wholly repeated.
+    Few repeated hashes go to the workers as a Bloom filter of at most 2**BITS[1] bits; more are
+    joined with the documents' hashes, and each document gets the list of its own.
     """
+    filtered = repeated.count() * EACH < 1 << BITS[1]
+    table, bits = _bloom(repeated) if filtered else (None, 0)
+    shared = docs.sparkSession.sparkContext.broadcast(table) if filtered else None
+    if filtered:
+        docs = docs.select("doc", "mark", "text", F.lit(None).cast("array<bigint>").alias("wanted"))
+    else:
+        lists = cut(_starts(docs).join(repeated, "hash").groupBy("row").agg(F.collect_set("hash").alias("wanted")))
+        docs = docs.withColumn("row", _row()).join(lists, "row").select("doc", "mark", "text", "wanted")
+
+    def chosen(h: np.ndarray, wanted) -> np.ndarray:
+        if wanted is not None:
+            return np.isin(h, np.array(wanted, dtype=np.int64).view(np.uint64))
+        maybe, table = np.ones(len(h), dtype=bool), shared.value
+        for cell in CELLS:
+            at = _mask(h, bits, cell)
+            maybe &= (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+        return maybe
 
     def run(batches):
-        table = bloom.value
         for batch in slices(batches, 4 * ROWS):
-            rows = sorted({r[:2]: r for r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)}.values(), key=lambda r: r[:2])
+            rows = sorted({r[:2]: r for r in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)}.values(), key=lambda r: r[:2])
             out, seen = [[] for _ in range(7)], set()
-            for doc, mark, text in rows:
+            for doc, mark, text, wanted in rows:
                 raw = text.encode("utf-8", "surrogatepass")
                 h, place, lo, hi = anchors(np.frombuffer(raw, dtype=np.uint8))
-                maybe = np.ones(len(h), dtype=bool)
-                for cell in CELLS:
-                    at = _mask(h, bits, cell)
-                    maybe &= (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+                maybe = chosen(h, wanted)
                 for x, p, a, b in zip(h[maybe].view(np.int64).tolist(), place[maybe].tolist(), lo[maybe].tolist(), hi[maybe].tolist(), strict=True):
                     own = raw[a : b + LENGTH]
                     key = (x, p - a, own)
@@ -219,7 +301,7 @@ def _contexts(docs: DataFrame, bloom, bits: int) -> DataFrame:
             kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["hash", "doc", "mark", "lo", "windows", "rel", "bytes"])
 
-    return docs.select("doc", "mark", "text").mapInArrow(run, CONTEXT)
+    return docs.mapInArrow(run, CONTEXT)
 
 
 def _compare(rows: pd.DataFrame) -> pa.RecordBatch:
@@ -266,34 +348,46 @@ def _sorted_runs(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, RUNS)
 
 
-def _hashed_runs(contexts: DataFrame) -> DataFrame:
-    """Repeated windows of very large groups: each window by its own 128-bit hash, the earliest of each found by aggregation."""
-
-    def run(batches):
-        for batch in batches:
-            out = [[] for _ in range(5)]
-            for row in batch.to_pylist():
-                for i in range(row["windows"]):
-                    x = xxhash.xxh3_128_intdigest(row["bytes"][i : i + LENGTH])
-                    for column, value in zip(out, ((x >> 64) - 2**63, x % 2**64 - 2**63, row["doc"], row["mark"], row["lo"] + i), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["x", "y", "doc", "mark", "low"])
-
-    each = contexts.mapInArrow(run, "x long, y long, doc long, mark long, low long")
-    first = each.groupBy("x", "y").agg(F.min(F.struct("doc", "mark", "low")).alias("first"))
-    return each.join(first, ["x", "y"]).where(F.struct("doc", "mark", "low") > F.col("first")).select("doc", "mark", "low", F.col("low").alias("high"))
+def _parted_runs(contexts: DataFrame) -> DataFrame:
+    """Repeated windows of very large groups: sorted in parts as they come, then the first windows of all parts by digest.
 
+    A window that is not the first in its part is repeated. The first ones travel as 128-bit digests
+    without bytes; of each digest all but the earliest are repeated, too.
+    """
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    def run(batches):
+        for batch in slices(batches, CHUNK):
+            rows = batch.to_pandas().sort_values(["hash", "doc", "mark", "lo"], ignore_index=True).drop_duplicates(["hash", "doc", "mark", "lo"], ignore_index=True)
+            sizes, count = rows["bytes"].map(len).to_numpy(np.int64), rows["windows"].to_numpy(np.int64)
+            start = np.cumsum(sizes) - sizes
+            raw = b"".join(rows["bytes"])
+            later = first_windows(pd.factorize(rows["hash"])[0].astype(np.int64), start, count, rows["rel"].to_numpy(np.int64), np.frombuffer(raw, dtype=np.uint8))
+            context = np.repeat(np.arange(len(count)), count)
+            step = np.arange(len(context)) - np.repeat(np.cumsum(count) - count, count)
+            digests = [(0, 0) if gone else divmod(xxhash.xxh3_128_intdigest(raw[p : p + LENGTH]), 1 << 64) for p, gone in zip((start[context] + step).tolist(), later.tolist(), strict=True)]
+            x, y = (pa.array(np.array([d[i] for d in digests], dtype=np.uint64).view(np.int64), mask=later) for i in (0, 1))
+            low = rows["lo"].to_numpy(np.int64)[context] + step
+            yield pa.RecordBatch.from_arrays([x, y, pa.array(rows["doc"].to_numpy(np.int64)[context]), pa.array(rows["mark"].to_numpy(np.int64)[context]), pa.array(low)], names=["x", "y", "doc", "mark", "low"])
+
+    each = cut(contexts.mapInArrow(run, "x long, y long, doc long, mark long, low long"))
+    place = F.struct("doc", "mark", "low")
+    first = cut(each.where("x is not null").groupBy("x", "y").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    merged = each.where("x is not null").join(_small(first), ["x", "y"]).where(place > F.col("first"))
+    return each.where("x is null").unionByName(merged.drop("first")).select("doc", "mark", "low", F.col("low").alias("high"))
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: str | None = None) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (binary: remaining bytes joined).
 
     Texts are UTF-8 bytes, null counts as empty; matches never cross documents. A byte goes if a
     string of 100 bytes over it also starts earlier: in a document of smaller key, or before in its
     own. Of equal keys the one of smaller text hash comes first, a null key before all; rows equal in
     key and text are one document, and each gets its result. Columns of the new names are replaced.
+    ``whole`` names a further column: the remaining bytes as text, without the rests of characters
+    that lost a byte, and null for a null text.
     """
-    spark = docs.sparkSession
-    base = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
+    new = ["n_bytes", "n_removed", "n_spans", "kept", *([whole] if whole else [])]
+    base = docs.drop(*(c for c in new if c != text))
     body = F.coalesce(F.col(text), F.lit(""))
     lowest = F.lit(-(2**63)).cast("bigint")
     order = {"doc": F.coalesce(F.col(key).cast("bigint"), lowest), "mark": F.xxhash64(body)}
@@ -307,52 +401,37 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     first = rows.where(F.octet_length("text") >= LENGTH).join(_small(copies), ["doc", "mark"], "left_anti")
 
     repeated = cut(_hashes(first).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"))
-    table, bits = _bloom(repeated)
-    contexts = cut(_contexts(first, spark.sparkContext.broadcast(table), bits))
+    contexts = cut(_contexts(first, repeated))
     shipped = contexts.where(F.col("bytes").isNotNull())
     hot = cut(shipped.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash"))
     resolved = contexts.where(F.col("bytes").isNull()).select("doc", "mark", F.col("lo").cast("bigint").alias("low"), (F.col("lo") + F.col("windows") - 1).cast("bigint").alias("high"))
-    runs = resolved.union(_sorted_runs(shipped.join(_small(hot), "hash", "left_anti"))).union(_hashed_runs(shipped.join(_small(hot), "hash", "left_semi")))
+    runs = resolved.union(_sorted_runs(shipped.join(_small(hot), "hash", "left_anti"))).union(_parted_runs(shipped.join(_small(hot), "hash", "left_semi")))
     spans = runs.groupBy("doc", "mark").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("runs"))
     everything = F.array(F.struct(F.lit(0).cast("bigint").alias("low"), F.lit(2**40).alias("high")))
-    spans = cut(spans.select("doc", "mark", _merged("runs").alias("runs")).union(copies.select("doc", "mark", everything)).withColumnsRenamed({"doc": "s_doc", "mark": "s_mark"}))
+    doc, mark, found = unused(base.columns, "doc", "mark", "runs")
+    spans = cut(spans.select("doc", "mark", "runs").union(copies.select("doc", "mark", everything)).toDF(doc, mark, found))
 
-    joined = base.join(_small(spans), (order["doc"] == F.col("s_doc")) & (order["mark"] == F.col("s_mark")), "left").drop("s_doc", "s_mark")
-    names = [c for c in joined.columns if c != "runs"]
+    joined = base.join(_small(spans, f"size({found})"), (order["doc"] == F.col(doc)) & (order["mark"] == F.col(mark)), "left").drop(doc, mark)
+    names = [c for c in base.columns if c not in new]
 
     def strip(batches):
         for batch in slices(batches, ROWS):
-            out = [[] for _ in range(4)]
-            for t, runs in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index("runs")).to_pylist(), strict=True):
+            out = [[] for _ in new]
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            for t, runs in zip(column(text).to_pylist(), column(found).to_pylist(), strict=True):
                 raw = (t or "").encode("utf-8", "surrogatepass")
-                keep, at, removed = [], 0, 0
+                keep, at, removed, n = [], 0, 0, 0
                 for run in runs or ():
                     low, high = run["low"], min(len(raw), run["high"] + LENGTH)
+                    n += low > at or not n
                     keep.append(raw[at:low])
-                    at, removed = high, removed + high - low
-                keep.append(raw[at:])
-                for column, value in zip(out, (len(raw), removed, len(runs or ()), b"".join(keep)), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *(pa.array(c, k) for c, k in zip(out, [pa.int64()] * 3 + [pa.binary()], strict=True))], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-    return joined.mapInArrow(strip, with_fields(joined.select(*names).schema, n_bytes="long", n_removed="long", n_spans="long", kept="binary"))
-
-
-@F.pandas_udf(StringType())
-def whole_characters(kept: pd.Series) -> pd.Series:
-    """Bytes as text, without the rests of characters that lost a byte."""
-    return kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
-
-
-def _merged(runs: str):
-    """Sorted runs of window starts, those whose bytes overlap or touch as one."""
-    empty = F.array().cast("array<struct<low:bigint,high:bigint>>")
-
-    def add(acc, run):
-        last = F.get(acc, F.size(acc) - 1)
-        joins = (F.size(acc) > 0) & (run["low"] <= last["high"] + LENGTH)
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["low"].alias("low"), F.greatest(last["high"], run["high"]).alias("high"))))
-        return F.when(joins, grown).otherwise(F.concat(acc, F.array(run)))
-
-    return F.aggregate(F.col(runs), empty, add)
+                    removed += max(0, high - max(at, low))
+                    at = max(at, high)
+                kept = b"".join([*keep, raw[at:]])
+                for values, value in zip(out, (len(raw), removed, n, kept, None if t is None else kept.decode("utf-8", "ignore") if removed else t), strict=False):
+                    values.append(value)
+            kinds = [pa.int64()] * 3 + [pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([*map(column, names), *(pa.array(c, k) for c, k in zip(out, kinds, strict=False))], names=[*names, *new])
+
+    fields = dict(zip(new, ["long"] * 3 + ["binary", "string"], strict=False))
+    return joined.mapInArrow(strip, with_fields(joined.select(*names).schema, **fields))
