@@ -27,8 +27,8 @@ from proofmill.llm.arrow import batched, with_fields
 
 #: A space between two other characters that are no white space: no match of the pattern holds both sides.
 SPLIT = re.compile(r"(?<!\s) (?!\s)")
-#: Entries a worker keeps of each of the two caches before it starts them anew.
-CACHE = 600_000
+#: Entries of a generation of each of the two caches; a worker keeps two generations, some 50 MB in all.
+CACHE = 100_000
 #: Matches and chunks longer than this are encoded each time, so the caches stay small.
 LONGEST = 64
 
@@ -59,21 +59,35 @@ def _merges(ranks: dict[bytes, int]) -> Iterator[tuple[bytes, bytes]]:
 
 
 class _Kept(dict):
-    """Packed ids of texts, made by ``make`` as they come; packed on little-endian machines."""
+    """Packed ids of texts, made by ``make`` as they come; packed on little-endian machines.
+
+    A full generation becomes the older one, and what is asked for again moves to the new one.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, text: str) -> bytes:
-        ids = self.make(text)
+        ids = self.older.get(text)
+        ids = self.make(text) if ids is None else ids
         if len(text) <= LONGEST:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
             self[text] = ids
         return ids
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def _listed(table: dict[int, bytes]) -> list[bytes]:
+    return [table.get(i, b"") for i in range(max(table, default=-1) + 1)]
+
+
 class ByteBpe:
     """Encoder and byte table of one vocabulary; made once in each worker process by ``load``."""
 
@@ -87,14 +101,13 @@ class ByteBpe:
             self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
             table |= {i: t.content.encode() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         else:
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            ranks = _ranks(path)
             chars = byte_alphabet()
             name = lambda token: "".join(map(chars.__getitem__, token))
             self.tokenizer = Tokenizer(models.BPE(vocab={name(k): v for k, v in ranks.items()}, merges=[(name(a), name(b)) for a, b in _merges(ranks)]))
             self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             table, self.added = {v: k for k, v in ranks.items()}, []
-        self.table = [table.get(i, b"") for i in range(max(table, default=-1) + 1)]
+        self.table = _listed(table)
         self.sizes = np.array([len(x) for x in self.table], dtype=np.int64)
         # the bytes of a text as Latin-1 characters, to the characters that stand for them
         self.alphabet = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
@@ -135,7 +148,7 @@ class ByteBpe:
 
     def decode(self, ids_le: bytes) -> bytes:
         """Bytes of packed ids; an id that the table lacks is an error."""
-        return b"".join(map(self.table.__getitem__, np.frombuffer(ids_le, dtype="<u4").tolist()))
+        return decoded(self.table, ids_le)
 
     def offsets(self, ids_le: bytes) -> list[int]:
         """For each id the character in which it starts: a character split between ids counts for each of them."""
@@ -146,13 +159,24 @@ class ByteBpe:
         return chars[starts].tolist() if len(ids) else []
 
 
-@lru_cache(4)
+def decoded(table: list[bytes], ids_le: bytes) -> bytes:
+    """Bytes of packed ids by a table of each id's bytes."""
+    return b"".join(map(table.__getitem__, np.frombuffer(ids_le, dtype="<u4").tolist()))
+
+
+@lru_cache(2)
 def load(path: str, pattern: str) -> ByteBpe:
-    """The encoder of a vocabulary file: tiktoken ranks, or the JSON of the tokenizers library."""
+    """The encoder of a vocabulary file: tiktoken ranks, or the JSON of the tokenizers library; a worker keeps the last two."""
     return ByteBpe(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = False, rows: int = 1000) -> DataFrame:
+@lru_cache(1)
+def byte_table(path: str, pattern: str) -> list[bytes]:
+    """The bytes of each id, for decoding alone: tiktoken ranks say them without an encoder."""
+    return ByteBpe(path, pattern).table if path.endswith(".json") else _listed({v: k for k, v in _ranks(path).items()})
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = False, rows: int = 500) -> DataFrame:
     """``docs`` with ``ids_le`` (binary: packed ids of the whole text), and ``offsets`` if asked for.
 
     ``offsets`` has the index of the character in which each id starts. A null text counts as
@@ -169,7 +193,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets
     return kept.mapInArrow(batched(rows, run), with_fields(kept.schema, ids_le="binary", **({"offsets": ArrayType(LongType())} if offsets else {})))
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids_le", rows: int = 1000) -> DataFrame:
+def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids_le", rows: int = 500) -> DataFrame:
     """``encoded`` with ``decoded`` (binary: the bytes of all ids joined); null ids give null.
 
     ``text_of("decoded")`` makes characters of them.
@@ -177,8 +201,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids_le", row
     kept = encoded.drop("decoded")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = load(path, pattern)
-        out = [None if x is None else bpe.decode(x) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
+        table = byte_table(path, pattern)
+        out = [None if x is None else decoded(table, x) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return kept.mapInArrow(batched(rows, run), with_fields(kept.schema, decoded="binary"))
