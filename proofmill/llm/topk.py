@@ -1,9 +1,10 @@
 """Exact top-k search with an impact-ordered index, score at a time.
 
-Components are quantised to integers. A block of the index holds its postings in segments by
-descending impact (powers of two of the absolute value). Queries add up whole segments, highest
-impact first. What later segments can still add is bounded, so a query stops once the bound proves
-that few candidates can be members; those are rescored exactly.
+Components are quantised to integers. A block of the index holds, for each impact (the absolute
+value, of larger ones the leading four bits), a segment of postings: by dimension, the rows with
+such a component and its value. Queries add up whole segments, highest impact first. What later
+segments can still add is bounded, so a query stops once the bound proves that only few rows can be
+members, fewer than it costs to go on; those are rescored exactly.
 """
 
 from __future__ import annotations
@@ -14,8 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofmill.llm.arrow import slices
+
 #: Queries that are scored at a time.
 BATCH = 256
+#: Blocks of queries that a task takes to one block of the index.
+TOGETHER = 64
 
 
 def quantised(vectors: DataFrame, scale: float = 64.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -45,54 +50,72 @@ def _packed(rows: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
     return keyed.groupBy("block").applyInPandas(pack, "block int, width int, ids binary, values binary"), blocks
 
 
+def impacts(values: np.ndarray) -> np.ndarray:
+    """Quantised impact of each component: its absolute value, of values from 16 on the leading four bits."""
+    size = np.abs(values.astype(np.int64))
+    low = np.maximum(0, np.frexp(size.astype(np.float64))[1] - 4)
+    return size >> low << low
+
+
 class ImpactIndex:
-    """One block: segments by descending impact, and for each level what is left of every vector."""
+    """One block: segments of postings by descending impact, and after each of them what is left of every row."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray, exact: type):
         self.ids, self.values = ids, values.astype(exact)
-        size, top = np.abs(values), int(np.abs(values).max(initial=0))
-        #: (segment, largest absolute value below it, Euclidean norm of what is left)
+        self.asked = self.early = 0  # queries, and those that a proof stopped before the last segment
+        impact = impacts(values)
+        dims, rows = np.nonzero(impact.T)
+        impact, value = impact[rows, dims], self.values[rows, dims]
+        order = np.lexsort((rows, dims, -impact))
+        dims, rows, impact, value = dims[order], rows[order], impact[order], value[order]
+        starts = np.flatnonzero(np.concatenate([[True], impact[1:] != impact[:-1]])) if len(impact) else np.zeros(0, int)
+        rest = np.bincount(rows, value.astype(np.float64) ** 2, minlength=len(ids))
         self.segments = []
-        rest = values.copy()
-        for level in range(top.bit_length() - 1, -1, -1):
-            here = size >> level == 1
-            if here.any():
-                segment = np.where(here, values, 0).astype(exact)
-                rest[here] = 0
-                self.segments.append((segment, int(np.abs(rest).max(initial=0)), np.sqrt((rest.astype(np.float64) ** 2).sum(1))))
+        for at, end in zip(starts.tolist(), np.append(starts[1:], len(impact)).tolist(), strict=False):
+            rest = rest - np.bincount(rows[at:end], value[at:end].astype(np.float64) ** 2, minlength=len(ids))
+            cuts = np.flatnonzero(np.diff(dims[at:end])) + 1
+            postings = [(int(dims[at + c]), r, v[:, None]) for c, r, v in zip([0, *cuts.tolist()], np.split(rows[at:end], cuts), np.split(value[at:end], cuts), strict=True)]
+            below = int(np.abs(value[end:]).max(initial=0))
+            self.segments.append((postings, below, np.sqrt(np.maximum(rest, 0)) * (1 + 1e-9), len(impact) - end))
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each query its (at most) k best of this block: positions in ``own``, ids, scores. Rows with the query's id are its own."""
         found = []
+        n, width = self.values.shape
         want = k + int(np.unique(self.ids, return_counts=True)[1].max(initial=1))  # the query's own rows may be among the best
-        norms, sums = np.sqrt((queries.astype(np.float64) ** 2).sum(1)), np.abs(queries).sum(1, dtype=np.float64)
-        active, scores = np.arange(len(queries)), np.zeros((len(queries), len(self.ids)), dtype=self.values.dtype)
-        for level, (segment, most, rest) in enumerate(self.segments):
-            scores += queries[active] @ segment.T
-            last = level == len(self.segments) - 1
-            if want >= len(self.ids) or not last and level % 2 == 0:
-                if not last:
-                    continue
-            left = 0 if last else np.minimum(np.outer(norms[active], rest) * (1 + 1e-9), (sums[active] * most)[:, None])
-            low = scores - left
-            least = np.partition(low, len(self.ids) - want, axis=1)[:, len(self.ids) - want] if want < len(self.ids) else np.full(len(active), -np.inf)
-            possible = scores + left >= least[:, None]
-            done = possible.sum(1) <= 8 * want if not last else np.ones(len(active), dtype=bool)
-            for row in np.flatnonzero(done):
-                at = np.flatnonzero(possible[row])
-                at = at[self.ids[at] != own[active[row]]]
-                exact = (self.values[at] @ queries[active[row]]).astype(np.int64)
-                best = np.lexsort((self.ids[at], -exact))[:k]
-                found.append((np.full(len(best), active[row]), self.ids[at][best], exact[best]))
-            active, scores = active[~done], scores[~done]
+        norms, sums = np.sqrt((queries.astype(np.float64) ** 2).sum(1)) * (1 + 1e-9), np.abs(queries).sum(1, dtype=np.float64)
+        active, scores = np.arange(len(queries)), np.zeros((n, len(queries)), dtype=self.values.dtype)
+        self.asked += len(queries)
+        tested = n * width
+        for postings, below, rest, left in self.segments:
+            weights = np.ascontiguousarray(queries[active].T)
+            for dim, rows, value in postings:
+                scores[rows] += value * weights[dim]
+            if left > tested // 2 or not left or want >= n:
+                continue  # the proof is tried whenever half of the postings since the last time are done
+            tested = left
+            slack = np.minimum(np.outer(rest, norms[active]), below * sums[active])
+            least = np.partition(scores - slack, n - want, axis=0)[n - want]
+            possible = scores + slack >= least
+            done = possible.sum(0) * width <= left
+            for col in np.flatnonzero(done):
+                found.append(self._exact(np.flatnonzero(possible[:, col]), active[col], own, queries, k))
+            self.early += int(done.sum())
+            active, scores = active[~done], scores[:, ~done]
             if not len(active):
                 break
-        if not self.segments:  # all vectors are zero
-            for row in active:
-                at = self.ids[self.ids != own[row]][:k]
-                found.append((np.full(len(at), row), at, np.zeros(len(at), dtype=np.int64)))
+        for col, row in enumerate(active.tolist()):  # all postings are added up: scores are exact
+            at = np.argpartition(-scores[:, col], want - 1)[:want] if want < n else np.arange(n)
+            at = np.flatnonzero(scores[:, col] >= scores[at, col].min()) if len(at) else at
+            found.append(self._exact(at, row, own, queries, k))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
 
+    def _exact(self, at: np.ndarray, row: int, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = at[self.ids[at] != own[row]]
+        exact = (self.values[at] @ queries[row]).astype(np.int64)
+        best = np.lexsort((self.ids[at], -exact))[:k]
+        return np.full(len(best), row), self.ids[at][best], exact[best]
+
 
 def _values(row: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(row["ids"], dtype=np.int64)
@@ -105,22 +128,26 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, block_rows: int
 
     Both frames come from ``quantised``. Ties go to the smaller id; a query's own id is no
     candidate; vectors of different lengths count as filled with zeros. Each block of queries meets
-    each block of the index once and keeps k rows of a query.
+    each block of the index once and keeps k rows of a query. A task takes many blocks of queries to
+    one of the index, whose segments are made once for them.
     """
     index, blocks = _packed(vectors, block_rows)
     asked, groups = _packed(queries, query_rows)
-    left = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = asked.select(F.col("block").alias("group"), F.struct("width", "ids", "values").alias("asked")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    both = left.join(right, ["block", "group"])
+    turns = -(-groups // TOGETHER)
+    left = index.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    right = asked.select(F.pmod("block", F.lit(turns)).alias("turn"), F.struct("width", "ids", "values").alias("asked")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    both = left.join(right, ["block", "turn"])
 
     def run(batches):
-        for batch in batches:
+        held, block = None, None
+        for batch in slices(batches, 1):
             for row in batch.to_pylist():
                 width = max(row["width"], row["asked"]["width"])
                 (ids, values), (own, wanted) = _values(row, width), _values(row["asked"], width)
                 size = float(np.abs(values.astype(np.int64)).max(initial=0)) * float(np.abs(wanted.astype(np.int64)).max(initial=0)) * max(1, width)
                 exact = np.float32 if size < 2**23 else np.float64 if size < 2**52 else np.int64
-                block = ImpactIndex(ids, values, exact)
+                if held != (row["block"], width, exact):
+                    held, block = (row["block"], width, exact), ImpactIndex(ids, values, exact)
                 for at in range(0, len(own), BATCH):
                     q, v, s = block.search(own[at : at + BATCH], wanted[at : at + BATCH].astype(exact), k)
                     yield pa.RecordBatch.from_arrays([pa.array(own[at : at + BATCH][q.astype(np.int64)]), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])

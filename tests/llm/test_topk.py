@@ -24,6 +24,21 @@ def test_block_against_brute_force(seed):
     assert sorted(zip(q.tolist(), v.tolist(), s.tolist())) == sorted((a, c, d) for a, _, c, d in brute(ids, values, range(40), 5))
 
 
+@pytest.mark.parametrize("heavy, least", [(False, 0.0), (True, 0.9)])
+def test_queries_stop_on_proof(heavy, least):
+    """Where few components carry most of a vector, nearly all queries stop before the last segment."""
+    r = np.random.default_rng(3)
+    values = r.normal(0, 9, (4000, 32))
+    values = (values**3 / 100 if heavy else values).astype(np.int32)
+    ids = np.arange(len(values), dtype=np.int64)
+    index = topk.ImpactIndex(ids, values, np.float64)
+    q, v, s = index.search(ids[:60], values[:60].astype(np.float64), 5)
+    assert sorted(zip(q.tolist(), v.tolist(), s.tolist())) == sorted((a, c, d) for a, _, c, d in brute(ids, values.astype(np.int64), range(60), 5))
+    assert index.asked == 60 and index.early >= least * 60
+    postings = sum(len(rows) for p, *_ in index.segments for _, rows, _ in p)
+    assert postings == np.count_nonzero(values) and [x[3] for x in index.segments] == sorted((x[3] for x in index.segments), reverse=True)
+
+
 def test_frames_against_brute_force(spark, tmp_path):
     r = np.random.default_rng(1)
     x = r.normal(0, 0.2, (300, 8)).astype(np.float32)
