@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofmill.llm.arrow import unused
+from proofmill.tables import cut
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Strong kinds in order: pattern, group that is measured, least characters of it.
 BASE = {"assign": (ASSIGN, 2, 12), "access": (r"AKIA[A-Z0-9]+", 0, 18), "hex": (r"[0-9a-f]+", 0, 16)}
@@ -21,9 +24,22 @@ WEAK = {
     "endpoint": r"""https?://[^\s"'<>()]{4,}""",
 }
 KINDS = [*BASE, *WEAK]
+#: Values that are added up together in an array.
+CHUNK = 64
 SPAN = "struct<start:bigint,end:bigint,kind:string,part:string>"
 
 
+def running(values: Column, op, zero: int) -> Column:
+    """Running results of an associative ``op`` over an array of bigint, in chunks, so that work stays in proportion to its size."""
+    last = lambda a: F.get(a, F.size(a) - 1)
+    grown = lambda a, x: F.concat(a, F.array(op(F.coalesce(last(a), F.lit(zero).cast("bigint")), x)))
+    none = F.array().cast("array<bigint>")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda c: F.aggregate(F.slice(values, c * CHUNK + 1, F.lit(CHUNK)), none, grown))
+    bases = F.aggregate(chunks, F.array(F.lit(zero).cast("bigint")), lambda a, c: grown(a, last(c)))
+    both = F.flatten(F.zip_with(chunks, F.slice(bases, F.lit(1), F.size(chunks)), lambda c, base: F.transform(c, lambda x: op(base, x))))
+    return F.when(F.size(values) > 0, both).otherwise(none)
+
+
 def _located(text: Column, pattern: str, kind: str) -> Column:
     """All leftmost non-overlapping matches with their places in code points.
 
@@ -31,16 +47,10 @@ def _located(text: Column, pattern: str, kind: str) -> Column:
     lengths of both give the places.
     """
     hits, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    both = F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(F.char_length(gap).cast("bigint").alias("gap"), F.char_length(hit).cast("bigint").alias("size"), hit.alias("hit")))
-    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), (start + x["size"]).alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("part"))
-        return F.struct((start + x["size"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    found = F.aggregate(both, none, add, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    steps = F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda gap, hit: (F.char_length(gap) + F.char_length(hit)).cast("bigint"))
+    ends = running(steps, lambda x, y: x + y, 0)
+    span = lambda end, hit: F.struct((end - F.char_length(hit)).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), hit.alias("part"))
+    return F.when(text.rlike(pattern), F.zip_with(ends, hits, span)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _measured(pattern: str, group: int, least: int):
@@ -76,7 +86,8 @@ def scan(docs: DataFrame, scope: int = 256, key: str = "doc_id", text: str = "te
     body = F.col("text")
     maybe = (body.rlike(WEAK["id"]) | body.rlike(BASE["access"][0])) & (body.rlike(WEAK["secret"]) | body.rlike(BASE["assign"][0]) | body.rlike(r"[0-9a-f]{16,}"))
     rows = rows.withColumn("base", base_spans(body))
-    rows = rows.select("key", "text_hash", "base", F.when(maybe, _weak_spans(body, F.col("base"))).alias("weak"))
+    # spans only, written once: all branches of the joins read them, and texts are read once
+    rows = cut(rows.select("key", "text_hash", "base", F.when(maybe, _weak_spans(body, F.col("base"))).alias("weak")))
 
     # parts of documents that hold a weak candidate at all; equal rows give equal parts, once
     parts = rows.where(F.size("weak") > 0).select("key", "text_hash", F.explode(F.concat(F.col("base"), F.col("weak"))).alias("s")).select("key", "text_hash", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind")).distinct()
@@ -109,17 +120,17 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, scope: int = 256, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each run of overlapping spans replaced by ``mark``; rows, order of columns and null texts stay."""
-    found = scan(docs, scope, key, text).select(F.col(key).alias("s_key"), F.col("text_hash").alias("s_hash"), F.array_sort(F.transform(F.concat("base", "linked"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("spans"))
-    found = found.where(F.size("spans") > 0).dropDuplicates(["s_key", "s_hash"])
-    same = F.col(key).eqNullSafe(F.col("s_key")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("s_hash"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        before = F.array(F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], before)).otherwise(acc["out"]).alias("out"))
-
-    cleaned = F.aggregate("spans", start, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.char_length(F.col(text)))))
-    joined = docs.join(found, same, "left")
-    return joined.select(*[F.coalesce(F.when(F.size("spans") > 0, cleaned), F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns])
+    """``docs`` with each run of overlapping spans replaced by ``mark``; rows, columns, their order and null texts stay."""
+    k, h, spans, wide, ends = unused(docs.columns, "s_key", "s_hash", "spans", "wide", "ends")
+    own = F.array_sort(F.transform(F.concat("base", "linked"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    found = scan(docs, scope, key, text).select(F.col(key).alias(k), F.col("text_hash").alias(h), own.alias(spans))
+    found = found.where(F.size(spans) > 0).dropDuplicates([k, h])
+    same = F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(h))
+    # four bytes for each code point, so that a piece is found by its place
+    joined = docs.join(found, same, "left").withColumns({wide: F.when(F.size(spans) > 0, F.encode(F.col(text), "UTF-32")), ends: running(F.transform(spans, lambda s: s["end"]), F.greatest, 0)})
+    piece = lambda at, n: F.decode(F.substring(F.col(wide), (4 * at + 1).cast("int"), (4 * n).cast("int")), "UTF-32")
+    before = lambda i: F.when(i > 0, F.get(F.col(ends), i - 1)).otherwise(F.lit(0).cast("bigint"))
+    parts = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(piece(before(i), s["start"] - before(i)), F.lit(mark))).otherwise(""))
+    last = F.get(F.col(ends), F.size(ends) - 1)
+    cleaned = F.concat(F.array_join(parts, ""), piece(last, F.octet_length(F.col(wide)) / 4 - last))
+    return joined.select(*[F.coalesce(F.when(F.size(spans) > 0, cleaned), F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns])

@@ -39,3 +39,13 @@ def test_query_over_a_table(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     for r in queries.op10_secret_scan(spark, str(tmp_path)).collect():
         assert r["base_sha256"] == hashlib.sha256(expected(TEXTS[r["doc_id"]] or "").encode()).hexdigest()
+
+
+def test_clashing_columns_and_many_matches(spark):
+    text = "é\U0001f600 token = 'aaaaaaaaaaaa' " * 300 + "end"
+    docs = spark.createDataFrame([(1, text, 7, 8, 9), (None, "clean", 1, 2, 3)], "doc_id long, text string, spans int, s_key int, WIDE int")
+    out = secrets.redact(docs, mark="#")
+    assert out.columns == docs.columns
+    assert sorted((r["spans"], r["s_key"], r["WIDE"], r["text"]) for r in out.collect()) == [(1, 2, 3, "clean"), (7, 8, 9, "é\U0001f600 #' " * 300 + "end")]
+    assert [r["b"] for r in secrets.scan(docs.limit(1)).select(secrets.listed(F.col("base")).alias("b")).collect()] == [expected(text)]
+    assert secrets.redact(docs.limit(0)).count() == 0
