@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmill.llm.arrow import slices, with_fields
+from proofmill.llm.arrow import slices, unused, with_fields
 from proofmill.tables import cut
 
 UNDETERMINED = "und"
@@ -189,3 +189,11 @@ def identify(docs: DataFrame, model: LanguageFilters, text: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     return kept.mapInArrow(run, with_fields(kept.schema, lang_pred="string", score="double"))
+
+
+def select_identified(docs: DataFrame, model: LanguageFilters, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in a learned language, with their own columns only, also those named as ``identify`` names its own."""
+    own = [c for c in docs.columns if c in ("lang_pred", "score")]
+    held = dict(zip(own, unused(docs.columns, *(f"own_{c}" for c in own)), strict=True))
+    found = identify(docs.withColumnsRenamed(held), model, text).where(F.col("lang_pred") != UNDETERMINED)
+    return found.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in held.items()}).select(*docs.columns)

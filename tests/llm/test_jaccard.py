@@ -41,8 +41,11 @@ def corpus(seed):
     return out + ["", None, "one", "ONE", "one two", "a b c\td\x0be", "É a b c d", "é a b c d", " \t ", "a b c d e", "A B C D E"] + [out[3]] * 5
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, wide, block", [(1, 32, 4 << 20), (2, 2, 4000)])
+def test_components_against_brute_force(spark, seed, wide, block, monkeypatch):
+    """Also with nearly all columns counted as wide, and blocks of a few classes."""
+    monkeypatch.setattr(jaccard, "WIDE", wide)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     texts = corpus(seed)
     docs = spark.createDataFrame([(i + 10, t, 1) for i, t in enumerate(texts)] + [(None, "one", 2)], "doc_id long, text string, n int").repartition(5)
     got = {r["doc_id"]: r for r in jaccard.join(docs).collect()}
@@ -56,3 +59,28 @@ def test_components_against_brute_force(spark, seed):
 
 def test_empty_table(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_line_shared_by_thousands_of_texts_stays_far_from_all_pairs(spark, monkeypatch):
+    r = random.Random(5)
+    line = [f"c{i}" for i in range(15)]
+    texts = [line + [f"u{i}-{k}" for k in range(i % 5 + 2)] for i in range(2000)]
+    texts += [[*t[:14], f"v{i}", *t[15:]] for i, t in enumerate(texts[:300])] + [[f"p{k}" for k in range(60)][r.randrange(8) :] for _ in range(50)]
+    seen, bands = [], jaccard._bands
+    monkeypatch.setattr(jaccard, "_bands", lambda *a: seen.append(bands(*a)) or bands(*a))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()}
+    sets = [plain(" ".join(t)) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if min(len(sets[i]), len(sets[j])) * 100 >= 75 * max(len(sets[i]), len(sets[j])) and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert got == find(pairs, range(len(sets)))
+    work = [(a["i"], a["p"]) for x in seen for a in x.groupBy("gram", "band").agg({"index": "count"}).selectExpr("`count(index)` i", "`count(index)` p").collect()]
+    assert sum(i * p for i, p in work) < 20 * len(texts)
+
+
+def test_rows_of_repeated_and_null_keys_are_told_apart(spark):
+    text = "a b c d e f g h i j k l"
+    docs = spark.createDataFrame([(1, text), (2, text), (2, "other words that share nothing with it at all"), (None, text), (None, text), (3, text * 20_000)], "doc_id long, text string")
+    rows = jaccard.join(docs).collect()
+    same = {r["class_id"] for r in rows if r["text_hash"] == next(x["text_hash"] for x in rows if x["doc_id"] == 1)}
+    assert len(rows) == 6 and len(same) == 1 and None not in same
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows if r["doc_id"]) == [(1, 1), (2, 1), (2, 2), (3, 3)]

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -32,3 +33,18 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     for r in whole:
         ids_ = np.array([*t.encode(seen[3][r["doc_id"]]["text"], add_special_tokens=False).ids, 0], dtype="<u4")
         assert r["ids_crc32"] == zlib.crc32(ids_[r["start"] : r["start"] + r["length"]].tobytes())
+
+
+def test_repeated_and_null_keys_clashing_columns_and_empty_tables(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, 0.5, 1), (2, text, 0.5, 2), (2, "quite another text of its own with many words", 0.5, 3), (None, text, 0.5, 4), (None, "no key but words of its own here too", 0.5, 5), (5, "", 0.5, 6), (5, "", 0.5, 7), (1, text, 0.5, 8), (6, None, 0.5, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, row_key int")
+    got = sorted((r["row_key"] for r in corpus_pipeline.deduplicated(spark, docs, "").collect()))
+    assert got in ([1, 3, 5, 6, 7, 9], [3, 5, 6, 7, 8, 9])
+    learned = docs.withColumns({"lang": F.lit("en"), "spans": F.lit(1), "runs": F.lit(2), "kept": F.lit(3)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, learned, "")
+        assert out.columns == learned.columns and out.where("score <> 0.5 or spans <> 1 or runs <> 2 or kept <> 3").count() == 0
+        assert stage(spark, learned.limit(0), "").count() == 0
+    assert corpus_pipeline.packed(spark, learned.limit(0), "").count() == 0
+    assert corpus_pipeline.packed(spark, learned, "").count() == len(rows)
