@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the session names none (tests, a laptop), a local folder is set for the session.
+    Where the session names none, a local folder is set for the session if Spark runs in this
+    process alone (tests, a laptop); on a cluster that is an error, as executors would not share it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is unset: on {master} it must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="proofmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -43,3 +48,20 @@ def drop(df: DataFrame) -> None:
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
     conf = df.sparkSession._jsc.hadoopConfiguration()
     path.getFileSystem(conf).delete(path, True)
+
+
+class Scratch(list):
+    """Tables that ``cut`` has written for one job, to be deleted together once its result is written."""
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.append(cut(df))
+        return self[-1]
+
+    def held(self, df: DataFrame) -> DataFrame:
+        """A frame that ``cut`` returned elsewhere, to be deleted with the others."""
+        self.append(df)
+        return df
+
+    def clear(self) -> None:
+        while self:
+            drop(self.pop())
