@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from proofmill.llm.arrow import slices
 from proofmill.llm.components import components
-from proofmill.tables import cut
+from proofmill.tables import Scratch, cut
 
 #: Odd 64-bit multipliers of the places in a shingle.
 PLACES = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3) + 4 * i) % 2**64 | 1) for i in range(64)]
@@ -190,14 +190,15 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id",
     sketch = spark.sparkContext.broadcast(_sketch(sets))
     members = sets.where(F.col("slice").isNull()).select("doc_id", "text_hash", "n_shingles", "fp")
 
+    scratch = Scratch()
     # columns that rows of two classes or more have among their first
     posted = _first_columns(rows, sketch, size, percent).repartition("gram")
     # all columns are asked for on both sides, so that they read the same exchange
     shared = posted.groupBy("gram").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.min("n").alias("least"), F.min("behind").alias("few")).where("low <> high and least > 0 and few > 0").select("gram")
-    live = cut(posted.join(shared, "gram").distinct())
+    live = scratch.cut(posted.join(shared, "gram").distinct())
     widths = live.groupBy("gram").agg((F.count("*") > WIDE).alias("wide"))
     live_w = live.join(widths, "gram")
-    wide = cut(live_w.where("wide").drop("wide"))
+    wide = scratch.cut(live_w.where("wide").drop("wide"))
     heavy = wide.groupBy("fp").agg(F.count("*").alias("heavy"))
     slim = live_w.where(~F.col("wide")).drop("wide").join(heavy, "fp", "left").withColumn("heavy", F.coalesce("heavy", F.lit(0)))
 
@@ -205,21 +206,21 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id",
     left, right = (slim.select("gram", F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("heavy").alias(f"h{x}")) for x in "ab")
     product = left.join(right, "gram").where(F.col("a") < F.col("b")).where(_fits("na", "nb", percent)).groupBy("a", "b", "na", "nb", "ha", "hb").agg(F.count("*").alias("count"))
     rest = lambda x: F.floor(F.col(x) * percent / 100)  # columns behind the first ones, at most
-    product = cut(product.where(F.col("count") + F.least("ha", "hb") + F.greatest(rest("na"), rest("nb")) >= _needed("na", "nb", percent)).select("a", "b", "count"))
+    product = scratch.cut(product.where(F.col("count") + F.least("ha", "hb") + F.greatest(rest("na"), rest("nb")) >= _needed("na", "nb", percent)).select("a", "b", "count"))
 
     # the pivot of a wide column is its class of most wide columns; a class meets the pivots of most of its columns
-    pivots = cut(wide.join(heavy, "fp").groupBy("gram").agg(F.max(F.struct("heavy", F.col("fp").alias("pivot"), F.col("n").alias("np"))).alias("p")).select("gram", "p.pivot", "p.np"))
+    pivots = scratch.cut(wide.join(heavy, "fp").groupBy("gram").agg(F.max(F.struct("heavy", F.col("fp").alias("pivot"), F.col("n").alias("np"))).alias("p")).select("gram", "p.pivot", "p.np"))
     met = wide.join(_small(pivots), "gram").where(F.col("fp") != F.col("pivot")).where(_fits("n", "np", percent)).groupBy("fp", "pivot").agg(F.count("*").alias("k"))
     order = Window.partitionBy("fp").orderBy(F.desc("k"), "pivot")
-    starred = cut(met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS).select(F.col("pivot").alias("a"), F.col("fp").alias("b")))
+    starred = scratch.cut(met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS).select(F.col("pivot").alias("a"), F.col("fp").alias("b")))
 
     # each class with its best partner and the pivots first; then only what still lies apart
     either = product.select("a", "b", "count").union(product.select(F.col("b").alias("a"), F.col("a").alias("b"), "count"))
     best = either.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ends = product.select("a", "b").union(starred)
-    asked = cut(ends.select(F.col("a").alias("fp")).union(ends.select("b")).union(wide.select("fp")).distinct())
+    asked = scratch.cut(ends.select(F.col("a").alias("fp")).union(ends.select("b")).union(wide.select("fp")).distinct())
     holders = sets.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "text_hash")).alias("h"))
-    holders = cut(holders.join(asked, "fp").select("fp", F.col("h.doc_id").alias("holder"), F.col("h.text_hash").alias("hash")))
+    holders = scratch.cut(holders.join(asked, "fp").select("fp", F.col("h.doc_id").alias("holder"), F.col("h.text_hash").alias("hash")))
 
     def gather(batches):
         words = _Words()
@@ -230,29 +231,30 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(np.array(marks, dtype=np.int64)[right]), pa.array([s.tobytes() for s, ok in zip(found, right, strict=True) if ok], pa.binary())], names=["fp", "members"])
 
     held = rows.join(_small(holders), F.col("doc_id").eqNullSafe(F.col("holder")) & (F.xxhash64("text") == F.col("hash"))).select("fp", "text")
-    incidence = cut(held.mapInArrow(gather, "fp long, members binary").dropDuplicates(["fp"]))
-    first = cut(_verified(cut(best.union(starred.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()), incidence))
-    near = components(first.where(_linked(percent)))
+    incidence = scratch.cut(held.mapInArrow(gather, "fp long, members binary").dropDuplicates(["fp"]))
+    first = scratch.cut(_verified(scratch.cut(best.union(starred.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()), incidence))
+    near = scratch.held(components(first.where(_linked(percent))))
 
     # what is left: pairs of the product across components, and classes of a wide column across components
-    label = cut(near.select(F.col("id").alias("fp"), "component"))
+    label = near.select(F.col("id").alias("fp"), "component")
     apart = product.select("a", "b").join(label.select(F.col("fp").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("fp").alias("b"), F.col("component").alias("cb")), "b", "left")
     apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _verified(cut(apart), incidence)
-    placed = cut(wide.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
-    edges = first.where(_linked(percent)).select("a", "b").union(second.where(_linked(percent)).select("a", "b")).union(_across(placed, incidence, percent))
-    final = components(edges)
+    second = _verified(scratch.cut(apart), incidence)
+    placed = scratch.cut(wide.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    edges = first.where(_linked(percent)).select("a", "b").union(second.where(_linked(percent)).select("a", "b")).union(_across(placed, incidence, percent, scratch))
+    final = scratch.held(components(edges))
 
     classes = members.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("low"))
     classes = classes.join(final.select(F.col("id").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    classes = cut(classes)
-    lows = cut(classes.groupBy("component").agg(F.min("low").alias("component_id")))
+    classes = scratch.cut(classes)
+    lows = scratch.cut(classes.groupBy("component").agg(F.min("low").alias("component_id")))
     named = cut(classes.join(_small(lows), "component").select("fp", "component", "component_id"))
+    scratch.clear()
     out = members.join(_small(named), "fp", "left")
     return out.select(F.col("doc_id").alias(key), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "text_hash", F.col("component").alias("class_id"))
 
 
-def _bands(placed: DataFrame, percent: int) -> DataFrame:
+def _bands(placed: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Classes by column, band of sizes and side, without bands of a single component.
 
     Let g be the first column that two linked classes share. All they share stands from g on, and
@@ -270,24 +272,24 @@ def _bands(placed: DataFrame, percent: int) -> DataFrame:
     # of each band: its components' extremes, and the component that most of its index has
     kinds = both.groupBy("gram", "band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.bool_or("index").alias("i"), F.bool_or(~F.col("index")).alias("p")).where("c1 <> c2 and i and p")
     main = index.groupBy("gram", "band", "component").agg(F.count("*").alias("k")).groupBy("gram", "band").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    open_ = cut(kinds.join(main, ["gram", "band"]).select("gram", "band", "main"))
+    open_ = scratch.cut(kinds.join(main, ["gram", "band"]).select("gram", "band", "main"))
     return both.join(_small(open_), ["gram", "band"])
 
 
-def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(placed: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links between components of classes that share a wide column, at least one for each class and component it links to.
 
     In each band (see ``_bands``) index classes outside the main component meet all probes, those of
     the main component only probes outside it. A task multiplies the incidence of two blocks of
     bounded bytes and adds up overlaps.
     """
-    sides = cut(_bands(placed, percent))
+    sides = scratch.cut(_bands(placed, percent, scratch))
     minor = F.col("component") != F.col("main")
     # kind 0: minor index classes and all probes; kind 1: the main component's index classes and minor probes
     kinds = F.when(F.col("index"), F.array(F.when(minor, 0).otherwise(1))).otherwise(F.when(minor, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     dealt = sides.withColumn("kind", F.explode(kinds))
     parts = dealt.groupBy("gram", "band", "kind").agg(*[F.ceil(F.sum(F.when(F.col("index") == F.lit(side), F.col("n").cast("bigint") * 8)) / BLOCK).cast("int").alias(name) for name, side in (("ni", True), ("np", False))]).where("ni > 0 and np > 0")
-    dealt = dealt.join(_small(cut(parts)), ["gram", "band", "kind"]).withColumn("part", F.pmod(F.xxhash64("fp", "gram"), F.when(F.col("index"), F.col("ni")).otherwise(F.col("np"))).cast("int"))
+    dealt = dealt.join(_small(scratch.cut(parts)), ["gram", "band", "kind"]).withColumn("part", F.pmod(F.xxhash64("fp", "gram"), F.when(F.col("index"), F.col("ni")).otherwise(F.col("np"))).cast("int"))
     rows = dealt.join(sets, "fp").select("gram", "band", "kind", "index", "part", F.when(F.col("index"), F.col("np")).otherwise(F.col("ni")).alias("over"), "fp", "component", "members")
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.llm.components import components
-from proofmill.tables import cut
+from proofmill.tables import cut, drop
 
 #: Queries that walk the graph together, and nodes that each of them expands at a time.
 BATCH, STEP = 256, 4
@@ -328,6 +328,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, shard_rows: int = 1
                 yield pa.RecordBatch.from_arrays([pa.array(names[joined]), pa.array(np.zeros(joined.sum(), dtype=np.int64)), pa.array(root[joined])], names=["rep", "links", "root"])
 
     found = cut(nodes.join(asks, ["lab", "i", "j"]).drop("lab", "i", "j").mapInArrow(search, "rep long, links long, root long"))
+    drop(packed)
     linked = components(found, "rep", "root")
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
     per_class = classes.join(totals, "rep").join(linked, F.col("rep") == F.col("id"), "left").select("label", "mark", "x", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

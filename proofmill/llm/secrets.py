@@ -11,10 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofmill.llm.arrays import running
 from proofmill.llm.arrow import unused
 from proofmill.tables import cut
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: Spans of all rows of a side that is broadcast; more are shuffled.
+SMALL = 1_000_000
 #: Strong kinds in order: pattern, group that is measured, least characters of it.
 BASE = {"assign": (ASSIGN, 2, 12), "access": (r"AKIA[A-Z0-9]+", 0, 18), "hex": (r"[0-9a-f]+", 0, 16)}
 #: Weak kinds: a named account or key identifier, a long run with digits, capitals and small letters, a URL.
@@ -24,22 +27,9 @@ WEAK = {
     "endpoint": r"""https?://[^\s"'<>()]{4,}""",
 }
 KINDS = [*BASE, *WEAK]
-#: Values that are added up together in an array.
-CHUNK = 64
 SPAN = "struct<start:bigint,end:bigint,kind:string,part:string>"
 
 
-def running(values: Column, op, zero: int) -> Column:
-    """Running results of an associative ``op`` over an array of bigint, in chunks, so that work stays in proportion to its size."""
-    last = lambda a: F.get(a, F.size(a) - 1)
-    grown = lambda a, x: F.concat(a, F.array(op(F.coalesce(last(a), F.lit(zero).cast("bigint")), x)))
-    none = F.array().cast("array<bigint>")
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda c: F.aggregate(F.slice(values, c * CHUNK + 1, F.lit(CHUNK)), none, grown))
-    bases = F.aggregate(chunks, F.array(F.lit(zero).cast("bigint")), lambda a, c: grown(a, last(c)))
-    both = F.flatten(F.zip_with(chunks, F.slice(bases, F.lit(1), F.size(chunks)), lambda c, base: F.transform(c, lambda x: op(base, x))))
-    return F.when(F.size(values) > 0, both).otherwise(none)
-
-
 def _located(text: Column, pattern: str, kind: str) -> Column:
     """All leftmost non-overlapping matches with their places in code points.
 
@@ -124,7 +114,8 @@ def redact(docs: DataFrame, scope: int = 256, key: str = "doc_id", text: str = "
     k, h, spans, wide, ends = unused(docs.columns, "s_key", "s_hash", "spans", "wide", "ends")
     own = F.array_sort(F.transform(F.concat("base", "linked"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     found = scan(docs, scope, key, text).select(F.col(key).alias(k), F.col("text_hash").alias(h), own.alias(spans))
-    found = found.where(F.size(spans) > 0).dropDuplicates([k, h])
+    found = cut(found.where(F.size(spans) > 0).dropDuplicates([k, h]))
+    found = F.broadcast(found) if (found.agg(F.sum(F.size(spans))).first()[0] or 0) <= SMALL else found
     same = F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(h))
     # four bytes for each code point, so that a piece is found by its place
     joined = docs.join(found, same, "left").withColumns({wide: F.when(F.size(spans) > 0, F.encode(F.col(text), "UTF-32")), ends: running(F.transform(spans, lambda s: s["end"]), F.greatest, 0)})

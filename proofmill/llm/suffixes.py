@@ -18,8 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofmill.llm.arrays import running
 from proofmill.llm.arrow import slices, unused, with_fields
-from proofmill.tables import cut
+from proofmill.tables import Scratch, cut
 
 #: Bytes of a repeated string, and of the strings whose hashes choose where it is compared.
 LENGTH, GRAM = 100, 32
@@ -259,7 +260,7 @@ def _row():
     return F.xxhash64("doc", "mark")
 
 
-def _contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+def _contexts(docs: DataFrame, repeated: DataFrame, scratch: Scratch) -> DataFrame:
     """Runs of windows whose hash may be repeated, with the bytes of their windows.
 
     Of equal contexts in a batch only the earliest keeps its bytes: the others are wholly repeated.
@@ -272,7 +273,7 @@ def _contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     if filtered:
         docs = docs.select("doc", "mark", "text", F.lit(None).cast("array<bigint>").alias("wanted"))
     else:
-        lists = cut(_starts(docs).join(repeated, "hash").groupBy("row").agg(F.collect_set("hash").alias("wanted")))
+        lists = scratch.cut(_starts(docs).join(repeated, "hash").groupBy("row").agg(F.collect_set("hash").alias("wanted")))
         docs = docs.withColumn("row", _row()).join(lists, "row").select("doc", "mark", "text", "wanted")
 
     def chosen(h: np.ndarray, wanted) -> np.ndarray:
@@ -348,7 +349,7 @@ def _sorted_runs(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, RUNS)
 
 
-def _parted_runs(contexts: DataFrame) -> DataFrame:
+def _parted_runs(contexts: DataFrame, scratch: Scratch) -> DataFrame:
     """Repeated windows of very large groups: sorted in parts as they come, then the first windows of all parts by digest.
 
     A window that is not the first in its part is repeated. The first ones travel as 128-bit digests
@@ -369,9 +370,9 @@ def _parted_runs(contexts: DataFrame) -> DataFrame:
             low = rows["lo"].to_numpy(np.int64)[context] + step
             yield pa.RecordBatch.from_arrays([x, y, pa.array(rows["doc"].to_numpy(np.int64)[context]), pa.array(rows["mark"].to_numpy(np.int64)[context]), pa.array(low)], names=["x", "y", "doc", "mark", "low"])
 
-    each = cut(contexts.mapInArrow(run, "x long, y long, doc long, mark long, low long"))
+    each = scratch.cut(contexts.mapInArrow(run, "x long, y long, doc long, mark long, low long"))
     place = F.struct("doc", "mark", "low")
-    first = cut(each.where("x is not null").groupBy("x", "y").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    first = scratch.cut(each.where("x is not null").groupBy("x", "y").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     merged = each.where("x is not null").join(_small(first), ["x", "y"]).where(place > F.col("first"))
     return each.where("x is null").unionByName(merged.drop("first")).select("doc", "mark", "low", F.col("low").alias("high"))
 
@@ -395,21 +396,23 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: str |
 
     # documents equal to an earlier one are wholly repeated and repeat nothing that is not earlier
     digest = F.struct(F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size"))
-    marked = cut(rows.where(F.octet_length("text") >= LENGTH).select("doc", "mark", digest.alias("digest")).distinct())
+    scratch = Scratch()
+    marked = scratch.cut(rows.where(F.octet_length("text") >= LENGTH).select("doc", "mark", digest.alias("digest")).distinct())
     earliest = marked.groupBy("digest").agg(F.min(F.struct("doc", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = cut(marked.join(earliest, "digest").where(F.struct("doc", "mark") > F.col("first")).select("doc", "mark"))
+    copies = scratch.cut(marked.join(earliest, "digest").where(F.struct("doc", "mark") > F.col("first")).select("doc", "mark"))
     first = rows.where(F.octet_length("text") >= LENGTH).join(_small(copies), ["doc", "mark"], "left_anti")
 
-    repeated = cut(_hashes(first).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"))
-    contexts = cut(_contexts(first, repeated))
+    repeated = scratch.cut(_hashes(first).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"))
+    contexts = scratch.cut(_contexts(first, repeated, scratch))
     shipped = contexts.where(F.col("bytes").isNotNull())
-    hot = cut(shipped.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash"))
+    hot = scratch.cut(shipped.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash"))
     resolved = contexts.where(F.col("bytes").isNull()).select("doc", "mark", F.col("lo").cast("bigint").alias("low"), (F.col("lo") + F.col("windows") - 1).cast("bigint").alias("high"))
-    runs = resolved.union(_sorted_runs(shipped.join(_small(hot), "hash", "left_anti"))).union(_parted_runs(shipped.join(_small(hot), "hash", "left_semi")))
+    runs = resolved.union(_sorted_runs(shipped.join(_small(hot), "hash", "left_anti"))).union(_parted_runs(shipped.join(_small(hot), "hash", "left_semi"), scratch))
     spans = runs.groupBy("doc", "mark").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("runs"))
     everything = F.array(F.struct(F.lit(0).cast("bigint").alias("low"), F.lit(2**40).alias("high")))
     doc, mark, found = unused(base.columns, "doc", "mark", "runs")
-    spans = cut(spans.select("doc", "mark", "runs").union(copies.select("doc", "mark", everything)).toDF(doc, mark, found))
+    spans = cut(spans.select("doc", "mark", "runs", running(F.transform("runs", lambda r: r["high"]), F.greatest, 0).alias("highs")).select("doc", "mark", _merged("runs", "highs").alias("runs")).union(copies.select("doc", "mark", everything)).toDF(doc, mark, found))
+    scratch.clear()
 
     joined = base.join(_small(spans, f"size({found})"), (order["doc"] == F.col(doc)) & (order["mark"] == F.col(mark)), "left").drop(doc, mark)
     names = [c for c in base.columns if c not in new]
@@ -435,3 +438,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: str |
 
     fields = dict(zip(new, ["long"] * 3 + ["binary", "string"], strict=False))
     return joined.mapInArrow(strip, with_fields(joined.select(*names).schema, **fields))
+
+
+def _merged(runs: str, highs: str):
+    """Sorted runs of window starts, those whose bytes overlap or touch as one; ``highs``: the largest end up to each."""
+    first = F.filter(runs, lambda r, i: (i == 0) | (r["low"] > F.get(F.col(highs), i - 1) + LENGTH))
+    last = F.filter(highs, lambda h, i: (i == F.size(runs) - 1) | (F.get(F.col(runs), i + 1)["low"] > h + LENGTH))
+    return F.zip_with(first, last, lambda r, h: F.struct(r["low"].alias("low"), h.alias("high")))
