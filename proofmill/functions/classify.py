@@ -58,20 +58,32 @@ def axes(blob: Column) -> dict[str, Column]:
     }
 
 
+def _has(word: str):
+    return lambda text: text.contains(word)
+
+
+def _starts(word: str):
+    return lambda text: text.startswith(word)
+
+
+def _matches(pattern: str):
+    return lambda text: text.rlike(pattern)
+
+
 # Each symptom's alternatives; words of one alternative must all occur, "^" asks for the start, "~" for a pattern.
 SYMPTOM_RULES = [
-    ("timeout", [("timed out",)]),
-    ("cuda_illegal_memory_access", [("illegal memory access",)]),
-    ("unsupported_ptr_type", [("unsupported ptr type",), ("cannot be accessed from triton",)]),
-    ("incompatible_block_shape", [("cannot make_shape_compatible",), ("incompatible dimensions",), ("equal ranks",), ("block type",)]),
-    ("non_constexpr_arange_bound", [("arange", "constexpr")]),
-    ("undefined_symbol", [("^nameerror",), (" is not defined",), ("out of scope",), ("^unboundlocalerror",)]),
-    ("unsupported_language_construct", [("unsupportedlanguageconstruct",), ("simultaneous multiple comparison",)]),
-    ("launch_signature_mismatch", [("unrecognised",), ("unexpected keyword",), ("missing", "argument"), ("grid", "tuple")]),
-    ("invalid_triton_api", [("module 'triton.language' has no attribute",), ("cannot call @triton.jit",), ("device option is deprecated",), ("tl.store", "unsupported")]),
-    ("invalid_output_type", [("unexpected output type",), ("return", "tensor")]),
-    ("host_shape_error", [("dimension out of range",), ("tuple index out of range",), ("not enough values to unpack",), ("invalid for input of size",), ("~size of tensor .* must match",), ("incompatible shapes for matmul",)]),
-    ("triton_compilation_error", [("^compilationerror",)]),
+    ("timeout", [[_has("timed out")]]),
+    ("cuda_illegal_memory_access", [[_has("illegal memory access")]]),
+    ("unsupported_ptr_type", [[_has("unsupported ptr type")], [_has("cannot be accessed from triton")]]),
+    ("incompatible_block_shape", [[_has("cannot make_shape_compatible")], [_has("incompatible dimensions")], [_has("equal ranks")], [_has("block type")]]),
+    ("non_constexpr_arange_bound", [[_has("arange"), _has("constexpr")]]),
+    ("undefined_symbol", [[_starts("nameerror")], [_has(" is not defined")], [_has("out of scope")], [_starts("unboundlocalerror")]]),
+    ("unsupported_language_construct", [[_has("unsupportedlanguageconstruct")], [_has("simultaneous multiple comparison")]]),
+    ("launch_signature_mismatch", [[_has("unrecognised")], [_has("unexpected keyword")], [_has("missing"), _has("argument")], [_has("grid"), _has("tuple")]]),
+    ("invalid_triton_api", [[_has("module 'triton.language' has no attribute")], [_has("cannot call @triton.jit")], [_has("device option is deprecated")], [_has("tl.store"), _has("unsupported")]]),
+    ("invalid_output_type", [[_has("unexpected output type")], [_has("return"), _has("tensor")]]),
+    ("host_shape_error", [[_has("dimension out of range")], [_has("tuple index out of range")], [_has("not enough values to unpack")], [_has("invalid for input of size")], [_matches("size of tensor .* must match")], [_has("incompatible shapes for matmul")]]),
+    ("triton_compilation_error", [[_starts("compilationerror")]]),
 ]
 
 
@@ -79,16 +91,13 @@ def failure_symptom(message: Column) -> Column:
     """Symptom of a failure text, null for null or empty text."""
     text = F.lower(message)
 
-    def word(w: str) -> Column:
-        return text.startswith(w[1:]) if w[0] == "^" else text.rlike(w[1:]) if w[0] == "~" else text.contains(w)
-
     out = F.when(message.isNull() | (message == ""), F.lit(None).cast("string"))
     for label, ways in SYMPTOM_RULES:
         hit = F.lit(False)
-        for words in ways:
+        for conditions in ways:
             every = F.lit(True)
-            for w in words:
-                every = every & word(w)
+            for holds in conditions:
+                every = every & holds(text)
             hit = hit | every
         out = out.when(hit, label)
     return out.otherwise("python_runtime_error")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.functions import ids
-from proofmill.vocab import AXES, DTYPE, FORMS, OP_CATEGORY, PASSING, SPLIT, TIER, TOLERANCE_POLICY
+from proofmill.vocab import AXES, COMPILE_STATUS, CORRECTNESS_STATUS, DATASET_OUTCOME, DTYPE, EVAL_OUTCOME, FAILURE_SYMPTOM, FORMS, JUDGE_CLASS, JUDGE_REPAIR_ACTION, JUDGE_ROOT_CAUSE, OP_CATEGORY, PASSING, SPLIT, TIER, TOLERANCE_POLICY
 
 
 def violations(checks: dict[str, Column]) -> Column:
@@ -61,6 +61,23 @@ def axis_vocabulary() -> dict[str, Column]:
     return {name: _c(name).isin(values) for name, values in AXES.items()}
 
 
+def attempt_vocabulary(judged: bool = True) -> dict[str, Column]:
+    """V4: membership of the enumerated fields of all attempts; only the compile status must be given. ``judged``: with symptom and judge labels."""
+    optional = lambda value, values: value.isNull() | value.isin(values)
+    labels = {"failure_symptom": FAILURE_SYMPTOM, "judge_classification": JUDGE_CLASS, "judge_root_cause": JUDGE_ROOT_CAUSE, "judge_repair_action": JUDGE_REPAIR_ACTION} if judged else {}
+    checks = {
+        "compile_status": F.forall("attempts", lambda a: F.coalesce(a["compile"]["status"].isin(COMPILE_STATUS), F.lit(False))),
+        "correctness_status": F.forall("attempts", lambda a: optional(a["correctness"]["status"], CORRECTNESS_STATUS)),
+    }
+    member = lambda name, values: F.forall("attempts", lambda a: optional(a[name], values))
+    return checks | {name: member(name, values) for name, values in labels.items()}
+
+
+def outcome_vocabulary(evaluation: bool = False) -> dict[str, Column]:
+    """V4: membership of the outcome of a dataset row, or of an evaluation result."""
+    return {"final_outcome": _c("final_outcome").isin(EVAL_OUTCOME if evaluation else DATASET_OUTCOME)}
+
+
 SLIM = ["example_id", "op_category", "pytorch_code", "input_shapes", "input_dtypes", "rng_seed", "tolerance_policy"]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -183,7 +185,7 @@ def c8_rate_limits(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").agg(F.count_if(classify.is_rate_limited(F.col("text"))).alias("n_limited"), F.count("*").alias("n"))
 
 
-@query(None)
+@query("SELECT concat('f', CAST(seq AS VARCHAR)) AS function_name, count(*) AS n FROM code WHERE p_size % 2 = 0 GROUP BY 1", av.CODE_SQL)
 def c9_jit_functions(spark: SparkSession, sf: str) -> DataFrame:
     text = F.regexp_replace("pytorch_code", "def ", "@triton.jit\ndef ")
     files = av.code(spark, sf).select(F.col("seq").cast("string").alias("file_path"), F.when(F.col("p_size") % 2 == 0, text).otherwise(F.col("pytorch_code")).alias("text"))
@@ -271,10 +273,10 @@ def j6_contamination(spark: SparkSession, sf: str) -> DataFrame:
     return records.contamination(av.corpus(spark, sf), held, key="seq").select("seq", "leak")
 
 
-@query("SELECT seq, p_size % 4 IN (SELECT p_size % 4 FROM part WHERE p_partkey <= 2) AS in_corpus FROM code", av.CODE_SQL)
+@query("SELECT seq, p_size % 4 IN (SELECT p_size % 4 FROM part WHERE p_size % 4 <> 1) AS in_corpus FROM code", av.CODE_SQL)
 def j7_canonical_contamination(spark: SparkSession, sf: str) -> DataFrame:
     rows = av.code(spark, sf).withColumn("canonical_sha", code.canonical("pytorch_code"))
-    return records.canonical_contamination(rows, rows.where("seq <= 2")).select("seq", "in_corpus")
+    return records.canonical_contamination(rows, rows.where("p_size % 4 <> 1")).select("seq", "in_corpus")
 
 
 @query("SELECT seq, p_size % 4 IN (SELECT p_size % 4 FROM part WHERE p_size % 2 = 0) AS in_corpus FROM code", av.CODE_SQL)
@@ -371,9 +373,9 @@ def j19_best_per_source(spark: SparkSession, sf: str) -> DataFrame:
     return records.best_per_source(_outcomes(spark, sf).select("example_id", "final_outcome", "n_attempts", F.col("dataset_id").cast("bigint").alias("seq")))
 
 
-@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY sha256('7' || CAST(p_partkey AS VARCHAR)), p_partkey) AS BIGINT) AS place FROM part ORDER BY 2 LIMIT 100")
+@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY sha256('11' || CAST(p_partkey AS VARCHAR)), p_partkey) AS BIGINT) AS place FROM part")
 def j20_seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
-    return j20_seeded_shuffle_all(spark, sf).where("place <= 100")
+    return records.shuffle_places(table(spark, sf, "part").select("p_partkey"), "11", "p_partkey")
 
 
 @query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY sha256('7' || CAST(p_partkey AS VARCHAR)), p_partkey) AS BIGINT) AS place FROM part")
@@ -450,15 +452,24 @@ def e5_sampled_specs(spark: SparkSession, sf: str) -> DataFrame:
     return report.join(specs.groupBy("op_category").agg(F.countDistinct("spec_id").alias("n_ids")), "op_category", "left")
 
 
-@query(None)
+def _cells(form: str) -> int:
+    """Cells of a form: shapes and their metadata, two dtype variants, the operations of each slot."""
+    _, _, pools, _, shapes = vocab.FORMS[form]
+    return sum(len(sampling._metadata(form, s)) for s in shapes) * 2 * math.prod(map(len, pools))
+
+
+_FORM_SQL = "forms AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}', {_cells(f)})" for i, f in enumerate(vocab.FORMS)) + ") AS t(ord, form, size))"
+
+
+@query("SELECT form, size AS n_cells, size AS n_distinct, count(*) AS asked FROM part JOIN forms ON ord = p_size % 11 GROUP BY ALL", _FORM_SQL)
 def e6_design_grid(spark: SparkSession, sf: str) -> DataFrame:
-    grid = sampling.design_grid(spark).groupBy("form").agg(F.count("*").alias("n_cells"), F.countDistinct("cell").alias("n_distinct"))
-    wanted = table(spark, sf, "part").groupBy((F.col("p_size") % 11).alias("k")).agg(F.count("*").alias("asked"))
     names = spark.createDataFrame(list(enumerate(vocab.FORMS)), "k int, form string")
-    return grid.join(F.broadcast(names), "form").join(wanted, "k", "left").drop("k")
+    wanted = table(spark, sf, "part").groupBy((F.col("p_size") % 11).alias("k")).agg(F.count("*").alias("asked")).join(F.broadcast(names), "k").drop("k")
+    cells = sampling.design_grid(spark).join(F.broadcast(wanted), "form")  # eleven forms at most
+    return cells.groupBy("form").agg(F.count("*").cast("int").alias("n_cells"), F.countDistinct("cell").cast("int").alias("n_distinct"), F.first("asked").alias("asked"))
 
 
-@query(None)
+@query("SELECT form, count(*) AS n, least(count(*), CAST(min(size) AS BIGINT)) AS n_cells, CAST(min(ord) AS BIGINT) * 1000000 AS first_seed, CAST(min(ord) AS BIGINT) * 1000000 + count(*) - 1 AS last_seed FROM part JOIN forms ON ord = p_size % 11 GROUP BY 1", _FORM_SQL)
 def e7_taken_cells(spark: SparkSession, sf: str) -> DataFrame:
     names = spark.createDataFrame(list(enumerate(vocab.FORMS)), "ord int, form string")
     targets = table(spark, sf, "part").groupBy((F.col("p_size") % 11).alias("ord")).agg(F.count("*").alias("n")).join(F.broadcast(names), "ord")

@@ -110,9 +110,9 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 SKIPPED = [".git", "tests", "docs", "examples", "benchmarks", "__pycache__"]
 
 
-def read_sources(spark: SparkSession, root: str) -> DataFrame:
-    """``file_path`` and ``text`` of all Python files below ``root``, but for those in a skipped folder."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").option("wholetext", "true").text(root)
+def read_sources(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
+    """``file_path`` and ``text`` of all Python files (or those that ``glob`` names) below ``root``, but for those in a skipped folder."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(root)
     path = F.col("_metadata.file_path")
     below = F.regexp_replace(path, r"^.*?" + root.rstrip("/").split(":")[-1].replace(".", r"\."), "")
     return files.select(path.alias("file_path"), F.col("value").alias("text"), below.alias("below")).where(~F.arrays_overlap(F.split("below", "/"), F.array(*map(F.lit, SKIPPED)))).drop("below")

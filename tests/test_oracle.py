@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from proofmill import record_queries  # noqa: F401 - adds to the registry
 from proofmill.queries import ORACLE, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
