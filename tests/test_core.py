@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import math
 import uuid
 
@@ -258,7 +259,9 @@ def test_streams_equal_batches_however_files_are_split(spark, tmp_path, parts):
     size = 200 // parts + 1
     for k in range(parts):
         lines = [json.dumps(r) for r in rows[k * size : (k + 1) * size]]
-        (folder / f"{k}.json").write_text("\n".join(lines + ["{broken"] * (k == 0)))
+        file = folder / f"{k}.json"
+        file.write_text("\n".join(lines + ["{broken"] * (k == 0)))
+        os.utime(file, (1_700_000_000 + k, 1_700_000_000 + k))  # a feed reads files by age
     ddl = "dataset_id string, attempt_n int, compile_status string, correctness_status string, ts timestamp"
     out = [str(tmp_path / x) for x in ("ok", "bad", "cp")]
     feeds.ingest(spark, str(folder), ddl, {"numbered": F.col("attempt_n") < 4}, *out).awaitTermination()
