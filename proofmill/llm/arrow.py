@@ -11,12 +11,18 @@ from pyspark.sql.types import StructType
 SIZE = 8 << 20
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int, size: int = SIZE) -> Iterator[pa.RecordBatch]:
+#: Caches that a worker keeps from task to task, by the operator that fills them.
+HELD: dict[str, list] = {}
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int, size: int = SIZE, owner: str = "") -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows and about ``size`` bytes, so that what a worker derives of them stays small.
 
     A row of more bytes is a slice of its own. Workers live on for other tasks, so Arrow's unused
-    memory goes back to the system at the end.
+    memory goes back to the system at the end, and caches of other operators than ``owner`` are emptied.
     """
+    for cache in [c for name, caches in HELD.items() if name != owner for c in caches]:
+        cache.forget()
     try:
         for batch in batches:
             todo = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
@@ -31,11 +37,11 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int, size: int = SIZE) -> It
         pa.default_memory_pool().release_unused()
 
 
-def batched(rows: int, f: Callable[[pa.RecordBatch], pa.RecordBatch]):
+def batched(rows: int, f: Callable[[pa.RecordBatch], pa.RecordBatch], owner: str = ""):
     """A function for ``mapInArrow`` that applies ``f`` to slices of at most ``rows`` rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, rows):
+        for part in slices(batches, rows, owner=owner):
             out = f(part)
             if out.num_rows:
                 yield out

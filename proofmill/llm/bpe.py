@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from proofmill.llm.arrow import batched, with_fields
+from proofmill.llm.arrow import HELD, batched, with_fields
 
 #: A space between two other characters that are no white space: no match of the pattern holds both sides.
 SPLIT = re.compile(r"(?<!\s) (?!\s)")
-#: Entries of a generation of each of the two caches; a worker keeps two generations, some 50 MB in all.
-CACHE = 100_000
+#: Entries of a generation of each of the two caches; a worker keeps two generations, some 200 MB in all, until it works for another operator.
+CACHE = 300_000
+OWNER = "bpe"
 #: Matches and chunks longer than this are encoded each time, so the caches stay small.
 LONGEST = 64
 
@@ -78,6 +79,10 @@ class _Kept(dict):
             self[text] = ids
         return ids
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
 
 def _ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -114,6 +119,7 @@ class ByteBpe:
         self.model = self.tokenizer.model
         self.chunks = _Kept(self._chunk)
         self.matches = _Kept(self._match)
+        HELD.setdefault(OWNER, []).extend((self.chunks, self.matches))
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -190,7 +196,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets
         more = [pa.array(list(map(bpe.offsets, ids)), pa.list_(pa.int64()))] if offsets else []
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), *more], names=[*batch.schema.names, "ids_le", *["offsets"][: len(more)]])
 
-    return kept.mapInArrow(batched(rows, run), with_fields(kept.schema, ids_le="binary", **({"offsets": ArrayType(LongType())} if offsets else {})))
+    return kept.mapInArrow(batched(rows, run, OWNER), with_fields(kept.schema, ids_le="binary", **({"offsets": ArrayType(LongType())} if offsets else {})))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids_le", rows: int = 500) -> DataFrame:
@@ -205,7 +211,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids_le", row
         out = [None if x is None else decoded(table, x) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return kept.mapInArrow(batched(rows, run), with_fields(kept.schema, decoded="binary"))
+    return kept.mapInArrow(batched(rows, run, OWNER), with_fields(kept.schema, decoded="binary"))
 
 
 def n_tokens(ids: str = "ids_le") -> Column:

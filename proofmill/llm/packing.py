@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from proofmill.llm.arrow import slices
-from proofmill.llm.bpe import load
+from proofmill.llm.bpe import OWNER, load
 from proofmill.tables import cut
 
 #: The sequence ids of a group start at its number times this.
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, length: int, end: int, key:
 
     def run(batches):
         bpe = load(path, pattern)
-        for batch in slices(batches, ROWS):
+        for batch in slices(batches, ROWS, owner=OWNER):
             out = [[] for _ in names]
             for doc, t in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
                 ids = bpe.encode(t or "") + tail

@@ -55,3 +55,20 @@ def test_frames_with_nulls_and_offsets(spark):
     assert smile["offsets"] == sorted(smile["offsets"]) and max(smile["offsets"]) < len(smile["text"])
     assert bpe.encode(docs.limit(0), RANKS, P.PATTERN).count() == 0
     assert hashlib.sha256(out[0]["ids_le"]).hexdigest()
+
+
+def test_caches_turn_over_and_are_emptied_by_other_operators(monkeypatch):
+    import pyarrow as pa
+
+    from proofmill.llm import arrow
+
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    own = bpe.ByteBpe(JSON, P.PATTERN)
+    texts = [f"word{i % 5} and{i} more" for i in range(40)]
+    want = [Tokenizer.from_file(JSON).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids(own.encode(t)) for t in texts] == want and len(own.matches) <= 3 and len(own.chunks.older) <= 3
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10] * 10 + ["b" * 100])], names=["t"])
+    assert [x.num_rows for x in arrow.slices([batch], 4, 50, bpe.OWNER)] and own.chunks
+    parts = list(arrow.slices([batch], 4, 50))
+    assert not own.chunks and not own.matches and not own.matches.older
+    assert sum(x.num_rows for x in parts) == 11 and max(x.num_rows for x in parts) <= 4 and parts[-1].num_rows == 1
