@@ -131,7 +131,7 @@ def average_ranks(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     key = Window.partitionBy(*by) if by else Window.partitionBy()
     offsets = totals.withColumn("_before", F.coalesce(F.sum("_t").over(key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
     inside = F.coalesce(F.sum("count").over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = dealt.withColumn("_in", inside).join(F.broadcast(offsets), [*by, "_range"])
+    numbered = dealt.withColumn("_in", inside).join(offsets, [*by, "_range"])  # no hint: with many groups the offsets grow with the rows
     return numbered.select(*by, value, "count", (F.col("_before") + F.col("_in") + (F.col("count") + 1) / 2).alias("rank"))
 
 

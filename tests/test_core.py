@@ -2,8 +2,8 @@
 
 import hashlib
 import json
-import os
 import math
+import os
 import uuid
 
 import pytest
