@@ -34,6 +34,8 @@ SECOND = frozenset("you your yours yourself u ur tu te toi ton vous votre vos du
 #: Lengths of word beginnings that the lexicon may hold.
 STEMS = (4, 5, 6)
 NEAR = 5
+#: Words whose weights a worker keeps, and the range of the hash that chooses the sample.
+KEPT, RANGE = 150_000, 1 << 62
 FEATURES = ["words", "hits", "hit_rate", "strength", "stem_hits", "stem_rate", "near_second", "second_rate", "capitals", "punctuation", "loud", "disguised", "disguised_hits", "spaced"]
 
 
@@ -48,7 +50,7 @@ class _Weights(dict):
         own = self.words.get(word, 0.0)
         stem = max((self.stems.get(word[:n], 0.0) for n in STEMS if len(word) >= n), default=0.0)
         out = (own, 1) if own else (stem, 2) if stem else (0.0, 0)
-        if len(self) > 500_000:
+        if len(self) > KEPT:
             self.clear()
         self[word] = out
         return out
@@ -142,16 +144,18 @@ def _raw(trees: GBTClassificationModel, df: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 20_000, trees: int = 15, depth: int = 3) -> ToxicityModel:
-    """Learn from at most about ``sample_rows`` labelled rows (the documented bound), chosen by a hash of ``key``.
+    """Learn from at most about ``sample_rows`` labelled keys (the documented bound), chosen by a hash of ``key``.
 
     A third of the sample is kept from the lexicon and the trees, for the calibration. Rows with a
-    null key or label are left out; of repeated labels the largest counts.
+    null key or label are left out; of repeated labels the largest counts, and of the texts of a
+    repeated key that of the smallest hash, so that no key brings more than one row.
     """
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("label"))
     share = min(1.0, sample_rows / max(1, marked.count()))
-    chosen = marked.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * share))
+    chosen = marked.where(F.pmod(F.xxhash64("key"), F.lit(RANGE)) < int(RANGE * share))
     # about sample_rows rows of 16 bytes: small enough for every executor
-    sample = cut(docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "key"))
+    found = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "key")
+    sample = cut(found.groupBy("key", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     later = F.pmod(F.xxhash64("key", F.lit("calibrate")), F.lit(3)) == 0
     seen = {(r["later"], r["label"]) for r in sample.groupBy(later.alias("later"), "label").count().collect()}
     if len(seen) < 4:
@@ -167,11 +171,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``score`` (0 to 1) from the whole text; null texts count as empty.
 
-    Other columns stay, but for those named as a feature.
+    All other columns and all rows stay, whatever their names; a column ``score`` is replaced.
+    Repeated rows get equal scores; an empty table stays empty.
     """
     if model.trees is None:
         return docs.drop(text, "score").withColumn("score", F.lit(model.constant))
-    names = [c for c in docs.columns if c not in (text, "score", *FEATURES)]
-    raw = _raw(model.trees, _vectors(with_features(docs.select(*names, text), model.words, model.stems, text)))
+    # columns travel under names that neither a feature nor a model has
+    names = {f"own_{i}": c for i, c in enumerate(c for c in docs.columns if c not in (text, "score"))}
+    kept = docs.select(*(F.col(c).alias(n) for n, c in names.items()), F.col(text).alias("text"))
+    raw = _raw(model.trees, _vectors(with_features(kept, model.words, model.stems)))
     calibrated = model.calibration.transform(raw)
-    return calibrated.select(*names, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))).alias("score"))
+    return calibrated.select(*(F.col(n).alias(c) for n, c in names.items()), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))).alias("score"))

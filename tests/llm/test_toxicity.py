@@ -28,3 +28,14 @@ def test_held_out_accuracy_and_odd_texts(spark):
     one = toxicity.fit(docs, marks.where("toxic = 0"))
     assert {x["score"] for x in toxicity.score(docs, one).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), model).count() == 0
+    odd = docs.where("doc_id < 3").selectExpr("doc_id", "text", "words", *(f"7 AS {c}" for c in ("features", "raw", "probability", "rawPrediction", "prediction", "hits", "own_0", "score")))
+    again = toxicity.score(odd.union(odd), model)
+    assert sorted(again.columns) == sorted(set(odd.columns) - {"text"}) and again.where("features = 7 and raw = 7 and prediction = 7 and hits = 7 and own_0 = 7 and words = 0.5").count() == 6
+    assert {(r["doc_id"], r["score"]) for r in again.collect()} == {(i, got[i]) for i in range(3)}
+
+
+def test_a_repeated_key_brings_one_row_to_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, "zonk you" if i % 2 else "fine") for i in range(2, 60)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks, trees=2)
+    assert "zonk" in model.words and "text" not in model.words
