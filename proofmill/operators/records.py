@@ -13,13 +13,21 @@ from proofmill.tables import cut
 from proofmill.vocab import OP_CATEGORY
 
 
-def first_per_key(rows: DataFrame, keys: list[str], order: list, salt: int = 16) -> DataFrame:
-    """The first row of each key. Ranked within salted parts of a key first, so that a large key is not one task."""
-    part = F.pmod(F.xxhash64(*[c if isinstance(c, str) else c for c in rows.columns]), F.lit(salt))
+def _ranked(rows: DataFrame, keys: list[str], order: list, salt: int = 16) -> tuple[DataFrame, DataFrame]:
+    """The first row of each key, and all others. Ranked within salted parts of a key first, so that a large key is not one task."""
+    hashed = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    part = F.pmod(F.xxhash64(*hashed), F.lit(salt))
     early = Window.partitionBy(*keys, "_salt").orderBy(*order)
     late = Window.partitionBy(*keys).orderBy(*order)
-    some = rows.withColumn("_salt", part).withColumn("_n", F.row_number().over(early)).where("_n = 1").drop("_n", "_salt")
-    return some.withColumn("_n", F.row_number().over(late)).where("_n = 1").drop("_n")
+    parted = rows.withColumn("_salt", part).withColumn("_n", F.row_number().over(early))
+    final = parted.where("_n = 1").withColumn("_n", F.row_number().over(late))
+    first, rest = (df.drop("_n", "_salt") for df in (final.where("_n = 1"), parted.where("_n > 1").unionByName(final.where("_n > 1"))))
+    return first, rest
+
+
+def first_per_key(rows: DataFrame, keys: list[str], order: list, salt: int = 16) -> DataFrame:
+    """The first row of each key; see ``_ranked``."""
+    return _ranked(rows, keys, order, salt)[0]
 
 
 def merge(corpora: list[DataFrame], key: str = "dataset_id", order: str = "seq") -> tuple[DataFrame, DataFrame]:
@@ -27,15 +35,14 @@ def merge(corpora: list[DataFrame], key: str = "dataset_id", order: str = "seq")
     every = corpora[0].withColumn("src_ord", F.lit(0))
     for i, c in enumerate(corpora[1:], 1):
         every = every.unionByName(c.withColumn("src_ord", F.lit(i)))
-    ranked = every.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("src_ord", order)))
-    return ranked.where("_n = 1").drop("_n"), ranked.where("_n > 1").select(key, "src_ord", order)
+    first, rest = _ranked(every, [key], ["src_ord", order])
+    return first, rest.select(key, "src_ord", order)
 
 
 def collapse_variants(rows: DataFrame, key: str = "example_id", order: str = "seq") -> DataFrame:
-    """The first row of each key, with the number of variants left out."""
-    w = Window.partitionBy(key)
-    ranked = rows.withColumn("_n", F.row_number().over(w.orderBy(order))).withColumn("variants", F.count("*").over(w) - 1)
-    return ranked.where("_n = 1").drop("_n")
+    """The first row of each key, with the number of variants left out. Both sides of the join have one row of a key."""
+    counts = rows.groupBy(F.col(key).alias("_key")).agg((F.count("*") - 1).alias("variants"))
+    return first_per_key(rows, [key], [order]).join(counts, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def resume(rows: DataFrame, done: DataFrame, key: str = "example_id") -> DataFrame:

@@ -278,3 +278,12 @@ def test_streams_equal_batches_however_files_are_split(spark, tmp_path, parts):
     sink(batch, 0)
     sink(batch, 1)
     assert spark.read.parquet(str(tmp_path / "appended")).count() == 2
+
+
+def test_ranks_of_hot_and_null_keys(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else "hot", {"m": i}) for i in range(300)], "seq long, example_id string, extra map<string,int>")
+    got = {r["example_id"]: (r["seq"], r["variants"]) for r in records.collapse_variants(rows).collect()}
+    assert got == {None: (0, 99), "hot": (1, 199)}
+    kept, lost = records.merge([rows, rows], "example_id")
+    assert {(r["example_id"], r["seq"], r["src_ord"]) for r in kept.collect()} == {(None, 0, 0), ("hot", 1, 0)}
+    assert lost.count() == 598
