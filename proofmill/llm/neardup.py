@@ -20,6 +20,8 @@ from proofmill.tables import cut, drop
 
 #: Queries that walk the graph together, and nodes that each of them expands at a time.
 BATCH, STEP = 256, 4
+#: Audited labels that are broadcast at most; more are shuffled.
+SMALL = 1_000_000
 
 
 def _pick(points: np.ndarray, base: np.ndarray, cand: np.ndarray, sims: np.ndarray, m: int) -> np.ndarray:
@@ -196,6 +198,7 @@ class Audit:
 
         Where fewer than half of ``linked`` queries count, so many walks must have found a nearest
         node, too. Queries whose whole beam is linked are left out, as they get a wider one.
+        ``asked`` and ``found`` then say how many links (and nearest nodes) that were, and how many were found.
         """
         narrow = ~(sims[:, -1] >= slack)
         r, c = np.nonzero((sims >= slack) & (ids >= 0))
@@ -204,22 +207,26 @@ class Audit:
         total = np.bincount(rows, minlength=len(narrow))
         found = np.bincount(rows, hit, minlength=len(narrow))
         some = total > 0
+        self.asked, self.found = len(rows), int(hit.sum())
         if hit.sum() < recall * len(rows) or (found[some] / total[some]).sum() < recall * some.sum():
             return False
         if some.sum() >= self.linked:
             return True
         other = np.where((ids >= 0) & (ids != self.own[:, None]), sims, -np.inf).max(1)
-        return (other >= self.best - 1e-5)[narrow].sum() >= recall * narrow.sum()
+        nearest = (other >= self.best - 1e-5)[narrow]
+        self.asked, self.found = self.asked + len(nearest), self.found + int(nearest.sum())
+        return nearest.sum() >= recall * len(nearest)
 
 
-def links(graph: Graph, points: np.ndarray, queries: np.ndarray, least: float, beam: int = 32, audit: int = 64, recall: float = 0.98, own: np.ndarray | None = None):
+def links(graph: Graph, points: np.ndarray, queries: np.ndarray, least: float, beam: int = 32, audit: int = 64, recall: float = 0.98, own: np.ndarray | None = None, report: list | None = None):
     """Yield (query rows, node rows) of all links found, batch by batch.
 
     Brute force over at least ``audit`` queries says which links there are, see ``Audit``. While the
     walks find a smaller share of them than ``recall``, the beam doubles. A query whose whole beam is
     linked also gets a wider one, and a query that would need half the shard is compared with all of
     it. ``points`` and ``queries`` are unit vectors in double precision; ``own`` is each query's own
-    node (-1: none), by default that of its place if the queries are the points.
+    node (-1: none), by default that of its place if the queries are the points. ``report`` gets
+    what the audit asked for and what the walks found of it, unless all is compared in full.
     """
     n = len(points)
     slack = np.float32(least - 1e-5)
@@ -232,6 +239,8 @@ def links(graph: Graph, points: np.ndarray, queries: np.ndarray, least: float, b
         if held.passes(ids, sims, slack, recall):
             break
         beam *= 2
+    if report is not None and beam < n // 2:
+        report.append((held.asked, held.found))
     for at in range(0, len(queries), BATCH):
         todo, wide = np.arange(at, min(len(queries), at + BATCH)), beam
         while len(todo):
@@ -274,12 +283,14 @@ class Forest:
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, shard_rows: int = 16384, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """``key``, ``n_links``, ``component_id``, ``kept`` for every row of ``vectors``.
+    """``key``, ``n_links``, ``component_id``, ``kept``, ``recall`` for every row of ``vectors``.
 
     Vectors of equal, non-null label with a cosine of ``least`` or more are linked. Equal vectors of
     a label are one class and are compared once. Vectors that are null, zero or hold null or
     non-finite components, have no label or no key, link with nothing. Vectors of different lengths
-    never link. Recall of links is audited for each pair of shards, see ``links``.
+    never link. Recall of links is audited for each pair of shards, see ``links``; ``recall`` is the
+    share that the walks found of all links (nearest vectors where links are rare) that the audits of
+    the label asked for, null where no walk was audited: small shards are compared in full.
     """
     x = F.col(vector)
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(label).alias("label"), F.transform(x, lambda c: c.cast("double")).alias("x"))
@@ -317,21 +328,30 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, shard_rows: int = 1
                 count, forest = np.zeros(len(own), dtype=np.int64), Forest(len(names))
                 order = np.argsort(ids)
                 at = order[np.minimum(np.searchsorted(ids, own, sorter=order), len(ids) - 1)]
-                for q, v in links(graph, points, queries, least, own=np.where(ids[at] == own, at, -1)):
+                report: list[tuple[int, int]] = []
+                for q, v in links(graph, points, queries, least, own=np.where(ids[at] == own, at, -1), report=report):
                     other = own[q] != ids[v]
                     q, v = q[other], v[other]
                     np.add.at(count, q, copies[v])
                     forest.join(place[len(ids) + q], place[v])
                 root = names[forest.roots()]
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count), pa.array(root[place[len(ids) :]])], names=["rep", "links", "root"])
                 joined = names != root
-                yield pa.RecordBatch.from_arrays([pa.array(names[joined]), pa.array(np.zeros(joined.sum(), dtype=np.int64)), pa.array(root[joined])], names=["rep", "links", "root"])
-
-    found = cut(nodes.join(asks, ["lab", "i", "j"]).drop("lab", "i", "j").mapInArrow(search, "rep long, links long, root long"))
+                for a, n, b in ((own, count, root[place[len(ids) :]]), (names[joined], np.zeros(joined.sum(), dtype=np.int64), root[joined])):
+                    none = pa.nulls(len(a), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n), pa.array(b), pa.nulls(len(a), pa.string()), none, none], names=fields)
+                none = pa.nulls(len(report), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array([row["lab"]] * len(report), pa.string()), *(pa.array([r[i] for r in report], pa.int64()) for i in (0, 1))], names=fields)
+
+    fields = ["rep", "links", "root", "lab", "asked", "found"]
+    every = cut(nodes.join(asks, ["lab", "i", "j"]).drop("i", "j").mapInArrow(search, "rep long, links long, root long, lab string, asked long, found long"))
     drop(packed)
+    audits = every.where(F.col("lab").isNotNull()).groupBy("lab").agg((F.sum("found") / F.sum("asked")).alias("recall"))
+    audits = F.broadcast(audits) if audits.count() <= SMALL else audits
+    found = every.where(F.col("rep").isNotNull())
     linked = components(found, "rep", "root")
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
     per_class = classes.join(totals, "rep").join(linked, F.col("rep") == F.col("id"), "left").select("label", "mark", "x", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    member = usable.join(per_class, ["label", "mark", "x"]).select("id", "n_links", "component_id")
-    alone = rows.where(~fine).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
-    return member.unionByName(alone).select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    per_class = per_class.join(audits, F.to_json("label") == F.col("lab"), "left").drop("lab")
+    member = usable.join(per_class, ["label", "mark", "x"]).select("id", "n_links", "component_id", "recall")
+    alone = rows.where(~fine).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(None).cast("double").alias("recall"))
+    return member.unionByName(alone).select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), "recall")

@@ -104,3 +104,16 @@ def test_audit_of_two_shards_does_not_pass_without_links():
     assert len(want) == 15
     got = pairs_found(Blind(built.points, built.sizes, built.lists), nodes, queries)
     assert got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_recall_is_returned_and_holds_against_brute_force(spark):
+    x = rare_pairs(1500, 60)
+    r = np.random.default_rng(6)
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)] + [(2000 + i, [float(c) for c in r.normal(size=32)], 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = (x @ x.T >= 0.98).sum() - len(x)
+    got = neardup.near_duplicates(df, shard_rows=600).collect()
+    share = sum(g["n_links"] for g in got if g["vec_id"] < 2000) / want
+    assert want >= 100 and 0.97 <= share <= 1
+    assert all(0.9 <= g["recall"] <= 1 for g in got if g["vec_id"] < 2000)
+    assert all(g["recall"] is None for g in got if g["vec_id"] >= 2000)  # compared in full
