@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import bpe, chat, jaccard, language, neardup, packing, secrets, suffixes, topk, toxicity
+from proofmill.llm import bpe, chat, jaccard, language, lines, manifest, neardup, negatives, packing, secrets, suffixes, topk, toxicity
 from proofmill.tables import table
 
 QUERIES: dict = {}
@@ -100,9 +100,92 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor among all rows, by ``negatives.mine``; labels are noisy where 7 divides the id."""
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.quantised(table(spark, sf_dir, "embeddings").withColumn("label", noisy))
+    return negatives.mine(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that others keep, by ``lines.drop_lines``; the kept text as its digest."""
+    out = lines.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and digest of the proof of every document, by ``manifest.manifest``; the proof is then folded from the tampered leaf."""
+    out = manifest.manifest(table(spark, sf_dir, "documents"), tampered={"text": F.translate("text", UPPER, LOWER)}, where=remainder(5) == 0)
+    out = out.withColumns({"proof_sha256": manifest.proof_digest(F.col("steps")), "folded_root": manifest.fold(F.coalesce("tampered_leaf", "leaf"), F.col("steps"))})
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 ORACLE["op3_exact_topk"] = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 e AS (SELECT vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM v),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM e q JOIN e c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+ORACLE["op11_hard_negatives"] = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+e AS (SELECT vec_id, label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM v),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same, CAST(sum(a.x * c.x) AS BIGINT) AS score FROM e a JOIN e c ON a.i = c.i AND a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3"""
+
+ORACLE["op12_line_dedup"] = """WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (keeper <> doc_id) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN r USING (key) GROUP BY doc_id"""
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """Levels 0 to ``levels`` of the trees in ``<name>0`` (tree, pos, n, h), with what stands before and after each node of a run."""
+    run = lambda w: f"OVER (PARTITION BY tree, pos // 16 ORDER BY pos ROWS BETWEEN {w})"
+    out = []
+    for k in range(levels):
+        out.append(f"{name}s{k} AS (SELECT tree, pos, n, h, coalesce(string_agg(h, '') {run('UNBOUNDED PRECEDING AND 1 PRECEDING')}, '') AS pre, coalesce(string_agg(h, '') {run('1 FOLLOWING AND UNBOUNDED FOLLOWING')}, '') AS post FROM {name}{k})")
+        out.append(f"{name}{k + 1} AS (SELECT tree, pos // 16 AS pos, (any_value(n) + 15) // 16 AS n, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h FROM {name}{k} GROUP BY tree, pos // 16)")
+    return ",\n".join(out)
+
+
+def _path_sql(name: str, levels: int, leaf: str, tampered: str, pos: str, tree: str) -> tuple[str, str, str]:
+    """Joins, siblings and folded digest of a node on its way up the trees of ``name``."""
+    joins = " ".join(f"JOIN {name}s{k} {name}p{k} ON {name}p{k}.tree = {tree} AND {name}p{k}.pos = {pos} // {16**k}" for k in range(levels))
+    folded = tampered
+    for k in range(levels):
+        folded = f"CASE WHEN {name}p{k}.n = 1 THEN {folded} ELSE sha256({name}p{k}.pre || {folded} || {name}p{k}.post) END"
+    return joins, " || ".join(f"{name}p{k}.pre || {name}p{k}.post" for k in range(levels)), folded
+
+
+def _manifest_sql() -> str:
+    """SQL for at most 16**5 documents of a source and 16**3 sources."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    # the checksum, bit by bit: -1 asks for a shift, other numbers are bytes
+    crc = "xor(list_reduce(flatten([[4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))]), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"
+    lower = f"translate(text, '{UPPER}', '{LOWER}')"
+    a_joins, a_siblings, a_folded = _path_sql("a", 5, "d.h", "d.changed", "d.pos", "d.tree")
+    b_joins, b_siblings, b_folded = _path_sql("b", 3, "", "up", "g", "0")
+    return f"""WITH l AS (SELECT doc_id, coalesce('=' || source, '-') AS tree, {leaf("text")} AS h, CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {leaf(lower)} END AS t FROM documents),
+d AS (SELECT *, coalesce(t, h) AS changed, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM l),
+a0 AS (SELECT tree, pos, n, h FROM d),
+{_tree_sql("a", 5)},
+g AS (SELECT tree AS source, h, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM a5),
+b0 AS (SELECT 0 AS tree, pos, n, h FROM g),
+{_tree_sql("b", 3)},
+p AS (SELECT d.doc_id, d.h AS leaf, g.h AS subroot, g.pos AS g, {a_siblings} AS siblings, {a_folded} AS up FROM d JOIN g ON g.source = d.tree {a_joins})
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(siblings || {b_siblings}) AS proof_sha256, {b_folded} AS folded_root, {b_folded} = r.h AS verified FROM p {b_joins} CROSS JOIN b3 r"""
+
+
+ORACLE["op13_merkle_manifest"] = _manifest_sql()
