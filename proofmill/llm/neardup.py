@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofmill.llm.arrow import slices
 from proofmill.llm.components import components
 from proofmill.tables import cut, drop
 
@@ -22,6 +23,8 @@ from proofmill.tables import cut, drop
 BATCH, STEP = 256, 4
 #: Audited labels that are broadcast at most; more are shuffled.
 SMALL = 1_000_000
+#: Shards whose vectors one task takes to a graph.
+TOGETHER = 16
 
 
 def _pick(points: np.ndarray, base: np.ndarray, cand: np.ndarray, sims: np.ndarray, m: int) -> np.ndarray:
@@ -288,7 +291,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, shard_rows: int = 1
     Vectors of equal, non-null label with a cosine of ``least`` or more are linked. Equal vectors of
     a label are one class and are compared once. Vectors that are null, zero or hold null or
     non-finite components, have no label or no key, link with nothing. Vectors of different lengths
-    never link. Recall of links is audited for each pair of shards, see ``links``; ``recall`` is the
+    never link. Rows of one key are vectors of their own: each has its own links and component, which
+    is named by the smallest key in it, and ``kept`` says whether the row has that key. Recall of links is audited for each pair of shards, see ``links``; ``recall`` is the
     share that the walks found of all links (nearest vectors where links are rare) that the audits of
     the label asked for, null where no walk was audited: small shards are compared in full.
     """
@@ -296,7 +300,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, shard_rows: int = 1
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(label).alias("label"), F.transform(x, lambda c: c.cast("double")).alias("x"))
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("x", lambda c: c != 0)
     usable = rows.where(fine).withColumns({"label": F.struct("label", F.size("x").alias("width")), "mark": F.xxhash64("x")})
-    classes = cut(usable.groupBy("label", "mark", "x").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    classes = cut(usable.groupBy("label", "mark", "x").agg(F.min("id").alias("first"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
     counts = classes.groupBy("label").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
     dealt = classes.join(counts, "label").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
 
@@ -311,19 +315,24 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, shard_rows: int = 1
 
     packed = dealt.select(F.to_json("label").alias("lab"), "shards", "shard", "rep", "copies", "x").groupBy("lab", "shards", "shard").applyInPandas(build, "lab string, shards int, shard int, ids binary, copies binary, points binary, graph binary, sizes binary")
     packed = cut(packed)
+    # a graph stays with a task while the vectors of many shards stream past
     all_shards = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    nodes = packed.select("lab", F.col("shard").alias("j"), F.struct("ids", "copies", "points", "graph", "sizes").alias("nodes"), all_shards.alias("i"))
-    asks = packed.select("lab", F.col("shard").alias("i"), F.struct("ids", "points").alias("asks"), all_shards.alias("j"))
+    turns = F.ceil(F.col("shards") / TOGETHER).cast("int")
+    nodes = packed.select("lab", F.col("shard").alias("j"), F.struct("ids", "copies", "points", "graph", "sizes").alias("nodes"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"))
+    asks = packed.select("lab", F.pmod("shard", turns).alias("turn"), F.struct("ids", "points").alias("asks"), all_shards.alias("j"))
 
     def search(batches):
-        for batch in batches:
+        held = None
+        for batch in slices(batches, 1):
             for row in batch.to_pylist():
                 read = lambda name, kind, of="nodes": np.frombuffer(row[of][name], dtype=kind)  # noqa: B023, E731
-                ids, copies, own = read("ids", np.int64), read("copies", np.int64), read("ids", np.int64, "asks")
-                points, queries = read("points", float).reshape(len(ids), -1), read("points", float, "asks").reshape(len(own), -1)
-                shapes = read("sizes", np.int64).reshape(-1, 2)
-                lists = [a.reshape(s) for a, s in zip(np.split(read("graph", np.int32), np.cumsum(shapes.prod(1))[:-1]), shapes, strict=True)]
-                graph = Graph(points.astype(np.float32), [int(s[0]) for s in shapes], lists)
+                if held != (row["lab"], row["j"]):
+                    held, ids, copies = (row["lab"], row["j"]), read("ids", np.int64), read("copies", np.int64)
+                    points, shapes = read("points", float).reshape(len(ids), -1), read("sizes", np.int64).reshape(-1, 2)
+                    lists = [a.reshape(s) for a, s in zip(np.split(read("graph", np.int32), np.cumsum(shapes.prod(1))[:-1]), shapes, strict=True)]
+                    graph = Graph(points.astype(np.float32), [int(s[0]) for s in shapes], lists)
+                own = read("ids", np.int64, "asks")
+                queries = read("points", float, "asks").reshape(len(own), -1)
                 names, place = np.unique(np.concatenate([ids, own]), return_inverse=True)
                 count, forest = np.zeros(len(own), dtype=np.int64), Forest(len(names))
                 order = np.argsort(ids)
@@ -343,14 +352,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, shard_rows: int = 1
                 yield pa.RecordBatch.from_arrays([none, none, none, pa.array([row["lab"]] * len(report), pa.string()), *(pa.array([r[i] for r in report], pa.int64()) for i in (0, 1))], names=fields)
 
     fields = ["rep", "links", "root", "lab", "asked", "found"]
-    every = cut(nodes.join(asks, ["lab", "i", "j"]).drop("i", "j").mapInArrow(search, "rep long, links long, root long, lab string, asked long, found long"))
+    every = cut(nodes.join(asks, ["lab", "j", "turn"]).drop("turn").mapInArrow(search, "rep long, links long, root long, lab string, asked long, found long"))
     drop(packed)
     audits = every.where(F.col("lab").isNotNull()).groupBy("lab").agg((F.sum("found") / F.sum("asked")).alias("recall"))
     audits = F.broadcast(audits) if audits.count() <= SMALL else audits
     found = every.where(F.col("rep").isNotNull())
     linked = components(found, "rep", "root")
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    per_class = classes.join(totals, "rep").join(linked, F.col("rep") == F.col("id"), "left").select("label", "mark", "x", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = classes.select("rep", "first").join(linked, F.col("rep") == F.col("id"))
+    named = named.join(named.groupBy("component").agg(F.min("first").alias("least")), "component").select(F.col("rep").alias("linked"), "least")
+    per_class = classes.join(totals, "rep").join(named, F.col("rep") == F.col("linked"), "left").select("label", "mark", "x", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "first").alias("component_id"))
     per_class = per_class.join(audits, F.to_json("label") == F.col("lab"), "left").drop("lab")
     member = usable.join(per_class, ["label", "mark", "x"]).select("id", "n_links", "component_id", "recall")
     alone = rows.where(~fine).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(None).cast("double").alias("recall"))

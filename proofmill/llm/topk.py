@@ -92,7 +92,7 @@ class ImpactIndex:
             for dim, rows, value in postings:
                 scores[rows] += value * weights[dim]
             if left > tested // 2 or not left or want >= n:
-                continue  # the proof is tried whenever half of the postings since the last time are done
+                continue  # the proof is attempted whenever half of the postings since the last time are done
             tested = left
             slack = np.minimum(np.outer(rest, norms[active]), below * sums[active])
             least = np.partition(scores - slack, n - want, axis=0)[n - want]

@@ -117,3 +117,28 @@ def test_recall_is_returned_and_holds_against_brute_force(spark):
     assert want >= 100 and 0.97 <= share <= 1
     assert all(0.9 <= g["recall"] <= 1 for g in got if g["vec_id"] < 2000)
     assert all(g["recall"] is None for g in got if g["vec_id"] >= 2000)  # compared in full
+
+
+def test_rows_of_one_key_are_vectors_of_their_own(spark):
+    """Few keys under many vectors and labels, one of them under a third of all rows."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=(40, 8))
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (1, [0.3, 0.9], 1), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (4, [0.3, 0.91], 1), (1, [1.0, 0.0], 0)]
+    rows += [(7 if i % 3 else 10 + i % 5, (base[i % 40] + r.normal(0, 0.03, 8)).tolist(), i % 2) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.98]
+    low = [x[0] for x in rows]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in linked:
+            least = min(low[a], low[b])
+            changed |= low[a] != least or low[b] != least
+            low[a] = low[b] = least
+    links = [sum(i in pair for pair in linked) for i in range(len(rows))]
+    want = sorted((i, links[k], low[k], low[k] == i) for k, (i, _, _) in enumerate(rows))
+    for shard_rows in (16384, 30):
+        got = neardup.near_duplicates(df, shard_rows=shard_rows)
+        assert sorted((g["vec_id"], g["n_links"], g["component_id"], g["kept"]) for g in got.collect()) == want
+    assert len(linked) > 300
