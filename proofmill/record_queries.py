@@ -56,6 +56,27 @@ def s2_read_tolerant(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("kind").agg(F.count("*").alias("n"), F.coalesce(F.sum("seq"), F.lit(0).cast("bigint")).alias("seqs"))
 
 
+_NUMBERED = f"SELECT p_partkey AS seq, {_KINDS} AS kind, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS line_no, p_size FROM part"
+
+
+@query(f"SELECT seq, kind AS error_type, line_no, concat('p_size=', CAST(p_size AS VARCHAR), ':', CAST(line_no AS VARCHAR), ': ', CASE kind WHEN 'malformed' THEN kind ELSE 'rank' END) AS message FROM ({_NUMBERED}) WHERE kind <> 'good'")
+def s2_error_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A file for each size, its lines by key: every bad line is named by its place in its file, though files are read in small parts."""
+    path, part = _folder(spark), table(spark, sf, "part")
+    rank = F.when(F.col("p_size") % 5 == 4, "5D").otherwise("1D")
+    line = F.to_json(F.struct(F.col("p_partkey").alias("seq"), rank.alias("shape_rank")))
+    rows = part.select("p_size", "p_partkey", F.when(F.col("p_size") % 7 == 0, F.substring(line, F.lit(1), F.char_length(line) - 4)).otherwise(line).alias("value"))
+    rows.repartition("p_size").sortWithinPartitions("p_size", "p_partkey").select("p_size", "value").write.partitionBy("p_size").text(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        _, bad = jsonl.read_tolerant(spark, path, "seq bigint, shape_rank string", {"rank": F.col("shape_rank").isin(RANKS)}, ("seq",))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    seq = F.regexp_extract("line", r'"seq":(\d+)', 1).cast("bigint").alias("seq")
+    return bad.select(seq, "error_type", "line_no", F.regexp_replace("message", r"^.*/(p_size=\d+)/[^:]*", "$1").alias("message"))
+
+
 @query("SELECT p_partkey AS seq, CASE WHEN p_size % 5 = 4 THEN '5D' ELSE concat(CAST(1 + p_size % 4 AS VARCHAR), 'D') END AS shape_rank FROM part WHERE p_size % 7 <> 0")
 def s3_read_lenient(spark: SparkSession, sf: str) -> DataFrame:
     return jsonl.read_lenient(spark, _lines(spark, sf), OBSERVATION).select("seq", "shape_rank")
