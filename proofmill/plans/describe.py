@@ -176,6 +176,23 @@ def stage_counts(rows: DataFrame, stage: str = "stage") -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
+def running_totals(rows: DataFrame, flags: dict[str, Column], order: list[str]) -> DataFrame:
+    """``rows`` with ``n``, how many there are up to each in ``order``, and for each flag how many of those have it.
+
+    Rows are dealt out by range and counted within each range; what earlier ranges hold is added from
+    their totals, one row for each range. Of rows of equal order any may be first.
+    """
+    names = list(flags)
+    dealt = rows.withColumns({f"_{k}": F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint")) for k, c in flags.items()}).repartitionByRange(*order)
+    dealt = cut(dealt.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)))
+    sums = dealt.groupBy("_range").agg(F.count("*").alias("_t_n"), *[F.sum(f"_{k}").alias(f"_t_{k}") for k in names])
+    earlier = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = sums.select("_range", *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_b_{k}") for k in ("n", *names)])
+    inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    counted = dealt.withColumns({"_c_n": F.row_number().over(inside), **{f"_c_{k}": F.sum(f"_{k}").over(inside) for k in names}})
+    return counted.join(F.broadcast(before), "_range").select(*rows.columns, *[(F.col(f"_b_{k}") + F.col(f"_c_{k}")).cast("bigint").alias(k) for k in ("n", *names)])
+
+
 def dataset_summary(rows: DataFrame) -> DataFrame:
     """One row of totals for rows with ``attempts`` nested: rows, attempts, rows with a pass, repeated ids."""
     won = F.exists("attempts", lambda a: F.coalesce(a["correctness"]["status"] == "passed", F.lit(False)))

@@ -12,6 +12,7 @@ from proofmill import vocab
 from proofmill.functions import ids
 from proofmill.operators import attempts as att
 from proofmill.operators import constraints
+from proofmill.plans import describe
 from proofmill.queries import _UUID5, query
 from proofmill.sources import jsonl
 from proofmill.streaming import feeds
@@ -321,18 +322,64 @@ def o8_patch_texts(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT kind, count(*) AS n FROM (SELECT {_KINDS} AS kind FROM part) GROUP BY 1")
 def r1_ingest(spark: SparkSession, sf: str) -> DataFrame:
     folder, root = _lines(spark, sf), _folder(spark)
-    feeds.ingest(spark, folder, OBSERVATION, {"constraint": F.col("shape_rank").isin(RANKS)}, f"{root}/good", f"{root}/bad", f"{root}/checkpoint").awaitTermination()
-    both = spark.read.parquet(f"{root}/good").select(F.lit("good").alias("kind")).unionByName(spark.read.parquet(f"{root}/bad").select(F.col("violations")[0].alias("kind")))
+    feeds.ingest(spark, folder, OBSERVATION, {"constraint": F.col("shape_rank").isin(RANKS)}, root).awaitTermination()
+    good, bad = feeds.ingested(spark, root, OBSERVATION)
+    both = good.select(F.lit("good").alias("kind")).unionByName(bad.select(F.col("violations")[0].alias("kind")))
     return both.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+#: Seconds from a job's first event to its timeout, and by which the watermark waits.
+_LIMIT, _WAIT = 172_800, 600
+
+
+@query(
+    f"""SELECT job_id, CASE WHEN ended <= first_ts + INTERVAL {_LIMIT} SECOND THEN status ELSE 'timeout' END AS status, first_ts, CASE WHEN ended <= first_ts + INTERVAL {_LIMIT} SECOND THEN ended ELSE first_ts + INTERVAL {_LIMIT} SECOND END AS ts FROM
+    (SELECT user_id AS job_id, date_trunc('millisecond', min(ts)) AS first_ts, date_trunc('millisecond', max(ts)) AS last_ts, date_trunc('millisecond', min(ts) FILTER (event_type IN ('error', 'purchase'))) AS ended, arg_min(CASE event_type WHEN 'purchase' THEN 'done' ELSE 'error' END, ts) FILTER (event_type IN ('error', 'purchase')) AS status FROM events GROUP BY 1)
+    WHERE ended <= first_ts + INTERVAL {_LIMIT} SECOND OR last_ts > first_ts + INTERVAL {_LIMIT} SECOND OR (SELECT max(ts) FROM events) - INTERVAL {_WAIT} SECOND >= first_ts + INTERVAL {_LIMIT} SECOND"""
+)
+def r4_timeouts(spark: SparkSession, sf: str) -> DataFrame:
+    """Users as jobs: an error or a purchase ends one; silent ones are ended by the stream's own timers."""
+    events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
+    status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error").otherwise("running")
+    rows = events.select(F.col("user_id").alias("job_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    out = feeds.drain(feeds.ended(rows, _LIMIT, f"{_WAIT} seconds"))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "first_ts")})
+
+
 @query("SELECT p_partkey AS dataset_id, p_brand FROM part")
 def r5_append_new(spark: SparkSession, sf: str) -> DataFrame:
-    """The table as a stream, sent twice: each key is written once."""
+    """The table as a stream, sent twice, with a quarter of it there before: each key is written once."""
     root, ddl = _folder(spark), "dataset_id bigint, p_brand string"
-    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("dataset_id"), "p_brand")
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("dataset_id"), "p_brand", "p_size")
+    before = rows.where("p_size % 4 = 0").drop("p_size")
     for turn in ("a", "b"):
-        rows.write.json(f"{root}/in/{turn}")
+        rows.drop("p_size").write.json(f"{root}/in/{turn}")
     stream = feeds.read_feed(spark, f"{root}/in/*", ddl, files_per_batch=4).drop(feeds.CORRUPT)
-    stream.writeStream.foreachBatch(feeds.append_new(f"{root}/out")).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(ddl).parquet(f"{root}/out")
+    feeds.append_new(stream, f"{root}/out", existing=before).awaitTermination()
+    return feeds.committed(spark, f"{root}/out", "rows", stream.schema).drop("batch").unionByName(before)
+
+
+@query(
+    f"""SELECT p_partkey AS seq, kind, count(*) OVER w AS n, count(*) FILTER (kind = 'good') OVER w AS accepted, count(*) FILTER (kind <> 'good') OVER w AS rejected
+    FROM (SELECT *, {_KINDS} AS kind FROM part) WINDOW w AS (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING)"""
+)
+def a16_running_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """How many were accepted and rejected so far, after every row."""
+    size = F.col("p_size")
+    kind = F.when(size % 7 == 0, "malformed").when(size % 5 == 4, "constraint").otherwise("good")
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("seq"), kind.alias("kind"))
+    return describe.running_totals(rows, {"accepted": F.col("kind") == "good", "rejected": F.col("kind") != "good"}, ["seq"])
+
+
+@query(f"SELECT kind, count(*) AS n, true AS grows FROM (SELECT {_KINDS} AS kind FROM part) GROUP BY 1")
+def r6_running_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals after each batch of a feed of eight files; they only grow and end at the whole."""
+    folder, size = _folder(spark), F.col("p_size")
+    kind = F.when(size % 7 == 0, "malformed").when(size % 5 == 4, "constraint").otherwise("good")
+    table(spark, sf, "part").select(kind.alias("kind")).repartition(8).write.json(folder)
+    stream = feeds.read_feed(spark, folder, "kind string", files_per_batch=1).drop(feeds.CORRUPT)
+    out = feeds.drain(feeds.totals(stream, "kind"), "update", batches=True)
+    sorted_by = lambda c: F.array_sort(F.collect_list(F.struct(F.col(c).alias("by"), "n")))
+    per = out.groupBy("kind").agg(F.max("n").alias("total"), sorted_by("batch").alias("by_batch"), sorted_by("n").alias("by_n"))
+    ns = lambda c: F.transform(c, lambda x: x["n"])
+    return per.select("kind", F.col("total").alias("n"), (ns("by_batch") == ns("by_n")).alias("grows"))

@@ -8,14 +8,18 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from proofmill.operators.constraints import violations
 from proofmill.schemas import schema
 from proofmill.tables import shared_dir
 
 CORRUPT = "_corrupt_record"
+#: Batches whose list is broadcast at most.
+SMALL = 100_000
 
 
 def read_feed(spark: SparkSession, folder: str, ddl: str, files_per_batch: int = 100) -> DataFrame:
@@ -24,19 +28,56 @@ def read_feed(spark: SparkSession, folder: str, ddl: str, files_per_batch: int =
     return spark.readStream.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def route(batch: DataFrame, accepted: str, quarantine: str, checks: dict[str, Column]) -> None:
-    """One batch: rows that keep all checks are accepted; the others go to quarantine with what they break."""
-    batch.persist()
-    marked = batch.withColumn("violations", F.when(F.col(CORRUPT).isNotNull(), F.array(F.lit("malformed"))).otherwise(violations(checks)))
-    marked.where(F.size("violations") == 0).drop("violations", CORRUPT).write.mode("append").parquet(accepted)
-    marked.where(F.size("violations") > 0).write.mode("append").parquet(quarantine)
-    batch.unpersist()
+def by_batch(root: str, parts: Callable[[DataFrame], dict[str, DataFrame]]) -> Callable[[DataFrame, int], None]:
+    """A sink for ``foreachBatch``: each named part of a batch is written to ``<root>/<name>/batch=<id>``, then the batch is listed in ``<root>/committed``.
 
+    A batch that is run again after a failure has the same id and replaces what it had written, so
+    nothing is lost or repeated; ``committed`` reads whole batches only. The stream's checkpoint
+    belongs to ``root``: with another one, ids would start anew.
+    """
 
-def ingest(spark: SparkSession, folder: str, ddl: str, checks: dict[str, Column], accepted: str, quarantine: str, checkpoint: str):
-    """Start the ingest of all files that are there; returns the query."""
-    sink = lambda batch, _: route(batch, accepted, quarantine, checks)
-    return read_feed(spark, folder, ddl).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def sink(batch: DataFrame, n: int) -> None:
+        batch.persist()
+        try:
+            for name, rows in parts(batch).items():
+                rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={n}")
+            batch.sparkSession.range(1).selectExpr("current_timestamp() AS at").write.mode("overwrite").parquet(f"{root}/committed/batch={n}")
+        finally:
+            batch.unpersist()
+
+    return sink
+
+
+def committed(spark: SparkSession, root: str, name: str, kind: StructType) -> DataFrame:
+    """Rows of one part of all batches that were written whole, and their ``batch``. Batches without a commit are not read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/committed")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], StructType([*kind.fields, StructField("batch", LongType())]))
+    done = spark.read.parquet(f"{root}/committed").select(F.col("batch").cast("bigint").alias("batch")).distinct()
+    rows = spark.read.schema(StructType([*kind.fields, StructField("batch", LongType())])).option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
+    return rows.join(F.broadcast(done) if done.count() <= SMALL else done, "batch", "left_semi").select(*kind.names, "batch")
+
+
+def routed(checks: dict[str, Column]) -> Callable[[DataFrame], dict[str, DataFrame]]:
+    """Rows of a batch that keep all checks as ``accepted``; the others as ``quarantine`` with what they break."""
+
+    def parts(batch: DataFrame) -> dict[str, DataFrame]:
+        marked = batch.withColumn("violations", F.when(F.col(CORRUPT).isNotNull(), F.array(F.lit("malformed"))).otherwise(violations(checks)))
+        return {"accepted": marked.where(F.size("violations") == 0).drop("violations", CORRUPT), "quarantine": marked.where(F.size("violations") > 0)}
+
+    return parts
+
+
+def ingest(spark: SparkSession, folder: str, ddl: str, checks: dict[str, Column], root: str, files_per_batch: int = 100):
+    """Start the ingest of all files that are there; returns the query. ``ingested`` reads the result."""
+    feed = read_feed(spark, folder, ddl, files_per_batch)
+    return feed.writeStream.foreachBatch(by_batch(root, routed(checks))).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+
+
+def ingested(spark: SparkSession, root: str, ddl: str) -> tuple[DataFrame, DataFrame]:
+    """Accepted rows, and quarantined ones with ``violations``, of all batches that were written whole."""
+    bad = StructType([*schema(ddl).fields, StructField(CORRUPT, StringType()), StructField("violations", ArrayType(StringType()))])
+    return committed(spark, root, "accepted", schema(ddl)).drop("batch"), committed(spark, root, "quarantine", bad).drop("batch")
 
 
 def first_seen(stream: DataFrame, keys: list[str], watermark: tuple[str, str] | None = None) -> DataFrame:
@@ -92,23 +133,105 @@ def fold_status(stream: DataFrame, watermark: str = "1 hour", key: str = "job_id
 
 
 def overdue(jobs: DataFrame, now: Column, seconds: int = 600) -> DataFrame:
-    """``jobs`` with ``status`` timeout where a job hasn't ended ``seconds`` after its first sign."""
+    """``jobs`` of a batch table with ``status`` timeout where a job hasn't ended ``seconds`` after its first sign; ``ended`` tells it by timer."""
     late = ~F.col("status").isin("done", "error") & (now.cast("double") - F.col("first_ts").cast("double") > seconds)
     return jobs.withColumn("status", F.when(late, "timeout").otherwise(F.col("status")))
 
 
-def append_new(path: str, key: str = "dataset_id") -> Callable[[DataFrame, int], None]:
-    """A sink for ``foreachBatch`` that appends rows whose key the table lacks; a repeated batch adds nothing."""
+ENDED = "status string, first_ts timestamp, ts timestamp"
+#: Stores state outside the JVM's heap; timers need it.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def sink(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates([key])
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-            rows = rows.join(spark.read.schema(batch.schema).parquet(path).select(key), key, "left_anti").select(*batch.columns)
-        rows.write.mode("append").parquet(path)
 
-    return sink
+class _Jobs(StatefulProcessor):
+    """A job from its first sign to its end; a timer ends it as timeout. A mark of the end stays for a while."""
+
+    def __init__(self, key: str, limit_ms: int, keep_ms: int, event_time: bool):
+        self.key, self.limit, self.keep, self.event_time = key, limit_ms, keep_ms, event_time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "first long, deadline long, ended boolean")
+
+    def _end(self, key, first: int, status: str, ts: int, forget: int) -> pd.DataFrame:
+        self.job.update((first, forget, True))
+        self.handle.registerTimer(forget)
+        at = lambda ms: pd.Timestamp(ms, unit="ms")
+        return pd.DataFrame({self.key: [key[0]], "status": [status], "first_ts": [at(first)], "ts": [at(ts)]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable")
+        now = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+        first, deadline, ended = self.job.get() if self.job.exists() else (None, None, False)
+        if ended:
+            return
+        if first is None:
+            first = frame["ts"].iloc[0].value // 1_000_000
+            deadline = (first if self.event_time else now) + self.limit
+            self.job.update((first, deadline, False))
+            self.handle.registerTimer(deadline)
+        for r in frame.itertuples():
+            ms = r.ts.value // 1_000_000
+            late = self.event_time and ms > deadline
+            if late or r.status in ("done", "error"):
+                self.handle.deleteTimer(deadline)
+                yield self._end(key, first, "timeout" if late else r.status, deadline if late else ms, max(now, deadline) + self.keep)
+                return
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        first, deadline, ended = self.job.get() if self.job.exists() else (None, None, True)
+        if ended:
+            self.job.clear()
+            return
+        yield self._end(key, first, "timeout", deadline, expiredTimerInfo.getExpiryTimeInMs() + self.keep)
+
+    def close(self) -> None:
+        pass
+
+
+def ended(stream: DataFrame, seconds: int = 600, watermark: str = "10 minutes", key: str = "job_id", keep_seconds: int = 86_400, event_time: bool = True) -> DataFrame:
+    """A row for each job once it is over: ``done`` or ``error`` with its time, or ``timeout`` at ``seconds`` after its first sign.
+
+    A timer in the stream's state ends silent jobs: in event time (column ``ts``) when the watermark
+    passes their deadline, else when so many seconds have passed on the clock (such a query never
+    comes to rest, so it needs a processing-time trigger). Later signs of a job that is over are left
+    out for ``keep_seconds``. Queries over it are started by ``start_with_timers``.
+    """
+    rows = stream.select(key, "status", "ts")
+    rows = rows.withWatermark("ts", watermark) if event_time else rows
+    kind = dict(rows.dtypes)[key]
+    jobs = _Jobs(key, seconds * 1000, keep_seconds * 1000, event_time)
+    return rows.groupBy(key).transformWithStateInPandas(jobs, f"`{key}` {kind}, {ENDED}", "Append", "EventTime" if event_time else "ProcessingTime")
+
+
+def start_with_timers(writer: DataStreamWriter, spark: SparkSession):
+    """Start a query whose state is kept in RocksDB; other queries of the session keep their store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def append_new(stream: DataFrame, root: str, key: str = "dataset_id", existing: DataFrame | None = None):
+    """Start to append the first row of each key of a stream; returns the query, ``committed`` reads part ``rows``.
+
+    The keys that were written are the stream's own state (in RocksDB), so the growing table is never
+    read again; ``existing`` are keys from before the stream, read in each batch. A batch that is run
+    again replaces what it wrote.
+    """
+    fresh = stream.dropDuplicates([key])
+    if existing is not None:
+        fresh = fresh.join(existing.select(key).distinct(), key, "left_anti").select(*stream.columns)
+    writer = fresh.writeStream.foreachBatch(by_batch(root, lambda batch: {"rows": batch})).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    return start_with_timers(writer, stream.sparkSession)
+
+
+def totals(stream: DataFrame, by: str) -> DataFrame:
+    """Running counts by ``by``; each batch of ``drain`` in update mode has those that changed."""
+    return stream.groupBy(by).agg(F.count("*").alias("n"))
 
 
 def rates(stream: DataFrame, by: str, window: str = "1 hour", slide: str | None = None, watermark: str = "2 hours") -> DataFrame:
@@ -117,15 +240,20 @@ def rates(stream: DataFrame, by: str, window: str = "1 hour", slide: str | None
     return counts.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), by, "n")
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all there is and return its rows as a table in the shared folder; complete and update modes keep the last result of each batch."""
+def drain(stream: DataFrame, mode: str = "append", batches: bool = False) -> DataFrame:
+    """Run a stream over all there is and return its rows as a table in the shared folder; complete mode keeps the last result, update mode that of each batch.
+
+    ``batches`` adds the column ``batch``.
+    """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/rows/{'last' if mode == 'complete' else f'batch={n}'}")
 
-    query = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    out = spark.read.schema(stream.schema).parquet(f"{base}/rows/last" if mode == "complete" else f"{base}/rows/batch=*")
-    return out.select(*stream.columns)
+    writer = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    start_with_timers(writer, spark).awaitTermination()
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{base}/rows/last").select(*stream.columns)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{base}/rows")
+    return rows if batches else rows.select(*stream.columns)
