@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofmill.plans.describe import beside, quantiles
+
 
 def _first(attempts: str, passed: bool) -> Column:
     ok = lambda a: F.coalesce(a["correctness"]["status"] == "passed", F.lit(False))
@@ -89,5 +91,7 @@ def failure_mix(pairs: DataFrame, kind: str = "kind") -> DataFrame:
 
 
 def length_audit(lengths: DataFrame, limits: DataFrame, side: str = "side", n: str = "n_tokens") -> DataFrame:
-    """F8: ``side, rows, max, p99, over`` of token counts against a limit for each side."""
-    return lengths.join(F.broadcast(limits), side).groupBy(side).agg(F.count("*").alias("n_rows"), F.max(n).alias("max_tokens"), F.percentile(n, F.lit(0.99)).alias("p99_tokens"), F.count_if(F.col(n) > F.col("token_limit")).alias("n_over"))
+    """F8: ``side, rows, max, p99, over`` of token counts against a limit for each side; sides without a limit are left out."""
+    known = lengths.join(F.broadcast(limits), side)  # a row for each side
+    sums = known.groupBy(side).agg(F.count("*").alias("n_rows"), F.max(n).alias("max_tokens"), F.count_if(F.col(n) > F.col("token_limit")).alias("n_over"))
+    return beside(sums, quantiles(known, n, [side], {"p99_tokens": 0.99}), [side]).select(side, "n_rows", "max_tokens", "p99_tokens", "n_over")

@@ -34,14 +34,10 @@ def wilson_difference(k1: Column, n1: Column, k2: Column, n2: Column, z: float =
     return F.greatest(F.lit(-1.0), low), F.least(F.lit(1.0), high)
 
 
-def describe(x: Column, exact: bool = True) -> list[Column]:
-    """A4: aggregates n, min, q1, median, mean, q3, max, iqr, std of a series; inclusive quartiles, std 0 for one value.
-
-    ``exact=False`` takes approximate quartiles, which need bounded memory for a group of any size.
-    """
-    q = (lambda p: F.percentile(x, F.lit(p))) if exact else (lambda p: F.percentile_approx(x, F.lit(p), F.lit(10000)).cast("double"))
+def describe(x: Column) -> list[Column]:
+    """A4: aggregates n, min, mean, max, std of a series; std 0 for one value. ``quantiles`` has the rest."""
     std = F.when(F.count(x) > 0, F.coalesce(F.stddev_samp(x), F.lit(0.0)))
-    return [F.count(x).alias("n"), F.min(x).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), F.avg(x).alias("mean"), q(0.75).alias("q3"), F.max(x).alias("max"), (q(0.75) - q(0.25)).alias("iqr"), std.alias("std")]
+    return [F.count(x).alias("n"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.max(x).alias("max"), std.alias("std")]
 
 
 def report_bucket(outcome: Column) -> Column:
@@ -69,11 +65,16 @@ def pass_rates(rows: DataFrame, by: str = "tier") -> DataFrame:
     return sums.select("model_label", F.when(F.col("all") == 1, "__overall__").otherwise(F.col(by)).alias(by), "k", "n", (F.col("k") / F.col("n")).alias("rate"), low.alias("wilson_lo"), high.alias("wilson_hi"))
 
 
-def measure_summary(rows: DataFrame, measures: dict[str, Column], by: list[str], exact: bool = True) -> DataFrame:
-    """Summaries of several measures of winners: ``by, measure`` and the columns of ``describe``."""
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def measure_summary(rows: DataFrame, measures: dict[str, Column], by: list[str]) -> DataFrame:
+    """Summaries of several measures of winners: ``by, measure, n, min, q1, median, mean, q3, max, iqr, std``."""
     won = rows.where(F.col("final_winning_attempt_n").isNotNull()).select(*by, *[c.cast("double").alias(k) for k, c in measures.items()])
     long = won.unpivot(by, list(measures), "measure", "x").where(F.col("x").isNotNull())
-    return long.groupBy(*by, "measure").agg(*describe(F.col("x"), exact))
+    keys = [*by, "measure"]
+    both = beside(long.groupBy(*keys).agg(*describe(F.col("x"))), quantiles(long, "x", keys, QUARTILES), keys)
+    return both.select(*keys, "n", "min", "q1", "median", "mean", "q3", "max", (F.col("q3") - F.col("q1")).alias("iqr"), "std")
 
 
 def shares(rows: DataFrame, column: str, default: str | None = None, total: int | None = None) -> DataFrame:
@@ -86,8 +87,9 @@ def shares(rows: DataFrame, column: str, default: str | None = None, total: int
 
 def headline(rows: DataFrame) -> DataFrame:
     """A row for each label: n, k, rate with interval, median speedup of winners."""
-    won = F.col("final_winning_attempt_n").isNotNull()
-    sums = rows.groupBy("model_label").agg(F.count("*").alias("n"), F.sum(passed()).alias("k"), F.percentile(F.when(won, F.col("speedup_vs_inductor")), F.lit(0.5)).alias("median_speedup"))
+    won = rows.where(F.col("final_winning_attempt_n").isNotNull() & F.col("speedup_vs_inductor").isNotNull())
+    sums = rows.groupBy("model_label").agg(F.count("*").alias("n"), F.sum(passed()).alias("k"))
+    sums = beside(sums, quantiles(won, "speedup_vs_inductor", ["model_label"], {"median_speedup": 0.5}), ["model_label"])
     low, high = wilson(F.col("k"), F.col("n"))
     return sums.withColumns({"rate": F.col("k") / F.col("n"), "wilson_lo": low, "wilson_hi": high})
 
@@ -104,35 +106,69 @@ def cross_tab(rows: DataFrame, dims: list[str]) -> DataFrame:
     return cube.select(*[F.when(F.col(f"_{d}") == 1, "*").otherwise(F.col(d)).alias(d) for d in dims], "n")
 
 
+#: Groups whose results are broadcast at most; more are shuffled.
+SMALL = 100_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """``left`` with the columns of ``right``, which has a row for each group at most; null groups match."""
+    named = right.withColumnsRenamed({c: f"_k_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & left[c].eqNullSafe(named[f"_k_{c}"])
+    return left.join(named, same, "left").drop(*[f"_k_{c}" for c in by])
+
+
 def outliers(rows: DataFrame, by: list[str], x: str) -> DataFrame:
     """``rows`` with ``is_outlier``: outside 1.5 interquartile ranges of the group."""
-    q = rows.groupBy(*by).agg(F.percentile(x, F.lit(0.25)).alias("_q1"), F.percentile(x, F.lit(0.75)).alias("_q3"))
+    q = _few(cut(quantiles(rows, x, by, {"_q1": 0.25, "_q3": 0.75})))
     reach = 1.5 * (F.col("_q3") - F.col("_q1"))
-    return rows.join(q, by).withColumn("is_outlier", (F.col(x) < F.col("_q1") - reach) | (F.col(x) > F.col("_q3") + reach)).drop("_q1", "_q3")
+    return beside(rows, q, by).withColumn("is_outlier", (F.col(x) < F.col("_q1") - reach) | (F.col(x) > F.col("_q3") + reach)).drop("_q1", "_q3")
 
 
-def hash_sample(rows: DataFrame, by: list[str], key: str, n: int, salt: int = 32) -> DataFrame:
-    """At most ``n`` rows of each group, those of smallest hash; ranked in salted parts first."""
-    h = rows.withColumn("_h", F.xxhash64(F.lit("sample"), key))
-    early, late = Window.partitionBy(*by, F.pmod("_h", F.lit(salt))).orderBy("_h", key), Window.partitionBy(*by).orderBy("_h", key)
-    some = h.withColumn("_n", F.row_number().over(early)).where(F.col("_n") <= n)
-    return some.withColumn("_n", F.row_number().over(late)).where(F.col("_n") <= n).drop("_n", "_h")
+def placed(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``by, value, count, before, n``: each value of a group, how often it occurs, how many smaller ones the group has, and its size.
 
+    Values are counted, dealt out by range, and numbered within each range; what lies in earlier
+    ranges is added from their few totals. So no group, however large, meets in one task. Null
+    values are left out; null groups are groups.
+    """
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group.alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("count"))
+    dealt = cut(counts.repartitionByRange("_g", "_v").withColumn("_range", F.spark_partition_id()))
+    totals = dealt.groupBy("_g", "_range").agg(F.sum("count").alias("_t"))
+    key = Window.partitionBy("_g")
+    earlier = F.coalesce(F.sum("_t").over(key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.select("_g", "_range", earlier.alias("_before"), F.sum("_t").over(key).alias("n"))
+    inside = F.coalesce(F.sum("count").over(Window.partitionBy("_g", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = dealt.withColumn("_in", inside).join(offsets, ["_g", "_range"])  # no hint: with many groups the offsets grow with the rows
+    return numbered.select(*[F.col(f"_g.{c}").alias(c) for c in by], F.col("_v").alias(value), "count", (F.col("_before") + F.col("_in")).alias("before"), "n")
 
-def average_ranks(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """``by, value, count, rank``: average ranks of values within each group, without a window over a whole group.
 
-    Values are counted, dealt out by range, and numbered within each range; what lies in earlier
-    ranges is added from their few totals.
+def at_place(value: str, place: Column) -> Column:
+    """Aggregate over ``placed``: the value at a place of its group, from 0."""
+    return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("count")), F.col(value)))
+
+
+def quantiles(rows: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """A4: exact inclusive quantiles of each group: ``by`` and the names of ``shares``.
+
+    Only the wanted places are looked up, and combined before the shuffle.
     """
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("count"))
-    dealt = cut(counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()))
-    totals = dealt.groupBy(*by, "_range").agg(F.sum("count").alias("_t"))
-    key = Window.partitionBy(*by) if by else Window.partitionBy()
-    offsets = totals.withColumn("_before", F.coalesce(F.sum("_t").over(key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    inside = F.coalesce(F.sum("count").over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = dealt.withColumn("_in", inside).join(offsets, [*by, "_range"])  # no hint: with many groups the offsets grow with the rows
-    return numbered.select(*by, value, "count", (F.col("_before") + F.col("_in") + (F.col("count") + 1) / 2).alias("rank"))
+    at = {k: (F.col("n") - 1) * F.lit(float(p)) for k, p in shares.items()}
+    ends = placed(rows, value, by).groupBy(*by).agg(F.max("n").alias("n"), *[at_place(value, f(c)).alias(f"_{side}_{k}") for k, c in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))])
+    mixed = lambda k, c: F.col(f"_lo_{k}") + (c - F.floor(c)) * (F.col(f"_hi_{k}") - F.col(f"_lo_{k}"))
+    return ends.select(*by, *[mixed(k, c).alias(k) for k, c in at.items()])
+
+
+def average_ranks(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``by, value, count, rank``: average ranks of values within each group, see ``placed``."""
+    return placed(rows, value, by).select(*by, value, "count", (F.col("before") + (F.col("count") + 1) / 2).alias("rank"))
 
 
 def bootstrap_median(rows: DataFrame, by: str, x: str, replicates: int = 1000, alpha: float = 0.05, seed: int = 7) -> DataFrame:
@@ -143,8 +179,8 @@ def bootstrap_median(rows: DataFrame, by: str, x: str, replicates: int = 1000, a
     beta distributed: they are drawn as such, and only their ranks are looked up in the values.
     """
     group = F.coalesce(F.concat(F.lit("="), by), F.lit("-"))
-    counts = cut(average_ranks(rows.where(F.col(x).isNotNull()).select(group.alias("_g"), F.col(x).cast("double").alias("x")), "x", ["_g"]))
-    sizes = counts.groupBy("_g").agg(F.sum("count").alias("n"))
+    counts = cut(placed(rows.where(F.col(x).isNotNull()).select(group.alias("_g"), F.col(x).cast("double").alias("x")), "x", ["_g"]))
+    sizes = counts.groupBy("_g").agg(F.max("n").alias("n"))
 
     def draw(batches):
         for batch in batches:
@@ -161,8 +197,7 @@ def bootstrap_median(rows: DataFrame, by: str, x: str, replicates: int = 1000, a
 
     picks = cut(sizes.mapInPandas(draw, "_g string, n long, replicate long, at long"))
     bounds = picks.groupBy("_g").agg(F.min("at").alias("_lo"), F.max("at").alias("_hi"))
-    placed = counts.select("_g", "x", (F.col("rank") - (F.col("count") + 1) / 2).cast("bigint").alias("_before"), "count")
-    near = placed.join(bounds, "_g").where((F.col("_before") < F.col("_hi")) & (F.col("_before") + F.col("count") >= F.col("_lo"))).drop("_lo", "_hi")
+    near = counts.select("_g", "x", F.col("before").alias("_before"), "count").join(bounds, "_g").where((F.col("_before") < F.col("_hi")) & (F.col("_before") + F.col("count") >= F.col("_lo"))).drop("_lo", "_hi")
     taken = picks.join(near, "_g").where((F.col("at") > F.col("_before")) & (F.col("at") <= F.col("_before") + F.col("count")))
     medians = taken.groupBy("_g", "n", "replicate").agg(F.avg("x").alias("m"))
     own, drawn = F.when(F.col("replicate") < 0, F.col("m")), F.when(F.col("replicate") >= 0, F.col("m"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofmill.functions import tails
 from proofmill.operators.records import last_per_key
 from proofmill.plans import describe as d
-from proofmill.plans.describe import average_ranks, hash_sample, passed, wilson_difference
+from proofmill.plans.describe import average_ranks, passed, placed, wilson_difference
 from proofmill.tables import cut
 from proofmill.vocab import TIER
 
@@ -107,15 +108,35 @@ def planned_contrasts(rows: DataFrame, contrasts: DataFrame, alpha: float = 0.05
     return contrasts.join(found.drop("label_a", "label_b"), "name", "left").withColumn("missing", F.col("n_common").isNull())
 
 
-def shapiro(rows: DataFrame, most: int = 5000) -> DataFrame:
-    """H7: ``model_label, n, n_used, statistic, p_value`` of winners' speedups; null below three.
+#: Largest n for which the p-value of the test of normality was fitted; ranks that one row expands to at most.
+FITTED, PIECE = 5000, 1 << 20
 
-    Statistic and p-value are of ``n_used`` values: all, or a sample of ``most`` by hash.
+
+def shapiro(rows: DataFrame) -> DataFrame:
+    """H7: ``model_label, n, statistic, p_value, beyond_range`` of all winners' speedups; null below three or if all are equal.
+
+    The statistic is a linear form of the ordered values over their spread. Its weights follow from
+    rank and size alone, so it is summed over ranges of ranks; only the two values at either end have
+    weights of their own. ``beyond_range``: there are more values than the p-value was fitted for.
     """
-    values = speedup_map(rows)
-    counts = values.groupBy("model_label").agg(F.count("*").alias("n"))
-    lists = hash_sample(values, ["model_label"], "example_id", most).groupBy("model_label").agg(F.sort_array(F.collect_list("speedup")).alias("x"))
-    return counts.join(lists, "model_label").withColumn("t", tails.shapiro("x")).select("model_label", "n", F.size("x").cast("bigint").alias("n_used"), F.col("t.w").alias("statistic"), F.col("t.p").alias("p_value"))
+    values = cut(speedup_map(rows))
+    ranks = cut(placed(values, "speedup", ["model_label"]))
+    pieces = ranks.select("model_label", "speedup", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1, F.lit(PIECE).cast("bigint"))).alias("at"), "before", "count")
+    pieces = pieces.select("model_label", "speedup", "n", (F.col("before") + F.col("at") + 1).alias("first"), F.least(F.col("count") - F.col("at"), F.lit(PIECE)).alias("count"))
+
+    def weigh(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.iloc[at : at + 1000]
+                out = tails.normal_scores(part["first"].to_numpy(), part["count"].to_numpy(), part["n"].to_numpy())
+                yield pd.DataFrame({"model_label": part["model_label"], "mx": out[0] * part["speedup"], "mm": out[1]}).groupby("model_label", dropna=False, as_index=False).sum()
+
+    sums = pieces.mapInPandas(weigh, "model_label string, mx double, mm double").groupBy("model_label").agg(F.sum("mx").alias("mx"), F.sum("mm").alias("mm"))
+    ends = ranks.groupBy("model_label").agg(F.max("n").alias("n"), *[d.at_place("speedup", F.col("n") + i if i < 0 else F.lit(i)).alias(name) for name, i in (("x1", 0), ("x2", 1), ("y2", -2), ("y1", -1))])
+    spread = values.groupBy("model_label").agg((F.var_pop("speedup") * F.count("speedup")).alias("ss"))
+    both = d.beside(d.beside(ends, sums, ["model_label"]), spread, ["model_label"])
+    tested = both.withColumn("t", tails.shapiro_of_sums("n", "mx", "mm", "ss", "x1", "x2", "y2", "y1"))
+    return tested.select("model_label", "n", F.col("t.w").alias("statistic"), F.col("t.p").alias("p_value"), (F.col("n") > FITTED).alias("beyond_range"))
 
 
 def friedman(rows: DataFrame, labels: list[str], least: int = 30) -> DataFrame:
@@ -161,7 +182,8 @@ def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:
     of fewer than five pairs or of equal pairs only are skipped.
     """
     rows = cut(pairs.select(*by, (F.log("a") - F.log("b")).alias("d")))
-    base = rows.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.max(F.abs("d")).alias("most"), F.percentile("d", F.lit(0.5)).alias("median_log_diff"))
+    base = rows.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.max(F.abs("d")).alias("most"))
+    base = d.beside(base, d.quantiles(rows, "d", by, {"median_log_diff": 0.5}), by)
     signed = rows.where("d <> 0").withColumns({"abs": F.abs("d"), "up": (F.col("d") > 0).cast("int")})
     ranks = average_ranks(signed, "abs", by)
     tie = ranks.groupBy(*by).agg(F.sum(F.pow(F.col("count").cast("double"), F.lit(3)) - F.col("count")).alias("ties"))

@@ -222,10 +222,11 @@ def append_new(stream: DataFrame, root: str, key: str = "dataset_id", existing:
     read again; ``existing`` are keys from before the stream, read in each batch. A batch that is run
     again replaces what it wrote.
     """
-    fresh = stream.dropDuplicates([key])
-    if existing is not None:
-        fresh = fresh.join(existing.select(key).distinct(), key, "left_anti").select(*stream.columns)
-    writer = fresh.writeStream.foreachBatch(by_batch(root, lambda batch: {"rows": batch})).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+
+    def parts(batch: DataFrame) -> dict[str, DataFrame]:
+        return {"rows": batch if existing is None else batch.join(existing.select(key), key, "left_anti").select(*batch.columns)}
+
+    writer = stream.dropDuplicates([key]).writeStream.foreachBatch(by_batch(root, parts)).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
     return start_with_timers(writer, stream.sparkSession)
 
 

@@ -90,9 +90,34 @@ def test_wilson_and_holm(spark):
 
 
 def test_describe_of_few_values(spark):
-    rows = spark.createDataFrame([("a", 2.0), ("b", 1.0), ("b", 3.0)], "g string, x double").groupBy("g").agg(*describe.describe(F.col("x"))).orderBy("g").collect()
-    assert rows[0]["std"] == 0.0 and rows[0]["q1"] == rows[0]["max"] == 2.0 and rows[1]["median"] == 2.0 and rows[1]["q1"] == 1.5
-    assert spark.createDataFrame([], "x double").agg(*describe.describe(F.col("x"))).first()["n"] == 0
+    rows = spark.createDataFrame([("a", 2.0, 0), ("b", 1.0, 0), ("b", 3.0, 0), ("c", 9.0, None)], "g string, x double, final_winning_attempt_n int")
+    got = {r["g"]: r for r in describe.measure_summary(rows, {"m": F.col("x")}, ["g"]).collect()}
+    assert got["a"]["std"] == 0.0 and got["a"]["q1"] == got["a"]["max"] == 2.0 and got["b"]["median"] == 2.0 and got["b"]["q1"] == 1.5 and got["b"]["iqr"] == 1.0 and "c" not in got
+    assert describe.measure_summary(rows.limit(0), {"m": F.col("x")}, ["g"]).count() == 0
+
+
+def test_quantiles_of_groups_of_any_size(spark):
+    """A group of a third of all rows, few values that repeat often, null and tiny groups; no range holds a large group."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    data = {"big": r.normal(size=20_000), "ties": np.round(r.normal(size=9000)), None: r.normal(size=501), "one": np.array([3.0]), "two": np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs] + [("one", None), ("none", None)], "g string, v double").repartition(5)
+    shares = {"lo": 0.0, "q": 0.25, "m": 0.5, "p": 0.99, "hi": 1.0}
+    got = {x["g"]: x for x in describe.quantiles(df, "v", ["g"], shares).collect()}
+    assert got.keys() == data.keys()
+    for g, vs in data.items():
+        for name, share in shares.items():
+            assert math.isclose(got[g][name], np.quantile(vs, share), rel_tol=1e-12, abs_tol=1e-12)
+    whole = describe.quantiles(df, "v", [], {"m": 0.5}).first()["m"]
+    assert math.isclose(whole, np.median(np.concatenate(list(data.values()))))
+    dealt = describe.placed(df, "v", ["g"])
+    assert {x["g"]: (x["n"], x["last"]) for x in dealt.groupBy("g").agg(F.max("n").alias("n"), F.max(F.col("before") + F.col("count")).alias("last")).collect()} == {g: (len(v), len(v)) for g, v in data.items()}
+    flagged = describe.outliers(df, ["g"], "v").where("is_outlier").groupBy("g").count().collect()
+    for x in flagged:
+        vs = data[x["g"]]
+        q1, q3 = np.quantile(vs, [0.25, 0.75])
+        assert x["count"] == ((vs < q1 - 1.5 * (q3 - q1)) | (vs > q3 + 1.5 * (q3 - q1))).sum()
 
 
 def _labels(spark, table):
@@ -144,9 +169,21 @@ def test_bootstrap_median_takes_all_values(spark):
     assert 0.85 < (got["a"]["hi"] - got["a"]["lo"]) / (want[1] - want[0]) < 1.15
 
 
-def test_shapiro_names_the_values_used(spark):
-    rows = _labels(spark, [(1.0 + i % 7, None, None) for i in range(12)])
-    assert [(x["n"], x["n_used"]) for x in hypothesis.shapiro(rows, most=5).collect()] == [(12, 5)]
+def test_shapiro_takes_all_values(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    data = {"three": [1.0, 2.0, 9.0], "four": [1.0, 2.0, 2.5, 9.0], "five": [3.0, 1.0, 2.0, 2.0, 8.0], "six": [1.0, 2.0, 4.0, 4.0, 5.0, 40.0], "ten": [r.gauss(5, 1) for _ in range(10)], "ties": [float(r.randint(1, 9)) for _ in range(700)], "many": [r.gauss(50, 3) for _ in range(6000)], "two": [1.0, 2.0], "same": [2.0] * 30}
+    rows = [(i, k, f"ex{i}", 0, v) for k, vs in data.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "seq int, model_label string, example_id string, final_winning_attempt_n int, speedup_vs_inductor double")
+    for piece in (1 << 20, 7):
+        monkeypatch.setattr(hypothesis, "PIECE", piece)
+        got = {x["model_label"]: x for x in hypothesis.shapiro(df).collect()}
+        for k, vs in data.items():
+            w, p = tails.shapiro_wilk(vs)
+            x = got[k]
+            assert (x["n"], x["beyond_range"]) == (len(vs), len(vs) > 5000)
+            assert (x["statistic"], x["p_value"]) == (None, None) if w is None else math.isclose(x["statistic"], w, rel_tol=1e-9) and math.isclose(x["p_value"], p, rel_tol=1e-5, abs_tol=1e-12), k
 
 
 def test_average_ranks_across_ranges(spark):
