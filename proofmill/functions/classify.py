@@ -70,7 +70,7 @@ def _matches(pattern: str):
     return lambda text: text.rlike(pattern)
 
 
-# Each symptom's alternatives; words of one alternative must all occur, "^" asks for the start, "~" for a pattern.
+# Each symptom's alternatives; the conditions of one alternative must all hold.
 SYMPTOM_RULES = [
     ("timeout", [[_has("timed out")]]),
     ("cuda_illegal_memory_access", [[_has("illegal memory access")]]),
@@ -110,17 +110,27 @@ def strip_fences(text: Column) -> Column:
     return F.when(bare.startswith("```"), F.when(body.endswith("```"), F.regexp_replace(F.regexp_replace(body, r"```$", ""), r"\s+$", "")).otherwise(body)).otherwise(bare)
 
 
+# What an answer to the generator prompt holds, a Python block or an object of one field, ``error``.
 FENCE = r"(?is)```(?:python|py)\s*\n(.*?)```"
 ERROR_JSON = r"""(?s)\{\s*"error"\s*:\s*"[^"]*"\s*\}"""
 
 
 def parse_response(text: Column) -> Column:
-    """``struct(status, code, detail)`` of a model answer: code of the first fence, else an unrealizable spec, else an error."""
-    fenced, code = text.rlike(FENCE), F.regexp_replace(F.regexp_extract(text, FENCE, 1), r"^\s+|\s+$", "")
-    payload = F.regexp_extract(text, ERROR_JSON, 0)
-    status = F.when(fenced & (code != ""), "code").when(fenced, "parse_error").when(payload != "", "unrealizable").otherwise("parse_error")
-    detail = F.when(fenced & (code == ""), "empty python fence").when(~fenced & (payload != ""), F.get_json_object(payload, "$.error")).when(~fenced, "no python fence or error JSON found")
-    return F.struct(status.alias("status"), F.when(fenced & (code != ""), code).alias("code"), detail.alias("detail"))
+    """``struct(status, code, detail)`` of a model answer.
+
+    ``code``: the first block, stripped. ``unrealizable``: no block, but an error object, its text in
+    ``detail``. Else ``parse_error`` with ``empty_fence``, ``bad_error_json`` or ``nothing_found``.
+    """
+    block = F.nullif(F.regexp_extract(text, FENCE, 0), F.lit(""))
+    code = F.regexp_replace(F.regexp_extract(text, FENCE, 1), r"^\s+|\s+$", "")
+    given = F.nullif(F.regexp_extract(text, ERROR_JSON, 0), F.lit(""))
+    error = F.get_json_object(given, "$.error")
+    cases = {"code": block.isNotNull() & (code != ""), "empty_fence": block.isNotNull(), "unrealizable": error.isNotNull(), "bad_error_json": given.isNotNull()}
+    kind = F.lit("nothing_found")
+    for name, holds in reversed(cases.items()):
+        kind = F.when(holds, name).otherwise(kind)
+    found = kind.isin("code", "unrealizable")
+    return F.struct(F.when(found, kind).otherwise("parse_error").alias("status"), F.when(kind == "code", code).alias("code"), F.when(kind == "unrealizable", error).when(~found, kind).alias("detail"))
 
 
 def structured_response(text: Column, schema: str, required: list[str]) -> Column:
@@ -151,10 +161,16 @@ def last_usage(log: Column) -> Column:
 
 
 def preflight_verdict(passed: Column, error: Column, max_abs: Column, max_rel: Column, pct: Column, eager_ms: Column, inductor_ms: Column) -> Column:
-    """``struct(accept, reason)`` of a preflight answer; null statistics mean that there are none."""
-    stats = F.format_string("eager-vs-Inductor disagreement: max_abs=%.3e max_rel=%.3e pct_exceeding=%.2f", max_abs, max_rel, pct)
-    reason = F.when(error.isNotNull(), F.concat(F.lit("harness error: "), error)).when(~passed & max_abs.isNotNull(), stats).when(~passed, "preflight failed without diagnostic stats").when(eager_ms.isNull() | inductor_ms.isNull(), "preflight passed but timings missing — server bug").otherwise("")
-    return F.struct((reason == "").alias("accept"), reason.alias("reason"))
+    """``struct(accept, reason)`` of a preflight answer; null statistics mean that there are none.
+
+    Reasons, of which the first counts: ``harness:<error>``, ``apart:<max_abs>/<max_rel>/<percent>``,
+    ``failed`` (no statistics), ``no_timings``; null for accepted ones.
+    """
+    apart = F.format_string("apart:%.3e/%.3e/%.2f", max_abs, max_rel, pct)
+    failed = F.when(~passed, F.when(max_abs.isNotNull(), apart).otherwise("failed"))
+    untimed = F.when(F.least(eager_ms.isNotNull(), inductor_ms.isNotNull()) == F.lit(False), "no_timings")
+    reason = F.coalesce(F.concat(F.lit("harness:"), error), failed, untimed)
+    return F.struct(reason.isNull().alias("accept"), reason.alias("reason"))
 
 
 def policy_of_inputs(category: Column, dtypes: Column) -> Column:

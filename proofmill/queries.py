@@ -135,12 +135,16 @@ def c1_train_guard(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT seq, CASE p_size % 4 WHEN 3 THEN 'forbidden op: torch.rand' WHEN 2 THEN 'op count mismatch: AST has 1 BASE_OPS calls; spec.form requires 2' ELSE 'op count mismatch: AST has 1 BASE_OPS calls; spec.form requires 2' END AS reason FROM code""",
+    """SELECT seq, CASE WHEN p_size % 5 = 4 THEN 'import:os@1' WHEN p_size % 5 = 0 THEN 'operator:Add@4' WHEN p_size % 4 = 3 THEN 'call:torch.rand@4' WHEN p_size % 5 = 3 THEN 'inputs:1/2@3' WHEN p_size % 5 = 1 THEN 'count:1/2'
+    WHEN p_size % 4 <> 0 THEN 'order:' || CASE p_size % 4 WHEN 1 THEN 'torch.tanh' ELSE 'torch.exp' END || ',torch.tanh' END AS reason FROM code""",
     av.CODE_SQL,
 )
 def c2_spec_guard(spark: SparkSession, sf: str) -> DataFrame:
-    verdict = code.guard_spec("pytorch_code", F.lit("chain_2_unary"), F.array(F.lit("torch.relu"), F.lit("torch.tanh")), F.lit(1))
-    return av.code(spark, sf).select("seq", verdict["reason"].alias("reason"))
+    """Functions of one or two operations, some with an operator, another import or a wrong number of inputs."""
+    size, text = F.col("p_size"), F.col("pytorch_code")
+    text = F.when(size % 5 == 4, F.regexp_replace(text, "^import torch", "import os")).when(size % 5 == 0, F.regexp_replace(text, r"\(x\)\n$", "(x + x)\n")).when(size % 5 == 2, F.regexp_replace(text, r"return (.*)\n", "return torch.tanh($1)\n")).otherwise(text)
+    reason = code.guard_spec(text, F.lit("chain_2_unary"), F.array(F.lit("torch.relu"), F.lit("torch.tanh")), F.when((size % 5 == 3) & (size % 4 != 3), 2).otherwise(1))
+    return av.code(spark, sf).select("seq", reason.alias("reason"))
 
 
 @query("SELECT seq, CASE p_size % 4 WHEN 0 THEN 'torch.relu' WHEN 1 THEN 'torch.tanh' WHEN 2 THEN 'torch.exp' ELSE '' END AS ops FROM code", av.CODE_SQL)
@@ -156,7 +160,7 @@ def c4_strip_fences(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """SELECT seq, CASE WHEN p_size % 5 = 0 THEN 'unrealizable' WHEN p_size % 5 = 1 THEN 'parse_error' ELSE 'code' END AS status,
-    CASE WHEN p_size % 5 > 1 THEN regexp_replace(pytorch_code, '\\s+$', '') END AS code, CASE WHEN p_size % 5 = 0 THEN 'no' WHEN p_size % 5 = 1 THEN 'no python fence or error JSON found' END AS detail FROM code""",
+    CASE WHEN p_size % 5 > 1 THEN regexp_replace(pytorch_code, '\\s+$', '') END AS code, CASE WHEN p_size % 5 = 0 THEN 'no' WHEN p_size % 5 = 1 THEN 'nothing_found' END AS detail FROM code""",
     av.CODE_SQL,
 )
 def c5_parse_response(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,7 +228,7 @@ def c12_failure_symptoms(spark: SparkSession, sf: str) -> DataFrame:
     return av.eval_rows(spark, sf).select(classify.failure_symptom(text).alias("symptom")).groupBy("symptom").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, k >= 50 AS accept, CASE WHEN k < 10 THEN 'harness error: boom' WHEN k < 30 THEN 'preflight failed without diagnostic stats' WHEN k < 50 THEN 'preflight passed but timings missing — server bug' ELSE '' END AS reason FROM ev", av.EVAL_SQL)
+@query("SELECT event_id, k >= 50 AS accept, CASE WHEN k < 10 THEN 'harness:boom' WHEN k < 30 THEN 'failed' WHEN k < 50 THEN 'no_timings' END AS reason FROM ev", av.EVAL_SQL)
 def c13_preflight_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     e, k, none = av.eval_rows(spark, sf), F.col("k"), F.lit(None).cast("double")
     verdict = classify.preflight_verdict(k >= 30, F.when(k < 10, "boom"), none, none, none, F.when(k >= 50, 1.0), F.when(k >= 40, 1.0))

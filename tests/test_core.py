@@ -50,12 +50,29 @@ def test_train_guard():
 
 def test_spec_guard_and_operations():
     ops = ["torch.relu", "torch.tanh"]
-    assert code.operations(GOOD) == ops and code.spec_verdict(GOOD, "chain_2_unary", ops, 1) == (True, "", "")
+    reason = lambda text, given=ops, n=1: code.spec_reason(text, "chain_2_unary", given, n)
+    assert code.operations(GOOD) == ops and reason(GOOD) is None and code.operations("x = (") is None
     assert code.operations("import torch\ndef f(x):\n    return torch.add(torch.exp(x), x.view(-1))\n") == ["torch.exp", "torch.add"]
-    assert code.spec_verdict(GOOD, "chain_2_unary", ops[::-1], 1)[1].startswith("op order mismatch")
-    assert "takes 1 args" in code.spec_verdict(GOOD, "chain_2_unary", ops, 2)[1]
-    assert "binary op (Add)" in code.spec_verdict(GOOD.replace("torch.relu(x)", "x + x"), "chain_2_unary", ops, 1)[1]
-    assert code.spec_verdict(GOOD.replace("import torch", "import os"), "chain_2_unary", ops, 1)[1] == "forbidden import: os"
+    assert reason(GOOD, ops[::-1]) == "order:torch.relu,torch.tanh" and reason(GOOD, n=2) == "inputs:1/2@2"
+    assert reason(GOOD.replace("torch.relu(x)", "x + x")) == "operator:Add@3" and reason(GOOD.replace("relu(x)", "relu(-x)")) == "sign:USub@3"
+    assert reason(GOOD.replace("relu(x)", "relu(x, -1)")) is None
+    assert reason(GOOD.replace("import torch", "import os")) == "import:os@1" and reason(GOOD.replace("import torch", "import torch as t")) == "import:torch=t@1"
+    assert reason(GOOD.replace("import torch\n", "")) == "no_import" and reason("import torch\n") == "no_function" and reason("x = (").startswith("syntax@")
+    assert reason(GOOD + "y = 1\n") == "module:Assign@5" and reason(GOOD + GOOD[13:]) == "module:FunctionDef@5"
+    assert reason(GOOD.replace("(x):", "(x=1):")) == "signature@2" and reason(GOOD.replace("(x):", "(x, *y):")) == "signature@2"
+    for inner, want in (("torch.rand(3)", "call:torch.rand@3"), ("torch.sort(x)", "unlisted:torch.sort@3"), ("x.to(1)", "method:to@3"), ("x.foo()", "unlisted:foo@3"), ("f(x)(x)", "callee:Call@3"), ("[x for x in y]", "expression:ListComp@3")):
+        assert reason(GOOD.replace("torch.relu(x)", inner)) == want
+    assert reason(GOOD.replace("torch.relu(x)", "torch.tanh(torch.relu(x))")) == "count:3/2"
+
+
+def test_answers_and_preflight_reasons(spark):
+    texts = ["a ```py\n x\n``` ```python\ny```", "```python\n \n```", 'no: { "error" : "why" }', '{"error": "a\\q"}', "none", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", classify.parse_response(F.col("t")).alias("r")).orderBy("i").collect()
+    assert [tuple(r["r"]) for r in rows] == [("code", "x", None), ("parse_error", None, "empty_fence"), ("unrealizable", None, "why"), ("parse_error", None, "bad_error_json"), ("parse_error", None, "nothing_found"), ("parse_error", None, "nothing_found")]
+    cases = [(True, None, None, 1.0, 1.0), (True, "e", None, 1.0, 1.0), (False, None, 0.5, 1.0, 1.0), (False, None, None, None, 1.0), (True, None, None, 1.0, None)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, ok boolean, e string, m double, x double, y double")
+    got = df.select("i", classify.preflight_verdict(F.col("ok"), F.col("e"), F.col("m"), F.col("m"), F.col("m"), F.col("x"), F.col("y")).alias("v")).orderBy("i").collect()
+    assert [tuple(r["v"]) for r in got] == [(True, None), (False, "harness:e"), (False, "apart:5.000e-01/5.000e-01/0.50"), (False, "failed"), (False, "no_timings")]
 
 
 def test_canonical_hash_ignores_names_only():
