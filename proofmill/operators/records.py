@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.functions import ids
-from proofmill.tables import cut
+from proofmill.tables import cut, few
 from proofmill.vocab import OP_CATEGORY
 
 
@@ -101,13 +101,21 @@ def cap(rows: DataFrame, collected: DataFrame, limit: int, category: str = "op_c
     Categories are few and large, so rows are ranked in salted parts first; only the first ``limit``
     of a part can be among the first of the category.
     """
-    have = F.broadcast(collected.select(category, key).distinct().groupBy(category).agg(F.count("*").alias("_have")))
+    have = few(collected.select(category, key).distinct().groupBy(category).agg(F.count("*").alias("_have")))
     part = Window.partitionBy(category, "_salt").orderBy(order, key)
-    few = rows.withColumn("_salt", F.pmod(F.xxhash64(order, key), F.lit(salt))).withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= limit).drop("_salt")
-    ranked = few.withColumn("_n", F.row_number().over(Window.partitionBy(category).orderBy(order, key))).join(have, category, "left")
+    early = rows.withColumn("_salt", F.pmod(F.xxhash64(order, key), F.lit(salt))).withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= limit).drop("_salt")
+    ranked = early.withColumn("_n", F.row_number().over(Window.partitionBy(category).orderBy(order, key))).join(have, category, "left")
     return ranked.where(F.col("_n") + F.coalesce("_have", F.lit(0)) <= limit).drop("_n", "_have")
 
 
+def cap_skipped(rows: DataFrame, kept: DataFrame, category: str = "op_category") -> DataFrame:
+    """``category, n_rows, n_kept, n_skipped``: what ``cap`` left out of each category."""
+    left = rows.groupBy(category).agg(F.count("*").alias("n_rows"))
+    right = kept.groupBy(F.col(category).alias("_category")).agg(F.count("*").alias("_kept"))
+    both = left.join(right, F.col(category).eqNullSafe(F.col("_category")), "left").withColumn("n_kept", F.coalesce("_kept", F.lit(0)))
+    return both.select(category, "n_rows", "n_kept", (F.col("n_rows") - F.col("n_kept")).alias("n_skipped"))
+
+
 def index(rows: DataFrame, key: str = "dataset_id", example: str = "example_id") -> DataFrame:
     """Rows, unique keys, keys with several rows, surplus rows, examples."""
     per = rows.groupBy(key).agg(F.count("*").alias("n"))
@@ -183,7 +191,7 @@ def shuffle_places(rows: DataFrame, seed: str, key: str) -> DataFrame:
     before = F.sum("_t").over(Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    numbered = dealt.withColumn("_in", inside).join(F.broadcast(offsets), "_range")
+    numbered = dealt.withColumn("_in", inside).join(F.broadcast(offsets), "_range")  # a row for each range
     return numbered.select(*rows.columns, (F.col("_before") + F.col("_in")).alias("place"))
 
 

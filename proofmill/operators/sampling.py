@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofmill.functions import ids
+from proofmill.tables import few
 from proofmill.vocab import AXES, FORMS, OP_CATEGORY, QUOTAS, STOCK_SHAPES, form_dtypes
 
 
@@ -46,7 +47,7 @@ def draw(rows: DataFrame, table: DataFrame, on: list[str], pivot: str, order: st
     w = Window.partitionBy(*on)
     even = F.when(F.sum(weight).over(w) > 0, F.col(weight)).otherwise(1.0)
     steps = table.withColumn("_w", even).withColumn("_upto", F.sum("_w").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_total", F.sum("_w").over(w))
-    lists = F.broadcast(steps.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_upto").alias("u"), F.col("_total").alias("t"), F.col(value).alias("v")))).alias("_steps")))
+    lists = few(steps.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_upto").alias("u"), F.col("_total").alias("t"), F.col(value).alias("v")))).alias("_steps")))
     hit = F.filter("_steps", lambda s: F.col(pivot) * s["t"] <= s["u"])
     last = F.get("_steps", F.size("_steps") - 1)["v"]
     return rows.join(lists, on).withColumn(value, F.coalesce(F.get(hit, F.lit(0))["v"], last)).drop("_steps")
@@ -108,6 +109,7 @@ def sample_specs(observations: DataFrame, total: int, seed: str, allowed: list[s
     return kept, reached.select("op_category", F.col("n").alias("quota"), F.coalesce("got", F.lit(0)).alias("n"), (F.coalesce("got", F.lit(0)) < F.col("n")).alias("capped"))
 
 
+# The choices that each form's metadata has, as JSON texts.
 def _metadata(form: str, shapes: list[list[int]]) -> list[dict[str, str]]:
     """Choices of a form's metadata for given shapes, JSON-valued."""
     first = shapes[0]

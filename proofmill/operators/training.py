@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.plans.describe import beside, quantiles
+from proofmill.tables import cut, few
 
 
 def _first(attempts: str, passed: bool) -> Column:
@@ -70,20 +71,54 @@ def dpo(rows: DataFrame, val: DataFrame, validation: bool = False) -> DataFrame:
     return both.where(F.col("chosen").isNotNull() & F.col("rejected").isNotNull())
 
 
-def validation_split(rows: DataFrame, fraction: float, seed: str, stratum: str = "op_category", key: str = "dataset_id", salt: int = 64) -> DataFrame:
-    """max(1, ceil(n * fraction)) rows of each stratum (``unknown`` for null) in a seeded order.
+def _sizes(rows: DataFrame, fraction: float, stratum: str) -> DataFrame:
+    """Members that each stratum (``unknown`` for null) is to have: max(1, ceil(n * fraction))."""
+    return rows.groupBy(F.coalesce(F.col(stratum), F.lit("unknown")).alias("_stratum")).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.lit(fraction))).alias("_take"))
+
+
+def _drawn(rows: DataFrame, sizes: DataFrame, seed: str, stratum: str, key: str, salt: int) -> DataFrame:
+    """The first ``_take`` rows of each stratum in a seeded order.
 
     Strata are few and large: rows are ranked in salted parts first, of which each can hold at most
     that many of the chosen rows.
     """
-    kept = rows.withColumn("_stratum", F.coalesce(F.col(stratum), F.lit("unknown")))
-    sizes = F.broadcast(kept.groupBy("_stratum").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.lit(fraction))).alias("_take")))
     order = [F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256), F.col(key)]
     early, late = Window.partitionBy("_stratum", "_salt").orderBy(*order), Window.partitionBy("_stratum").orderBy(*order)
+    kept = rows.withColumn("_stratum", F.coalesce(F.col(stratum), F.lit("unknown")))
     some = kept.join(sizes, "_stratum").withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salt))).withColumn("_n", F.row_number().over(early)).where(F.col("_n") <= F.col("_take"))
     return some.withColumn("_n", F.row_number().over(late)).where(F.col("_n") <= F.col("_take")).drop("_n", "_take", "_salt", "_stratum")
 
 
+def validation_split(rows: DataFrame, fraction: float, seed: str, stratum: str = "op_category", key: str = "dataset_id", salt: int = 64) -> DataFrame:
+    """max(1, ceil(n * fraction)) rows of each stratum (``unknown`` for null) in a seeded order; see ``kept_split`` for one that lasts."""
+    return _drawn(rows, few(_sizes(rows, fraction, stratum)), seed, stratum, key, salt)
+
+
+def kept_split(rows: DataFrame, path: str, fraction: float, seed: str, stratum: str = "op_category", key: str = "dataset_id", extend: bool = True, salt: int = 64) -> DataFrame:
+    """the split that ``path`` holds, ``key, stratum`` of each member.
+
+    The first run draws it as ``validation_split`` does and writes it. Later runs read it and, with
+    ``extend``, add members where a stratum has grown: as many as it lacks, in the seeded order among
+    rows that are none. No member ever leaves or moves, whatever rows are given; null keys are no members.
+    """
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    known = rows.where(F.col(key).isNotNull()).dropDuplicates([key])
+    name = F.coalesce(F.col(stratum), F.lit("unknown")).alias(stratum)
+    if there and not extend:
+        return spark.read.parquet(path)
+    sizes = _sizes(known, fraction, stratum)
+    if there:
+        members = spark.read.parquet(path)
+        have = members.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_have"))
+        sizes = sizes.join(have, F.col("_stratum") == F.col("_s"), "left").select("_stratum", (F.col("_take") - F.coalesce("_have", F.lit(0))).alias("_take")).where("_take > 0")
+        known = known.join(members.select(key), key, "left_anti")
+    more = cut(_drawn(known, few(sizes), seed, stratum, key, salt).select(key, name))
+    more.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def failure_mix(pairs: DataFrame, kind: str = "kind") -> DataFrame:
     """``kind, n, share`` of the rejected side."""
     counts = pairs.groupBy(kind).agg(F.count("*").alias("n"))
@@ -92,6 +127,6 @@ def failure_mix(pairs: DataFrame, kind: str = "kind") -> DataFrame:
 
 def length_audit(lengths: DataFrame, limits: DataFrame, side: str = "side", n: str = "n_tokens") -> DataFrame:
     """F8: ``side, rows, max, p99, over`` of token counts against a limit for each side; sides without a limit are left out."""
-    known = lengths.join(F.broadcast(limits), side)  # a row for each side
+    known = lengths.join(few(limits), side)
     sums = known.groupBy(side).agg(F.count("*").alias("n_rows"), F.max(n).alias("max_tokens"), F.count_if(F.col(n) > F.col("token_limit")).alias("n_over"))
     return beside(sums, quantiles(known, n, [side], {"p99_tokens": 0.99}), [side]).select(side, "n_rows", "max_tokens", "p99_tokens", "n_over")

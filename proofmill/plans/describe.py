@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmill.tables import cut
+from proofmill.tables import cut, few
 from proofmill.vocab import PASSING
 
 Z = 1.96
@@ -106,15 +106,6 @@ def cross_tab(rows: DataFrame, dims: list[str]) -> DataFrame:
     return cube.select(*[F.when(F.col(f"_{d}") == 1, "*").otherwise(F.col(d)).alias(d) for d in dims], "n")
 
 
-#: Groups whose results are broadcast at most; more are shuffled.
-SMALL = 100_000
-
-
-def _few(df: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """``left`` with the columns of ``right``, which has a row for each group at most; null groups match."""
     named = right.withColumnsRenamed({c: f"_k_{c}" for c in by})
@@ -126,7 +117,7 @@ def beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
 
 def outliers(rows: DataFrame, by: list[str], x: str) -> DataFrame:
     """``rows`` with ``is_outlier``: outside 1.5 interquartile ranges of the group."""
-    q = _few(cut(quantiles(rows, x, by, {"_q1": 0.25, "_q3": 0.75})))
+    q = few(quantiles(rows, x, by, {"_q1": 0.25, "_q3": 0.75}))
     reach = 1.5 * (F.col("_q3") - F.col("_q1"))
     return beside(rows, q, by).withColumn("is_outlier", (F.col(x) < F.col("_q1") - reach) | (F.col(x) > F.col("_q3") + reach)).drop("_q1", "_q3")
 

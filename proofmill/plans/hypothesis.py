@@ -12,7 +12,7 @@ from proofmill.functions import tails
 from proofmill.operators.records import last_per_key
 from proofmill.plans import describe as d
 from proofmill.plans.describe import average_ranks, passed, placed, wilson_difference
-from proofmill.tables import cut
+from proofmill.tables import cut, few
 from proofmill.vocab import TIER
 
 
@@ -35,13 +35,32 @@ def matrix(values: DataFrame, labels: list[str], value: str) -> DataFrame:
     return wide
 
 
+def pass_patterns(rows: DataFrame, labels: list[str]) -> DataFrame:
+    """H1: ``passed, present, n``: how many examples passed under which labels and were there under which, a bit for each label.
+
+    One shuffle by example takes the last row of each label; all tests of pass or fail then come from
+    these few counts. At most 62 labels.
+    """
+    if len(labels) > 62:
+        raise ValueError("at most 62 labels")
+    own = [F.col("model_label") == x for x in labels]
+    last = rows.groupBy("example_id").agg(*[F.max_by(F.when(c, passed()), F.when(c, F.col("seq"))).alias(f"_{i}") for i, c in enumerate(own)])
+    bits = lambda holds: sum((F.when(holds(F.col(f"_{i}")), F.lit(1 << i)).otherwise(0).cast("bigint") for i in range(len(labels))), F.lit(0).cast("bigint"))
+    marked = last.select(bits(lambda c: c == 1).alias("passed"), bits(lambda c: c.isNotNull()).alias("present"))
+    return marked.groupBy("passed", "present").agg(F.count("*").alias("n"))
+
+
 def cochran_q(rows: DataFrame, labels: list[str]) -> DataFrame:
     """H3: ``n, k, statistic, df, p_value, epsilon_squared, skipped_reason`` over examples that all labels have."""
+    return cochran_of(pass_patterns(rows, labels), labels)
+
+
+def cochran_of(patterns: DataFrame, labels: list[str]) -> DataFrame:
+    """H3 from the patterns of these labels."""
     k = len(labels)
-    wide = matrix(pass_map(rows), labels, "passed")
-    columns = [F.col(f"`{x}`") for x in labels]
-    total = sum(columns[1:], columns[0])
-    sums = wide.agg(F.count("*").alias("n"), F.coalesce(F.sum(total * total), F.lit(0)).alias("l2"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"g{i}") for i, c in enumerate(columns)])
+    whole = patterns.where(F.col("present") == (1 << k) - 1)
+    total, n = F.bit_count("passed").cast("bigint"), F.col("n")
+    sums = whole.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(total * total * n), F.lit(0)).alias("l2"), *[F.coalesce(F.sum(F.getbit("passed", F.lit(i)) * n), F.lit(0)).alias(f"g{i}") for i in range(k)])
     g = [F.col(f"g{i}") for i in range(k)]
     grand, squares = sum(g[1:], g[0]), sum((x * x for x in g[1:]), g[0] * g[0])
     equal = F.greatest(*g) == F.least(*g)
@@ -60,19 +79,32 @@ def default_contrasts(spark: SparkSession, labels: list[str]) -> DataFrame:
 
 
 def _pairs(values: DataFrame, contrasts: DataFrame, value: str) -> DataFrame:
-    """Values of both labels of each contrast, by example. Contrasts are few and broadcast; the join is on the example."""
-    few = F.broadcast(contrasts)
-    side = lambda s: values.join(few, values["model_label"] == few[f"label_{s}"]).select("name", "label_a", "label_b", "example_id", F.col(value).alias(s))
+    """Values of both labels of each contrast, by example. Contrasts are a written list; the join is on the example."""
+    listed = few(contrasts)
+    side = lambda s: values.join(listed, values["model_label"] == listed[f"label_{s}"]).select("name", "label_a", "label_b", "example_id", F.col(value).alias(s))
     return side("a").join(side("b"), ["name", "label_a", "label_b", "example_id"])
 
 
 def mcnemar(values: DataFrame, contrasts: DataFrame) -> DataFrame:
-    """H4: a row for each contrast with common examples: the four counts, rates, statistic, p, effect and interval.
+    """H4: a row for each contrast with common examples, from ``pass_map``; see ``_mcnemar``."""
+    count = lambda x, y: F.count_if((F.col("a") == x) & (F.col("b") == y))
+    return _mcnemar(_pairs(values, contrasts, "passed").groupBy("name", "label_a", "label_b").agg(F.count("*").alias("n_common"), count(1, 1).alias("n11"), count(1, 0).alias("n10"), count(0, 1).alias("n01"), count(0, 0).alias("n00")))
+
+
+def mcnemar_of(patterns: DataFrame, labels: list[str], contrasts: DataFrame) -> DataFrame:
+    """H4 from the patterns of ``labels``; contrasts of other labels have no row. Patterns meet the few contrasts."""
+    place = F.create_map(*[x for i, label in enumerate(labels) for x in (F.lit(label), F.lit(i))])
+    few_ = few(contrasts.select("name", "label_a", "label_b", place[F.col("label_a")].alias("i"), place[F.col("label_b")].alias("j")).where("i IS NOT NULL AND j IS NOT NULL"))
+    both = patterns.join(few_, (F.getbit("present", F.col("i")) == 1) & (F.getbit("present", F.col("j")) == 1))
+    sums = lambda x, y: F.coalesce(F.sum(F.when((F.getbit("passed", F.col("i")) == x) & (F.getbit("passed", F.col("j")) == y), F.col("n"))), F.lit(0))
+    return _mcnemar(both.groupBy("name", "label_a", "label_b").agg(F.sum("n").alias("n_common"), sums(1, 1).alias("n11"), sums(1, 0).alias("n10"), sums(0, 1).alias("n01"), sums(0, 0).alias("n00")))
+
+
+def _mcnemar(sums: DataFrame) -> DataFrame:
+    """H4: the four counts, rates, statistic, p, effect and interval.
 
     Fewer than 25 discordant examples take the exact test, others chi-squared with correction.
     """
-    count = lambda x, y: F.count_if((F.col("a") == x) & (F.col("b") == y))
-    sums = _pairs(values, contrasts, "passed").groupBy("name", "label_a", "label_b").agg(F.count("*").alias("n_common"), count(1, 1).alias("n11"), count(1, 0).alias("n10"), count(0, 1).alias("n01"), count(0, 0).alias("n00"))
     b, c, n = F.col("n10"), F.col("n01"), F.col("n_common")
     k_a, k_b = F.col("n11") + b, F.col("n11") + c
     exact = b + c < 25
@@ -99,12 +131,17 @@ def holm(rows: DataFrame, p: str = "p_value", order: str = "name", alpha: float
 def planned_contrasts(rows: DataFrame, contrasts: DataFrame, alpha: float = 0.05) -> DataFrame:
     """McNemar of each contrast with Holm; contrasts of absent labels are ``missing``.
 
-    ``headline``: p below alpha and at least three points more for label_b.
+    ``headline``: p below alpha and at least three points more for label_b. Contrasts are few: their
+    labels are taken from them, in order.
     """
-    values = pass_map(rows)
-    labels = values.select("model_label").distinct()
-    there = contrasts.join(labels.select(F.col("model_label").alias("label_a")), "label_a", "left_semi").join(labels.select(F.col("model_label").alias("label_b")), "label_b", "left_semi")
-    found = holm(mcnemar(values, there), alpha=alpha).withColumn("headline", (F.col("p_value") < alpha) & (F.col("delta_p") <= -0.03))
+    named = contrasts.select(F.explode(F.array("label_a", "label_b")).alias("label")).distinct().orderBy("label")
+    labels = [r["label"] for r in named.collect()]
+    return contrasts_of(pass_patterns(rows, labels), labels, contrasts, alpha)
+
+
+def contrasts_of(patterns: DataFrame, labels: list[str], contrasts: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """H5 from the patterns of ``labels``."""
+    found = holm(mcnemar_of(patterns, labels, contrasts), alpha=alpha).withColumn("headline", (F.col("p_value") < alpha) & (F.col("delta_p") <= -0.03))
     return contrasts.join(found.drop("label_a", "label_b"), "name", "left").withColumn("missing", F.col("n_common").isNull())
 
 
@@ -113,13 +150,17 @@ FITTED, PIECE = 5000, 1 << 20
 
 
 def shapiro(rows: DataFrame) -> DataFrame:
+    """H7 of all rows' last winners, see ``shapiro_of``."""
+    return shapiro_of(cut(speedup_map(rows)))
+
+
+def shapiro_of(values: DataFrame) -> DataFrame:
     """H7: ``model_label, n, statistic, p_value, beyond_range`` of all winners' speedups; null below three or if all are equal.
 
     The statistic is a linear form of the ordered values over their spread. Its weights follow from
     rank and size alone, so it is summed over ranges of ranks; only the two values at either end have
     weights of their own. ``beyond_range``: there are more values than the p-value was fitted for.
     """
-    values = cut(speedup_map(rows))
     ranks = cut(placed(values, "speedup", ["model_label"]))
     pieces = ranks.select("model_label", "speedup", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1, F.lit(PIECE).cast("bigint"))).alias("at"), "before", "count")
     pieces = pieces.select("model_label", "speedup", "n", (F.col("before") + F.col("at") + 1).alias("first"), F.least(F.col("count") - F.col("at"), F.lit(PIECE)).alias("count"))
@@ -140,9 +181,14 @@ def shapiro(rows: DataFrame) -> DataFrame:
 
 
 def friedman(rows: DataFrame, labels: list[str], least: int = 30) -> DataFrame:
+    """H8 of all rows' last winners, see ``friedman_of``."""
+    return friedman_of(speedup_map(rows), labels, least)
+
+
+def friedman_of(values: DataFrame, labels: list[str], least: int = 30) -> DataFrame:
     """H8: ``n, k, statistic, df, p_value, epsilon_squared, skipped_reason`` over examples that all labels won."""
     k = len(labels)
-    wide = matrix(speedup_map(rows), labels, "speedup")
+    wide = matrix(values, labels, "speedup")
     long = wide.unpivot(["example_id"], [F.col(f"`{x}`") for x in labels], "model_label", "x")
     ties = Window.partitionBy("example_id", "x")
     ranked = long.withColumn("r", F.rank().over(Window.partitionBy("example_id").orderBy("x")) + (F.count("*").over(ties) - 1) / 2).withColumn("t", F.count("*").over(ties))
@@ -158,16 +204,21 @@ def friedman(rows: DataFrame, labels: list[str], least: int = 30) -> DataFrame:
 
 
 def dunn(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """H9 of all rows' last winners, see ``dunn_of``."""
+    return dunn_of(cut(speedup_map(rows)), alpha)
+
+
+def dunn_of(values: DataFrame, alpha: float = 0.05) -> DataFrame:
     """H9: a row for each pair of labels: ``label_a, label_b, z, p_value, p_holm``, from pooled ranks of all winners.
 
     No rows if a label has fewer than two winners.
     """
-    values = cut(speedup_map(rows))
     ranks = average_ranks(values, "speedup", [])
     totals = ranks.agg(F.sum("count").alias("m"), F.sum(F.pow(F.col("count").cast("double"), F.lit(3)) - F.col("count")).alias("ties"))
     per = values.groupBy("model_label", "speedup").agg(F.count("*").alias("c")).join(ranks, "speedup").groupBy("model_label").agg((F.sum(F.col("rank") * F.col("c")) / F.sum("c")).alias("mean"), F.sum("c").alias("n"))
+    per = few(per)
     enough = per.agg(F.min("n").alias("fewest"))
-    side = lambda s: F.broadcast(per.select(F.col("model_label").alias(f"label_{s}"), F.col("mean").alias(f"m{s}"), F.col("n").alias(f"n{s}")))
+    side = lambda s: per.select(F.col("model_label").alias(f"label_{s}"), F.col("mean").alias(f"m{s}"), F.col("n").alias(f"n{s}"))
     pairs = side("a").join(side("b"), F.col("label_a") < F.col("label_b")).join(F.broadcast(totals)).join(F.broadcast(enough)).where("fewest >= 2")
     m = F.col("m")
     spread = F.sqrt((m * (m + 1) / 12 - F.col("ties") / (12 * (m - 1))) * (1 / F.col("na") + 1 / F.col("nb")))
@@ -234,13 +285,17 @@ def mde_table(rows: DataFrame, baselines: list[float] | None = None, alpha: floa
 
 
 def compare(rows: DataFrame, labels: list[str]) -> dict[str, DataFrame]:
-    """All report tables of several labels over one written copy of the rows."""
+    """All report tables of several labels.
+
+    The last rows, the patterns of passes and the winners' speedups are each made once and written;
+    all tests take them from there.
+    """
     spark = rows.sparkSession
     rows = cut(rows)
-    last = cut(last_per_key(rows, ["model_label", "example_id"]))
+    last, patterns, values = cut(last_per_key(rows, ["model_label", "example_id"])), cut(pass_patterns(rows, labels)), cut(speedup_map(rows))
     contrasts = default_contrasts(spark, labels)
     speed = {"vs_inductor": F.col("speedup_vs_inductor"), "log_vs_inductor": F.log("speedup_vs_inductor")}
     return {
         "outcomes": d.outcome_distribution(last), "pass_rates": d.pass_rates(last), "speedups": d.measure_summary(last, speed, ["model_label"]), "headline": d.headline(last), "conditional": d.conditional(last),
-        "cochran": cochran_q(rows, labels), "contrasts": planned_contrasts(rows, contrasts), "shapiro": shapiro(rows), "friedman": friedman(rows, labels), "dunn": dunn(rows), "wilcoxon": wilcoxon_contrasts(rows, contrasts), "mde": mde_table(last),
+        "cochran": cochran_of(patterns, labels), "contrasts": contrasts_of(patterns, labels, contrasts), "shapiro": shapiro_of(values), "friedman": friedman_of(values, labels), "dunn": dunn_of(values), "wilcoxon": wilcoxon(_pairs(values, contrasts, "speedup"), ["name", "label_a", "label_b"]), "mde": mde_table(last),
     }

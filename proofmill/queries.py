@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from proofmill.operators import constraints, records, sampling, training
 from proofmill.plans import describe as d
 from proofmill.plans import hypothesis as h
 from proofmill.streaming import feeds
-from proofmill.tables import table
+from proofmill.tables import cut, shared_dir, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -110,6 +110,17 @@ def i3_skeleton_spec_ids(spark: SparkSession, sf: str) -> DataFrame:
     return av.observations(spark, sf).select("seq", ids.skeleton_spec_id(F.col("op_category"), [F.col("shape_rank"), F.col("broadcast_pattern")], shapes, dtypes).alias("spec_id"))
 
 
+@query(
+    f"""SELECT seq, {_UUID5} AS spec_id FROM (SELECT p_partkey AS seq, sha1(unhex('00000000000000000000000000000eaa') || encode('{{"form": "' || p_type || '", "form_metadata": {{"keepdim": ' || CASE p_size % 2 WHEN 0 THEN 'false' ELSE 'true' END || ', "reduce_dim": -' || CAST(1 + p_size % 3 AS VARCHAR)
+    || '}}, "input_shapes": [[' || CAST(p_size AS VARCHAR) || ', 8], [4]], "ops": ["torch.relu", "torch.' || lower(p_type) || '"], "rng_seed": ' || CAST(p_partkey AS VARCHAR) || '}}')) AS h FROM part)"""
+)
+def i4_eval_spec_ids(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size")
+    metadata = F.to_json(F.struct((-(1 + size % 3)).alias("reduce_dim"), (size % 2 == 1).alias("keepdim")))
+    fields = {"ops": F.array(F.lit("torch.relu"), F.concat(F.lit("torch."), F.lower("p_type"))), "form": F.col("p_type"), "form_metadata": metadata, "input_shapes": F.array(F.array(size, F.lit(8)), F.array(F.lit(4))), "rng_seed": F.col("p_partkey")}
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("seq"), ids.eval_spec_id(fields).alias("spec_id"))
+
+
 @query(
     "SELECT seq, CAST((CAST(('0x' || substr(u,1,8))::UBIGINT AS HUGEINT) * 8 + ('0x' || substr(u,9,8))::UBIGINT * 4 + ('0x' || substr(u,17,8))::UBIGINT * 2 + ('0x' || substr(u,25,8))::UBIGINT) % 2147483647 AS BIGINT) AS rng_seed FROM (SELECT seq, replace("
     + _UUID5
@@ -316,6 +327,16 @@ def j10_category_cap(spark: SparkSession, sf: str) -> DataFrame:
     return records.cap(o.where("o_orderkey % 10 > 0"), o.where("o_orderkey % 10 = 0"), 400).select("op_category", "example_id")
 
 
+@query(
+    """SELECT o_orderpriority AS op_category, count(*) FILTER (o_orderkey % 10 > 0) AS n_rows, greatest(0, least(count(*) FILTER (o_orderkey % 10 > 0), 400 - count(*) FILTER (o_orderkey % 10 = 0))) AS n_kept,
+    count(*) FILTER (o_orderkey % 10 > 0) - greatest(0, least(count(*) FILTER (o_orderkey % 10 > 0), 400 - count(*) FILTER (o_orderkey % 10 = 0))) AS n_skipped FROM orders GROUP BY 1"""
+)
+def j10_cap_skipped(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("op_category"), F.col("o_orderkey").cast("string").alias("example_id"), F.col("o_orderdate").alias("seq"), "o_orderkey")
+    rows = o.where("o_orderkey % 10 > 0")
+    return records.cap_skipped(rows, records.cap(rows, o.where("o_orderkey % 10 = 0"), 400))
+
+
 @query("SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_unique, count(*) FILTER (n > 1) AS n_duplicated, CAST(sum(n - 1) AS BIGINT) AS n_surplus, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS n_examples FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)")
 def j11_dataset_index(spark: SparkSession, sf: str) -> DataFrame:
     return records.index(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey")
@@ -447,22 +468,25 @@ def e4_shapes_and_dtypes(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("p_partkey", F.array_join(shape.cast("array<string>"), ",").alias("shape"), F.array_join(dtypes, ",").alias("dtypes"))
 
 
-@query(None)
+# Specs of each category for 1,000 in all.
+_E5 = "(VALUES ('matmul', 120), ('fused_attention', 100), ('normalization', 100), ('reduction', 100), ('activation', 100), ('elementwise_chain', 100), ('embedding', 80), ('loss', 80), ('convolution', 80), ('quantization', 80), ('other', 60)) AS t(op_category, quota)"
+
+
+@query(f"SELECT op_category, CAST(quota AS BIGINT) AS quota, CAST(quota AS BIGINT) AS n, false AS capped, CAST(quota AS BIGINT) AS n_ids, CASE op_category WHEN 'matmul' THEN (SELECT count(*) FROM part WHERE p_type = 'SMALL') WHEN 'loss' THEN (SELECT count(*) FROM part WHERE p_type = 'LARGE') WHEN 'reduction' THEN (SELECT count(*) FROM part WHERE p_type NOT IN ('SMALL', 'LARGE')) ELSE 0 END AS n_seen FROM {_E5}")
 def e5_sampled_specs(spark: SparkSession, sf: str) -> DataFrame:
+    """Specs to quota: as many different ids as the quota asks for in each category, beside the observations they were drawn from."""
     kind = F.when(F.col("op_category") == "SMALL", "matmul").when(F.col("op_category") == "LARGE", "loss").otherwise("reduction")
     rest = {a: F.lit(v[0]) for a, v in vocab.AXES.items() if a not in ("shape_rank", "broadcast_pattern")}
     seen = av.observations(spark, sf).withColumns({"op_category": kind, **rest})
     specs, report = sampling.sample_specs(seen, 1000, "7")
-    return report.join(specs.groupBy("op_category").agg(F.countDistinct("spec_id").alias("n_ids")), "op_category", "left")
-
+    made = specs.groupBy("op_category").agg(F.countDistinct("spec_id").alias("n_ids"))
+    out = report.join(made, "op_category", "left").join(seen.groupBy("op_category").agg(F.count("*").alias("n_seen")), "op_category", "left")
+    return out.select("op_category", F.col("quota").cast("bigint").alias("quota"), "n", "capped", "n_ids", F.coalesce("n_seen", F.lit(0)).alias("n_seen"))
 
-def _cells(form: str) -> int:
-    """Cells of a form: shapes and their metadata, two dtype variants, the operations of each slot."""
-    _, _, pools, _, shapes = vocab.FORMS[form]
-    return sum(len(sampling._metadata(form, s)) for s in shapes) * 2 * math.prod(map(len, pools))
 
-
-_FORM_SQL = "forms AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}', {_cells(f)})" for i, f in enumerate(vocab.FORMS)) + ") AS t(ord, form, size))"
+# Cells of each form of the published grid, shapes with their metadata by two dtypes by the operations of each slot.
+_FORM_SQL = """forms AS (SELECT * FROM (VALUES (0, 'chain_2_unary', 1152), (1, 'unary_then_residual', 96), (2, 'chain_3_unary', 6144), (3, 'unary_then_reduction', 2080), (4, 'softmax_then_unary', 256), (5, 'unary_then_norm', 48),
+  (6, 'attention_qkv', 8), (7, 'fused_linear_norm_activation', 64), (8, 'gated_mlp_swiglu', 8), (9, 'chain_4_unary', 24576), (10, 'embedding_then_norm', 48)) AS t(ord, form, size))"""
 
 
 @query("SELECT form, size AS n_cells, size AS n_distinct, count(*) AS asked FROM part JOIN forms ON ord = p_size % 11 GROUP BY ALL", _FORM_SQL)
@@ -672,6 +696,25 @@ def f4_validation_split(spark: SparkSession, sf: str) -> DataFrame:
     return training.validation_split(rows, 0.05, "7").select("op_category", "dataset_id")
 
 
+_DRAW = "row_number() OVER (PARTITION BY op_category ORDER BY sha256('7' || dataset_id), dataset_id) AS r, count(*) OVER (PARTITION BY op_category) AS n"
+
+
+@query(
+    f"""SELECT op_category, dataset_id, turn FROM (SELECT op_category, dataset_id, 1 AS turn FROM early WHERE r <= greatest(1, ceil(n * 0.05::DOUBLE)) UNION ALL
+    SELECT op_category, dataset_id, 2 AS turn FROM (SELECT w.op_category, w.dataset_id, row_number() OVER (PARTITION BY w.op_category ORDER BY sha256('7' || w.dataset_id), w.dataset_id) AS k, greatest(1, ceil(t.n * 0.05::DOUBLE)) - coalesce(h.have, 0) AS more FROM won w
+      JOIN (SELECT op_category, count(*) AS n FROM won GROUP BY 1) t USING (op_category) LEFT JOIN (SELECT op_category, count(*) AS have FROM early WHERE r <= greatest(1, ceil(n * 0.05::DOUBLE)) GROUP BY 1) h USING (op_category)
+      WHERE w.dataset_id NOT IN (SELECT dataset_id FROM early WHERE r <= greatest(1, ceil(n * 0.05::DOUBLE)))) WHERE k <= more)""",
+    av.ATTEMPT_SQL,
+    f"won AS (SELECT op_category, dataset_id FROM outcome WHERE final_outcome = 'compiled_correct'), early AS (SELECT *, {_DRAW} FROM won WHERE CAST(dataset_id AS BIGINT) % 3 > 0)",
+)
+def f4_kept_split(spark: SparkSession, sf: str) -> DataFrame:
+    """A split drawn from two thirds of the rows, read again and extended with all of them: ``turn`` says when each member came."""
+    rows, path = _outcomes(spark, sf).where("final_outcome = 'compiled_correct'"), f"{shared_dir(spark)}/split-{uuid.uuid4().hex}"
+    first = cut(training.kept_split(rows.where(F.col("dataset_id").cast("bigint") % 3 > 0), path, 0.05, "7"))
+    both = training.kept_split(rows, path, 0.05, "7")
+    return both.join(first.select("dataset_id", F.lit(1).alias("t")), "dataset_id", "left").select("op_category", "dataset_id", F.coalesce("t", F.lit(2)).alias("turn"))
+
+
 @query(
     """SELECT seq, CASE WHEN p_size % 2 = 0 THEN length(pytorch_code) + 120 ELSE length(pytorch_code) + 120 + 214 END > 0 AS has_text, contains(p, 'Input dtypes: float32' || chr(10)) AS has_inputs, p_size % 2 = 1 AS has_prior FROM (SELECT *, 'Input dtypes: float32' || chr(10) AS p FROM code)""",
     av.CODE_SQL,
@@ -831,20 +874,43 @@ _COUNTS = f"""counts AS (SELECT name, count(*) AS n_common, count(*) FILTER (a.v
   FROM (VALUES {_NAMES}) t(name, la, lb) JOIN {_PASSED} a ON a.model_label = la JOIN {_PASSED} b ON b.model_label = lb AND a.example_id = b.example_id GROUP BY 1)"""
 
 
+def _tail(z: str) -> str:
+    """SQL of the two-sided tail of the normal distribution: a series of positive terms for the error function."""
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    return f"CASE WHEN {x} = 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - list_sum(list_transform(range(0, 300), lambda i: exp(-{x} * {x} + (2 * i + 1) * ln({x}) - lgamma(i + 1.5::DOUBLE))))) END"
+
+
+#: Exact binomial tail below 25 discordant examples, else chi-squared of one degree with correction.
+_EXACT = "least(1.0::DOUBLE, 2 * list_sum(list_transform(range(0, least(n10, n01) + 1), lambda i: exp(lgamma(n10 + n01 + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(n10 + n01 - i + 1.0::DOUBLE) - (n10 + n01) * ln(2.0::DOUBLE)))))"
+_TESTED = f"tested AS (SELECT *, n10 + n01 < 25 AS exact, CASE WHEN n10 + n01 < 25 THEN {_EXACT} ELSE {_tail('(abs(n10 - n01) - 1) / sqrt(n10 + n01)')} END AS p, (n10 - n01) * 1.0::DOUBLE / n_common AS delta FROM counts)"
+_HOLM = "holm AS (SELECT *, max(least(1.0, (m - r + 1) * p)) OVER (ORDER BY r) AS p_holm, 0.05::DOUBLE / (m - r + 1) AS threshold FROM (SELECT *, row_number() OVER (ORDER BY p, name) AS r, count(*) OVER () AS m FROM tested))"
+_STATISTIC = "CASE WHEN n10 + n01 < 25 THEN least(n10, n01) ELSE (abs(n10 - n01) - 1) * (abs(n10 - n01) - 1) * 1.0 / (n10 + n01) END"
+
+
 @query(
-    """SELECT name, n_common, n11, n10, n01, n00, round((n11 + n10) * 1.0 / n_common, 6) AS p_a, round((n11 + n01) * 1.0 / n_common, 6) AS p_b, n10 + n01 < 25 AS exact,
-    round(CASE WHEN n10 + n01 < 25 THEN least(n10, n01) ELSE (abs(n10 - n01) - 1) * (abs(n10 - n01) - 1) * 1.0 / (n10 + n01) END, 6) AS statistic, round(2 * (asin(sqrt((n11 + n10) * 1.0 / n_common)) - asin(sqrt((n11 + n01) * 1.0 / n_common))), 6) AS cohen_h, round((n10 - n01) * 1.0 / n_common, 6) AS delta_p FROM counts""",
+    f"""SELECT name, n_common, n11, n10, n01, n00, round((n11 + n10) * 1.0 / n_common, 6) AS p_a, round((n11 + n01) * 1.0 / n_common, 6) AS p_b, exact, round({_STATISTIC}, 6) AS statistic, round(p, 6) AS p_value,
+    round(2 * (asin(sqrt((n11 + n10) * 1.0 / n_common)) - asin(sqrt((n11 + n01) * 1.0 / n_common))), 6) AS cohen_h, round(delta, 6) AS delta_p FROM tested""",
     av.EVAL_SQL,
     _COUNTS,
+    _TESTED,
 )
 def h4_mcnemar(spark: SparkSession, sf: str) -> DataFrame:
     out = h.mcnemar(h.pass_map(av.eval_rows(spark, sf)), h.default_contrasts(spark, av.LABELS))
-    return rounded(out.select("name", "n_common", "n11", "n10", "n01", "n00", "p_a", "p_b", "exact", "statistic", "cohen_h", "delta_p"))
+    return rounded(out.select("name", "n_common", "n11", "n10", "n01", "n00", "p_a", "p_b", "exact", "statistic", "p_value", "cohen_h", "delta_p"), "p_a", "p_b", "statistic", "p_value", "cohen_h", "delta_p")
 
 
-@query(None)
+@query(
+    f"""SELECT t.name, n_common, n11, n10, n01, n00, exact, round({_STATISTIC}, 6) AS statistic, round(p, 6) AS p_value, round(p_holm, 6) AS p_holm, round(threshold, 6) AS holm_threshold, p_holm < 0.05 AS reject_holm, p < 0.05 AND delta <= -0.03 AS headline, n_common IS NULL AS missing
+    FROM (SELECT name FROM counts UNION ALL SELECT 'absent vs click') t LEFT JOIN holm ON holm.name = t.name""",
+    av.EVAL_SQL,
+    _COUNTS,
+    _TESTED,
+    _HOLM,
+)
 def h5_planned_contrasts(spark: SparkSession, sf: str) -> DataFrame:
-    return h.planned_contrasts(av.eval_rows(spark, sf), h.default_contrasts(spark, [*av.LABELS, "absent"]))
+    out = h.planned_contrasts(av.eval_rows(spark, sf), h.default_contrasts(spark, [*av.LABELS, "absent"]))
+    out = out.select("name", "n_common", "n11", "n10", "n01", "n00", "exact", "statistic", "p_value", "p_holm", "holm_threshold", "reject_holm", "headline", "missing")
+    return rounded(out, "statistic", "p_value", "p_holm", "holm_threshold")
 
 
 @query(
@@ -870,25 +936,36 @@ def h8_friedman(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT a.model_label AS label_a, b.model_label AS label_b, round(abs(a.mr - b.mr) / sqrt((m * (m + 1.0::DOUBLE) / 12 - ties / (12.0::DOUBLE * (m - 1))) * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)), 6) AS z FROM
-    (SELECT model_label, avg(r) AS mr, count(*) AS n FROM ranked GROUP BY 1) a JOIN (SELECT model_label, avg(r) AS mr, count(*) AS n FROM ranked GROUP BY 1) b ON a.model_label < b.model_label CROSS JOIN (SELECT count(*) AS m, sum(c * c - 1.0::DOUBLE) AS ties FROM ranked)""",
+    f"""SELECT label_a, label_b, round(z, 6) AS z, round(p, 6) AS p_value, round(max(least(1.0, (m - r + 1) * p)) OVER (ORDER BY r), 6) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p, label_a || '|' || label_b) AS r, count(*) OVER () AS m FROM (SELECT *, {_tail("z")} AS p FROM zs))""",
     av.EVAL_SQL,
     f"ranked AS (SELECT model_label, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY v) AS c FROM {_SPEED})",
+    """zs AS (SELECT a.model_label AS label_a, b.model_label AS label_b, abs(a.mr - b.mr) / sqrt((m * (m + 1.0::DOUBLE) / 12 - ties / (12.0::DOUBLE * (m - 1))) * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)) AS z FROM
+    (SELECT model_label, avg(r) AS mr, count(*) AS n FROM ranked GROUP BY 1) a JOIN (SELECT model_label, avg(r) AS mr, count(*) AS n FROM ranked GROUP BY 1) b ON a.model_label < b.model_label CROSS JOIN (SELECT count(*) AS m, sum(c * c - 1.0::DOUBLE) AS ties FROM ranked))""",
 )
 def h9_dunn(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(h.dunn(av.eval_rows(spark, sf)).select("label_a", "label_b", "z"))
+    return rounded(h.dunn(av.eval_rows(spark, sf)).select("label_a", "label_b", "z", "p_value", "p_holm"))
+
+
+def _wilcoxon_sql(key: str) -> str:
+    """The signed-rank test over ``diffs`` (key, d): exact up to 50 different distances without ties, else normal with the tie term."""
+    # how many subsets of the ranks 1 to n have each sum, rank by rank
+    ways = "list_reduce(list_prepend([1.0::DOUBLE] || list_transform(range(0, CAST(n * (n + 1) / 2 AS BIGINT)), lambda i: 0.0::DOUBLE), list_transform(range(1, n + 1), lambda i: [CAST(i AS DOUBLE)])), lambda a, x: list_transform(range(1, len(a) + 1), lambda j: a[j] + CASE WHEN j - x[1] >= 1 THEN a[CAST(j - x[1] AS BIGINT)] ELSE 0 END))"
+    exact = f"least(1.0::DOUBLE, 2 * list_sum(list_slice({ways}, 1, CAST(floor(w) AS BIGINT) + 1)) / pow(2.0::DOUBLE, n))"
+    normal = _tail("(w - n * (n + 1) / 4.0::DOUBLE) / sqrt((n * (n + 1.0::DOUBLE) * (2 * n + 1) - ties / 2.0::DOUBLE) / 24)")
+    return f"""SELECT {key}, n_pairs, round(w, 4) AS statistic, round(CASE WHEN n <= 50 AND ties = 0 AND n = n_pairs THEN {exact} ELSE {normal} END, 6) AS p_value, round((up - down) / (up + down), 6) AS effect_r, round(med, 6) AS median_log_diff, round(exp(med), 6) AS median_ratio FROM
+    (SELECT {key}, count(*) AS n_pairs, count(r) AS n, quantile_cont(d, 0.5) AS med, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS up, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS down, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w, sum(CASE WHEN d <> 0 THEN c * c - 1.0::DOUBLE ELSE 0 END) AS ties FROM
+    (SELECT *, count(*) OVER (PARTITION BY {key}, abs(d)) AS c, CASE WHEN d <> 0 THEN rank() OVER (PARTITION BY {key}, d <> 0 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {key}, abs(d)) - 1) / 2.0::DOUBLE END AS r FROM diffs) GROUP BY 1)"""
 
 
 @query(
-    """SELECT name, n_pairs, round(least(up, down), 4) AS statistic, round((up - down) / (up + down), 6) AS effect_r, round(med, 6) AS median_log_diff, round(exp(med), 6) AS median_ratio FROM (SELECT name, count(*) AS n_pairs, quantile_cont(d, 0.5) AS med, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS up, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS down FROM
-    (SELECT *, CASE WHEN d <> 0 THEN rank() OVER (PARTITION BY name, d <> 0 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY name, abs(d)) - 1) / 2.0::DOUBLE END AS r FROM diffs) GROUP BY 1)""",
+    _wilcoxon_sql("name"),
     av.EVAL_SQL,
     f"diffs AS (SELECT name, ln(a.v) - ln(b.v) AS d FROM (VALUES {_NAMES}) t(name, la, lb) JOIN {_SPEED} a ON a.model_label = la JOIN {_SPEED} b ON b.model_label = lb AND a.example_id = b.example_id)",
 )
 def h10_wilcoxon(spark: SparkSession, sf: str) -> DataFrame:
     out = h.wilcoxon_contrasts(av.eval_rows(spark, sf), h.default_contrasts(spark, av.LABELS))
-    out = out.select("name", "n_pairs", F.round("statistic", 4).alias("statistic"), "effect_r", "median_log_diff", "median_ratio")
-    return rounded(out, "effect_r", "median_log_diff", "median_ratio")
+    out = out.select("name", "n_pairs", F.round("statistic", 4).alias("statistic"), "p_value", "effect_r", "median_log_diff", "median_ratio")
+    return rounded(out, "p_value", "effect_r", "median_log_diff", "median_ratio")
 
 
 @query(None)
@@ -901,11 +978,12 @@ def h11_compare_report(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query(None)
+@query(_wilcoxon_sql("vec_id"), "diffs AS (SELECT vec_id, ln(abs(unnest(embedding)::DOUBLE) + 1) - ln(unnest(list_reverse(list_transform(embedding, lambda x: abs(x::DOUBLE) * 1.5::DOUBLE + 1)))) AS d FROM embeddings)")
 def h13_sample_wilcoxon(spark: SparkSession, sf: str) -> DataFrame:
-    shifted = F.transform("embedding", lambda v: F.abs(v.cast("double")) + 1)
-    rows = table(spark, sf, "embeddings").select("vec_id", shifted.alias("a"), F.reverse(shifted).alias("b"))
-    return h.wilcoxon_samples(rows, "vec_id", "a", "b")
+    sample = lambda by: F.transform("embedding", lambda v: F.abs(v.cast("double")) * by + 1)
+    rows = table(spark, sf, "embeddings").select("vec_id", sample(1.0).alias("a"), F.reverse(sample(1.5)).alias("b"))
+    out = h.wilcoxon_samples(rows, "vec_id", "a", "b").drop("skipped_reason").withColumn("statistic", F.round("statistic", 4))
+    return rounded(out, "p_value", "effect_r", "median_log_diff", "median_ratio")
 
 
 @query("SELECT p_partkey, round(2 * (asin(sqrt(p_size / 100.0::DOUBLE)) - asin(sqrt(0.25::DOUBLE))), 6) AS cohen_h FROM part")
@@ -913,10 +991,16 @@ def p1_cohens_h(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(table(spark, sf, "part").select("p_partkey", h.cohens_h(F.col("p_size") / 100.0, F.lit(0.25)).alias("cohen_h")))
 
 
-@query(None)
+_Z975 = repr(h.tails.NORMAL.inv_cdf(0.975))
+
+
+@query(
+    f"SELECT model_label, round(CASE WHEN z > 0 THEN 1 - {_tail('z')} / 2 ELSE {_tail('z')} / 2 END, 6) AS power FROM (SELECT model_label, abs(2 * (asin(sqrt(count(*) FILTER ({_WON}) * 1.0::DOUBLE / count(*))) - asin(sqrt(0.8::DOUBLE)))) * sqrt(count(*)) - {_Z975} AS z FROM last_rows GROUP BY 1)",
+    av.EVAL_SQL,
+)
 def p2_post_hoc_power(spark: SparkSession, sf: str) -> DataFrame:
     rates = d.pass_rates(_last(spark, sf)).where("tier = '__overall__'")
-    return rates.select("model_label", h.post_hoc_power(F.col("rate"), F.lit(0.8), F.col("n")).alias("power"))
+    return rounded(rates.select("model_label", h.post_hoc_power(F.col("rate"), F.lit(0.8), F.col("n")).alias("power")))
 
 
 _MDE = (h.tails.NORMAL.inv_cdf(0.975) + h.tails.NORMAL.inv_cdf(0.8)).__repr__()

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,16 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of a table that is sent to all workers at most.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` written once, and marked to be broadcast if it has few rows; a larger one is shuffled like any other."""
+    out = cut(df)
+    return F.broadcast(out) if out.count() <= FEW else out
+
+
 class Scratch(list):
     """Tables that ``cut`` has written for one job, to be deleted together once its result is written."""
 
