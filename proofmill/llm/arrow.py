@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -15,14 +16,23 @@ SIZE = 8 << 20
 HELD: dict[str, list] = {}
 
 
+def _trim() -> None:
+    """Give unused memory back to the system: that of Arrow and, where the C library can, that of all else."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int, size: int = SIZE, owner: str = "") -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows and about ``size`` bytes, so that what a worker derives of them stays small.
 
-    A row of more bytes is a slice of its own. Workers live on for other tasks, so Arrow's unused
-    memory goes back to the system at the end, and caches of other operators than ``owner`` are emptied.
+    A row of more bytes is a slice of its own. Workers live on for other tasks, so unused memory goes
+    back to the system at both ends, and caches of other operators than ``owner`` are emptied.
     """
     for cache in [c for name, caches in HELD.items() if name != owner for c in caches]:
         cache.forget()
+    _trim()
     try:
         for batch in batches:
             todo = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
@@ -34,7 +44,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int, size: int = SIZE, owner
                 else:
                     yield part
     finally:
-        pa.default_memory_pool().release_unused()
+        _trim()
 
 
 def batched(rows: int, f: Callable[[pa.RecordBatch], pa.RecordBatch], owner: str = ""):

@@ -27,8 +27,8 @@ from proofmill.llm.arrow import HELD, batched, with_fields
 
 #: A space between two other characters that are no white space: no match of the pattern holds both sides.
 SPLIT = re.compile(r"(?<!\s) (?!\s)")
-#: Entries of a generation of each of the two caches; a worker keeps two generations, some 200 MB in all, until it works for another operator.
-CACHE = 300_000
+#: Entries of a generation of the caches of chunks and of matches; a worker keeps two generations of each, some 120 MB in all, until it works for another operator.
+CACHE = (200_000, 100_000)
 OWNER = "bpe"
 #: Matches and chunks longer than this are encoded each time, so the caches stay small.
 LONGEST = 64
@@ -65,15 +65,15 @@ class _Kept(dict):
     A full generation becomes the older one, and what is asked for again moves to the new one.
     """
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, text: str) -> bytes:
         ids = self.older.get(text)
         ids = self.make(text) if ids is None else ids
         if len(text) <= LONGEST:
-            if len(self) >= CACHE:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[text] = ids
@@ -117,8 +117,8 @@ class ByteBpe:
         # the bytes of a text as Latin-1 characters, to the characters that stand for them
         self.alphabet = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
         self.model = self.tokenizer.model
-        self.chunks = _Kept(self._chunk)
-        self.matches = _Kept(self._match)
+        self.chunks = _Kept(self._chunk, CACHE[0])
+        self.matches = _Kept(self._match, CACHE[1])
         HELD.setdefault(OWNER, []).extend((self.chunks, self.matches))
 
     def _encode(self, text: str) -> bytes:

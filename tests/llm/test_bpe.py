@@ -62,7 +62,7 @@ def test_caches_turn_over_and_are_emptied_by_other_operators(monkeypatch):
 
     from proofmill.llm import arrow
 
-    monkeypatch.setattr(bpe, "CACHE", 3)
+    monkeypatch.setattr(bpe, "CACHE", (3, 3))
     own = bpe.ByteBpe(JSON, P.PATTERN)
     texts = [f"word{i % 5} and{i} more" for i in range(40)]
     want = [Tokenizer.from_file(JSON).encode(t, add_special_tokens=False).ids for t in texts]
