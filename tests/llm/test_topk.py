@@ -54,3 +54,21 @@ def test_frames_against_brute_force(spark, tmp_path):
     assert topk.search(v.limit(0), v).count() == 0
     ragged = topk.quantised(spark.createDataFrame([(0, [1.0, 1.0]), (1, [2.0]), (2, [])], "vec_id long, embedding array<double>"))
     assert sorted(map(tuple, topk.search(ragged, ragged, 1).collect())) == [(0, 1, 1, 8192), (1, 1, 0, 8192), (2, 1, 0, 0)]
+
+
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    """One id under a third of all rows: each row is a candidate, none for a query of its own id."""
+    r = np.random.default_rng(7)
+    x = r.normal(0, 0.5, (120, 6))
+    ids = [5 if i % 3 == 0 else i for i in range(120)]
+    rows = [(ids[i], [float(c) for c in x[i]]) for i in range(120)] + [(40, [0.0] * 6), (40, [0.0] * 6)]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    values = np.floor(64 * np.array([c for _, c in rows])).astype(np.int64)
+    every = np.array([i for i, _ in rows])
+    for blocks in (8192, 16):
+        got = sorted(tuple(g) for g in topk.search(v.where("vec_id = 40").limit(1), v, 10, block_rows=blocks).collect())
+        q = int(np.flatnonzero(every == 40)[0])
+        first = v.where("vec_id = 40").limit(1).first()["v"]
+        q = int(np.flatnonzero((every == 40) & (values == np.array(first)).all(1))[0])
+        scored = sorted((-int(values[i] @ values[q]), int(every[i])) for i in range(len(every)) if every[i] != 40)[:10]
+        assert got == [(40, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
