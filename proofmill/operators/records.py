@@ -13,30 +13,26 @@ from proofmill.tables import cut, few
 from proofmill.vocab import OP_CATEGORY
 
 
-def _ranked(rows: DataFrame, keys: list[str], order: list, salt: int = 16) -> tuple[DataFrame, DataFrame]:
-    """The first row of each key, and all others. Ranked within salted parts of a key first, so that a large key is not one task."""
-    hashed = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
-    part = F.pmod(F.xxhash64(*hashed), F.lit(salt))
-    early = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    late = Window.partitionBy(*keys).orderBy(*order)
-    parted = rows.withColumn("_salt", part).withColumn("_n", F.row_number().over(early))
-    final = parted.where("_n = 1").withColumn("_n", F.row_number().over(late))
-    first, rest = (df.drop("_n", "_salt") for df in (final.where("_n = 1"), parted.where("_n > 1").unionByName(final.where("_n > 1"))))
-    return first, rest
-
-
-def first_per_key(rows: DataFrame, keys: list[str], order: list, salt: int = 16) -> DataFrame:
-    """The first row of each key; see ``_ranked``."""
-    return _ranked(rows, keys, order, salt)[0]
+def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in ``order``, nulls first: an aggregation, so large keys combine before the shuffle. Null keys are keys."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
 
 
 def merge(corpora: list[DataFrame], key: str = "dataset_id", order: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """All corpora as one, the first row of a key wins, by corpus and order; the others as a report."""
+    """All corpora as one, the first row of a key wins, by corpus and order; the others as a report.
+
+    Rows of equal key, corpus and order are counted before they meet, and told again in the report.
+    """
     every = corpora[0].withColumn("src_ord", F.lit(0))
     for i, c in enumerate(corpora[1:], 1):
         every = every.unionByName(c.withColumn("src_ord", F.lit(i)))
-    first, rest = _ranked(every, [key], ["src_ord", order])
-    return first, rest.select(key, "src_ord", order)
+    place = F.struct("src_ord", order)
+    counts = every.groupBy(key, "src_ord", order).agg(F.count("*").alias("_n"))
+    firsts = counts.groupBy(F.col(key).alias("_key")).agg(F.min(place).alias("_first"))
+    left = counts.join(firsts, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_n", F.col("_n") - F.when(place == F.col("_first"), 1).otherwise(0))
+    report = left.where("_n > 0").select(key, "src_ord", order, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).drop("col")
+    return first_per_key(every, [key], ["src_ord", order]), report
 
 
 def collapse_variants(rows: DataFrame, key: str = "example_id", order: str = "seq") -> DataFrame:

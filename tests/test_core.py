@@ -335,3 +335,55 @@ def test_ranks_of_hot_and_null_keys(spark):
     kept, lost = records.merge([rows, rows], "example_id")
     assert {(r["example_id"], r["seq"], r["src_ord"]) for r in kept.collect()} == {(None, 0, 0), ("hot", 1, 0)}
     assert lost.count() == 598
+
+
+def test_patterns_give_what_matrix_and_pairs_give(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(i * 10 + j + 1000 * k, lab, f"ex{i}", "easy", "compiled_correct_slow" if r.random() < 0.6 else "runtime_fail", None, None) for i in range(120) for j, lab in enumerate("abcd") for k in range(2) if r.random() < 0.8]
+    df = spark.createDataFrame(rows, "seq int, model_label string, example_id string, tier string, final_outcome string, final_winning_attempt_n int, speedup_vs_inductor double").repartition(5)
+    labels = ["d", "a", "c"]
+    last = {}
+    for seq, lab, ex, _, outcome, *_ in sorted(rows):
+        last[lab, ex] = int(outcome != "runtime_fail")
+    got = {(x["passed"], x["present"]): x["n"] for x in hypothesis.pass_patterns(df, labels).collect()}
+    want = {}
+    for i in range(120):
+        at = [last.get((lab, f"ex{i}")) for lab in labels]
+        if f"ex{i}" in {ex for _, ex in last}:
+            key = (sum(1 << j for j, v in enumerate(at) if v), sum(1 << j for j, v in enumerate(at) if v is not None))
+            want[key] = want.get(key, 0) + 1
+    assert got == want
+    contrasts = hypothesis.default_contrasts(spark, labels)
+    both = [sorted(map(tuple, x.select("name", "n_common", "n11", "n10", "n01", "n00", "p_value").collect())) for x in (hypothesis.mcnemar(hypothesis.pass_map(df), contrasts), hypothesis.mcnemar_of(hypothesis.pass_patterns(df, labels), labels, contrasts))]
+    assert both[0] == both[1] and len(both[0]) == 2
+    wide = hypothesis.matrix(hypothesis.pass_map(df), labels, "passed").collect()
+    q = hypothesis.cochran_q(df, labels).first()
+    g = [sum(x[lab] for x in wide) for lab in labels]
+    l2 = sum(sum(x[lab] for lab in labels) ** 2 for x in wide)
+    assert q["n"] == len(wide) and math.isclose(q["statistic"], 2 * (3 * sum(x * x for x in g) - sum(g) ** 2) / (3 * sum(g) - l2))
+    with pytest.raises(ValueError, match="62"):
+        hypothesis.pass_patterns(df, [str(i) for i in range(63)])
+
+
+def test_a_kept_split_never_moves_a_member(spark, tmp_path):
+    path = str(tmp_path / "split")
+    rows = lambda n, skip=0: spark.createDataFrame([(str(i), "a" if i % 4 else None) for i in range(skip, n)] + [(None, "a")], "dataset_id string, op_category string")
+    members = lambda df: {(r["dataset_id"], r["op_category"]) for r in df.collect()}
+    first = members(training.kept_split(rows(200), path, 0.1, "s"))
+    drawn = training.validation_split(rows(200).where("dataset_id IS NOT NULL"), 0.1, "s")
+    assert first == {(r["dataset_id"], r["op_category"] or "unknown") for r in drawn.collect()} and len(first) == 20
+    assert members(training.kept_split(rows(900), path, 0.1, "s", extend=False)) == first
+    again = members(training.kept_split(rows(900).repartition(9), path, 0.1, "s"))
+    assert first < again and sorted(sum(s == k for _, s in again) for k in ("a", "unknown")) == [23, 68]
+    assert members(training.kept_split(rows(900), path, 0.1, "s")) == again  # nothing to add
+    assert members(training.kept_split(rows(100), path, 0.1, "other")) == again  # fewer rows: none leaves
+    assert len({d for d, _ in again}) == len(again)
+
+
+def test_cap_reports_what_it_left_out(spark):
+    rows = spark.createDataFrame([(str(i), i, "x" if i < 50 else None if i < 60 else "y") for i in range(70)], "example_id string, seq int, op_category string")
+    have = spark.createDataFrame([(f"h{i}", "x") for i in range(7)] + [("h0", "x")], "example_id string, op_category string")
+    kept = records.cap(rows.where("op_category IS NOT NULL"), have, 20)
+    assert {r["op_category"]: tuple(r)[1:] for r in records.cap_skipped(rows, kept).collect()} == {"x": (50, 13, 37), "y": (10, 10, 0), None: (10, 0, 10)}
