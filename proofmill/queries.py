@@ -55,20 +55,33 @@ def v4_vocabulary_violations(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("op_category").agg(F.count("*").alias("n"), has("rank").alias("n_bad_rank"), has("broadcast").alias("n_bad_broadcast"))
 
 
-@query("SELECT final_outcome, CAST(0 AS BIGINT) AS n_invalid, count(*) AS n FROM outcome GROUP BY 1", av.ATTEMPT_SQL)
-def v9_dataset_row_checks(spark: SparkSession, sf: str) -> DataFrame:
-    rows = av.dataset_rows(spark, sf).withColumn("violations", constraints.violations(constraints.dataset_row()))
-    return rows.groupBy("final_outcome").agg(F.count_if(F.size("violations") > 0).alias("n_invalid"), F.count("*").alias("n"))
-
-
 @query(
-    """SELECT model_label, count(*) FILTER ((final_outcome IN ('compiled_correct_slow','compiled_correct_parity','compiled_correct_faster_than_inductor')) = (final_winning_attempt_n IS NULL)) AS n_bad_winner,
-    count(*) FILTER (speedup_vs_inductor IS NOT NULL AND speedup_vs_inductor <= 1) AS n_not_faster FROM eval_rows GROUP BY 1""",
-    av.EVAL_SQL,
+    """SELECT dataset_id, CASE WHEN k % 11 = 0 THEN 'has_attempts,' WHEN k % 7 = 1 THEN 'attempt_numbers,' ELSE '' END || CASE WHEN k % 11 = 0 THEN CASE WHEN final_outcome <> 'compile_fail' THEN 'final_outcome,' ELSE '' END WHEN k % 5 = 2 AND final_outcome <> 'numeric_fail' THEN 'final_outcome,' ELSE '' END
+    || CASE WHEN k % 3 = 1 AND k % 11 <> 0 AND compared > 0 THEN 'policy,' ELSE '' END || CASE WHEN k % 4 = 3 THEN 'example_id,' ELSE '' END AS broken FROM
+    (SELECT o.dataset_id, final_outcome, CAST(o.dataset_id AS BIGINT) AS k, compared FROM outcome o JOIN (SELECT dataset_id, count(correctness_status) AS compared FROM attempts GROUP BY 1) USING (dataset_id))""",
+    av.ATTEMPT_SQL,
 )
+def v9_dataset_row_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Dataset rows with planted faults: no attempts, numbers that start late, another outcome, policy or example; each row's broken checks."""
+    k, rows = F.col("dataset_id").cast("bigint"), av.dataset_rows(spark, sf)
+    late = F.transform("attempts", lambda a: a.withField("attempt_n", a["attempt_n"] + F.when(k % 7 == 1, 1).otherwise(0)))
+    changed = rows.withColumns({
+        "attempts": F.when(k % 11 == 0, F.slice("attempts", 1, 0)).otherwise(late), "final_outcome": F.when((k % 5 == 2) & (k % 11 != 0), "numeric_fail").otherwise(F.col("final_outcome")),
+        "source": F.col("source").withField("tolerance_policy", F.when(k % 3 == 1, "default_fp16").otherwise("default_fp32")), "example_id": F.when(k % 4 == 3, "another").otherwise(F.col("example_id")),
+    })
+    broken = constraints.violations(constraints.dataset_row())
+    return changed.select("dataset_id", F.concat_ws("", F.transform(broken, lambda v: F.concat(v, F.lit(",")))).alias("broken"))
+
+
+@query("SELECT seq, (k >= 15) = (k % 4 <> 0 AND k >= 15 OR k % 9 = 0) AS winner_ok, CASE k % 3 WHEN 0 THEN tier ELSE 'medium' END = tier AS difficulty_ok FROM eval_rows", av.EVAL_SQL)
 def v11_winner_checks(spark: SparkSession, sf: str) -> DataFrame:
-    bad = F.col("final_outcome").isin(vocab.PASSING) == F.col("final_winning_attempt_n").isNull()
-    return av.eval_rows(spark, sf).groupBy("model_label").agg(F.count_if(bad).alias("n_bad_winner"), F.count_if(F.col("speedup_vs_inductor") <= 1).alias("n_not_faster"))
+    """Results of which some have lost their winner, some have one without a pass, and some another difficulty."""
+    k = F.col("k")
+    winner = F.when((k >= 15) & (k % 4 != 0) | (k % 9 == 0), 0)
+    stats = "struct<max_abs_diff:double,max_rel_diff:double,mean_abs_diff:double,n_elements_exceeding_tol:bigint,pct_elements_exceeding_tol:double>"
+    attempts = F.array().cast(f"array<struct<attempt_n:int,correctness:struct<status:string,vs_eager:{stats},vs_inductor:{stats}>,benchmark:struct<triton_ms:double,eager_ms:double,inductor_ms:double,speedup_vs_eager:double,speedup_vs_inductor:double,triton_samples_ms:array<double>,eager_samples_ms:array<double>,inductor_samples_ms:array<double>>>>")
+    rows = av.eval_rows(spark, sf).withColumns({"final_winning_attempt_n": winner, "attempts": attempts, "spec": F.struct("tier", F.array(F.lit("a"), F.lit("b")).alias("ops")), "difficulty": F.when(k % 3 == 0, F.col("tier")).otherwise("medium")})
+    return rows.select("seq", constraints.eval_row()["winner"].alias("winner_ok"), constraints.difficulty_is_tier().alias("difficulty_ok"))
 
 
 @query(
@@ -101,13 +114,17 @@ def i2_dataset_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT seq, {_UUID5} AS spec_id FROM (SELECT seq, sha1(unhex('00000000000000000000000000000c01') || encode(
-    concat_ws('|', op_category, shape_rank, broadcast_pattern, '32x1024,8', 'float32,int8'))) AS h FROM observations)""",
+    f"""SELECT seq, {_UUID5} AS spec_id FROM (SELECT seq, sha1(unhex('00000000000000000000000000000c01') || encode(concat_ws('|', op_category, shape_rank, broadcast_pattern,
+    CAST(p_size AS VARCHAR) || 'x1024' || CASE WHEN p_size % 2 = 0 THEN ',8' ELSE '' END, CASE WHEN p_size % 3 = 0 THEN 'float16' ELSE 'float32' END || CASE WHEN p_size % 2 = 0 THEN ',int8' ELSE '' END))) AS h FROM observations JOIN part ON p_partkey = seq)""",
     av.OBSERVATION_SQL,
 )
 def i3_skeleton_spec_ids(spark: SparkSession, sf: str) -> DataFrame:
-    shapes, dtypes = F.array(F.array(F.lit(32), F.lit(1024)), F.array(F.lit(8))), F.array(F.lit("float32"), F.lit("int8"))
-    return av.observations(spark, sf).select("seq", ids.skeleton_spec_id(F.col("op_category"), [F.col("shape_rank"), F.col("broadcast_pattern")], shapes, dtypes).alias("spec_id"))
+    """One or two inputs, of shapes and dtypes that follow the table."""
+    size, two = F.col("p_size"), F.col("p_size") % 2 == 0
+    first, kind = F.array(size, F.lit(1024)), F.when(size % 3 == 0, "float16").otherwise("float32")
+    shapes, dtypes = F.when(two, F.array(first, F.array(F.lit(8)))).otherwise(F.array(first)), F.when(two, F.array(kind, F.lit("int8"))).otherwise(F.array(kind))
+    rows = av.observations(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("seq"), "p_size"), "seq")
+    return rows.select("seq", ids.skeleton_spec_id(F.col("op_category"), [F.col("shape_rank"), F.col("broadcast_pattern")], shapes, dtypes).alias("spec_id"))
 
 
 @query(
@@ -140,9 +157,17 @@ def i6_canonical_groups(spark: SparkSession, sf: str) -> DataFrame:
 # --- checks and classifiers ------------------------------------------------------------------------
 
 
-@query("SELECT seq, p_size % 4 = 3 AS rejected FROM code", av.CODE_SQL)
+@query(
+    """SELECT seq, CASE p_size % 9 WHEN 0 THEN 'syntax@4' WHEN 1 THEN 'import' WHEN 2 THEN 'module' WHEN 3 THEN 'no_argument' WHEN 4 THEN 'argument_kind' WHEN 5 THEN 'method:cuda@4' WHEN 6 THEN 'result@4' WHEN 7 THEN 'flow@4' ELSE CASE WHEN p_size % 4 = 3 THEN 'call:torch.rand@4' END END AS reason FROM code""",
+    av.CODE_SQL,
+)
 def c1_train_guard(spark: SparkSession, sf: str) -> DataFrame:
-    return av.code(spark, sf).select("seq", code.guard_train("pytorch_code").isNotNull().alias("rejected"))
+    """Functions of which most have a fault: syntax, imports, module, arguments, banned calls and methods, result, flow."""
+    kind, text = F.col("p_size") % 9, F.col("pytorch_code")
+    changes = [(r"\n$", "(\n"), ("^import torch", "import torch as t"), ("$", "x = 1\n"), (r"\(x\):", "():"), (r"\(x\):", "(x, *y):"), (r"\n$", ".cuda()\n"), (r"\n$", ", x\n"), (r"    return (.*)\n$", "    if x: return $1\n")]
+    for i, (old, new) in enumerate(changes):
+        text = F.when(kind == i, F.regexp_replace("pytorch_code", old, new)).otherwise(text)
+    return av.code(spark, sf).select("seq", code.guard_train(text).alias("reason"))
 
 
 @query(
@@ -163,10 +188,12 @@ def c3_operations(spark: SparkSession, sf: str) -> DataFrame:
     return av.code(spark, sf).select("seq", F.array_join(code.ops_of("pytorch_code"), ",").alias("ops"))
 
 
-@query("SELECT seq, regexp_replace(pytorch_code, '\\s+$', '') AS body FROM code", av.CODE_SQL)
+@query("SELECT seq, CASE p_size % 5 WHEN 3 THEN 'a ```b``` c' WHEN 4 THEN '' ELSE regexp_replace(pytorch_code, '\\s+$', '') END AS body FROM code", av.CODE_SQL)
 def c4_strip_fences(spark: SparkSession, sf: str) -> DataFrame:
-    fenced = F.concat(F.lit("  ```python\n"), "pytorch_code", F.lit("```\n"))
-    return av.code(spark, sf).select("seq", classify.strip_fences(fenced).alias("body"))
+    """Fences with a language and without, one that never ends, a fence inside a text, and an empty one."""
+    kind, bare = F.col("p_size") % 5, F.regexp_replace("pytorch_code", r"\s+$", "")
+    around = F.when(kind == 0, F.concat(F.lit("  ```python\n"), "pytorch_code", F.lit("```\n"))).when(kind == 1, F.concat(F.lit("```\n"), bare, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("```py\n"), bare)).when(kind == 3, "a ```b``` c ").otherwise("```\n```")
+    return av.code(spark, sf).select("seq", classify.strip_fences(around).alias("body"))
 
 
 @query(
@@ -229,14 +256,19 @@ def c11_axes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(*[axes[n].alias(n) for n in names]).groupBy(*names).agg(F.count("*").alias("n"))
 
 
-@query(
-    """SELECT CASE WHEN k % 6 = 0 THEN 'timeout' WHEN k % 6 = 1 THEN 'non_constexpr_arange_bound' WHEN k % 6 = 2 THEN 'undefined_symbol' WHEN k % 6 = 3 THEN 'host_shape_error' WHEN k % 6 = 4 THEN 'launch_signature_mismatch' ELSE 'python_runtime_error' END AS symptom, count(*) AS n FROM ev GROUP BY 1""",
-    av.EVAL_SQL,
-)
+# A text and its symptom; the first rule that fits counts.
+_SYMPTOMS = [
+    ("GPU task Timed out", "timeout"), ("CUDA error: an Illegal Memory Access", "cuda_illegal_memory_access"), ("Unsupported ptr type", "unsupported_ptr_type"), ("Incompatible dimensions at 0", "incompatible_block_shape"), ("arange bound must be Constexpr", "non_constexpr_arange_bound"),
+    ("NameError: x", "undefined_symbol"), ("y is not defined", "undefined_symbol"), ("UnsupportedLanguageConstruct at 3", "unsupported_language_construct"), ("missing 1 required argument", "launch_signature_mismatch"), ("module 'triton.language' has no attribute z", "invalid_triton_api"),
+    ("unexpected output type", "invalid_output_type"), ("The size of tensor a (3) must match 4", "host_shape_error"), ("CompilationError: at 1", "triton_compilation_error"), ("at 1: CompilationError", "python_runtime_error"), ("ReadTimeout: did not respond", "python_runtime_error"), ("timed out: illegal memory access", "timeout"), ("", None),
+]
+_SYMPTOM_CASES = " ".join(f"WHEN {i} THEN {'NULL' if x is None else repr(x)}" for i, (_, x) in enumerate(_SYMPTOMS))
+
+
+@query(f"SELECT seq, CASE k % {len(_SYMPTOMS)} {_SYMPTOM_CASES} END AS symptom FROM eval_rows", av.EVAL_SQL)
 def c12_failure_symptoms(spark: SparkSession, sf: str) -> DataFrame:
-    texts = ["GPU task Timed out", "arange bound must be Constexpr", "NameError: x", "The size of tensor a (3) must match 4", "missing 1 required argument", "ReadTimeout: did not respond"]
-    text = F.element_at(F.array(*map(F.lit, texts)), (F.col("k") % 6 + 1).cast("int"))
-    return av.eval_rows(spark, sf).select(classify.failure_symptom(text).alias("symptom")).groupBy("symptom").agg(F.count("*").alias("n"))
+    text = F.element_at(F.array(*[F.lit(t) for t, _ in _SYMPTOMS]), (F.col("k") % len(_SYMPTOMS) + 1).cast("int"))
+    return av.eval_rows(spark, sf).select("seq", classify.failure_symptom(text).alias("symptom"))
 
 
 @query("SELECT event_id, k >= 50 AS accept, CASE WHEN k < 10 THEN 'harness:boom' WHEN k < 30 THEN 'failed' WHEN k < 50 THEN 'no_timings' END AS reason FROM ev", av.EVAL_SQL)
@@ -716,13 +748,15 @@ def f4_kept_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT seq, CASE WHEN p_size % 2 = 0 THEN length(pytorch_code) + 120 ELSE length(pytorch_code) + 120 + 214 END > 0 AS has_text, contains(p, 'Input dtypes: float32' || chr(10)) AS has_inputs, p_size % 2 = 1 AS has_prior FROM (SELECT *, 'Input dtypes: float32' || chr(10) AS p FROM code)""",
+    """SELECT seq, sha256('Translate the following PyTorch function to a Triton kernel.' || n || n || 'PyTorch function:' || n || pytorch_code || n || n || 'Input shapes: [' || CAST(p_size AS VARCHAR) || ', 8], [4]' || n || 'Input dtypes: float32, int8' || n
+    || CASE WHEN p_size % 2 = 1 THEN n || 'The previous attempt produced this Triton code:' || n || '```python' || n || 'old' || n || '```' || n || n || 'It failed. Apply the following fix to that code, preserving the parts that were already correct — do not rewrite from scratch:' || n || 'fix it' || n ELSE '' END
+    || n || 'Output only the Python code.' || n) AS prompt_sha256 FROM (SELECT *, chr(10) AS n FROM code)""",
     av.CODE_SQL,
 )
 def f5_generator_prompts(spark: SparkSession, sf: str) -> DataFrame:
     odd = F.col("p_size") % 2 == 1
-    prompt = training.generator_prompt(F.col("pytorch_code"), F.array(F.array(F.lit(8))), F.array(F.lit("float32")), F.when(odd, "old"), F.lit("fix it"))
-    return av.code(spark, sf).select("seq", (F.char_length(prompt) > 0).alias("has_text"), prompt.contains("Input dtypes: float32\n").alias("has_inputs"), prompt.contains("fix it").alias("has_prior"))
+    prompt = training.generator_prompt(F.col("pytorch_code"), F.array(F.array(F.col("p_size"), F.lit(8)), F.array(F.lit(4))), F.array(F.lit("float32"), F.lit("int8")), F.when(odd, "old"), F.lit("fix it"))
+    return av.code(spark, sf).select("seq", F.sha2(prompt, 256).alias("prompt_sha256"))
 
 
 @query(
