@@ -164,7 +164,7 @@ def i6_canonical_groups(spark: SparkSession, sf: str) -> DataFrame:
 def c1_train_guard(spark: SparkSession, sf: str) -> DataFrame:
     """Functions of which most have a fault: syntax, imports, module, arguments, banned calls and methods, result, flow."""
     kind, text = F.col("p_size") % 9, F.col("pytorch_code")
-    changes = [(r"\n$", "(\n"), ("^import torch", "import torch as t"), ("$", "x = 1\n"), (r"\(x\):", "():"), (r"\(x\):", "(x, *y):"), (r"\n$", ".cuda()\n"), (r"\n$", ", x\n"), (r"    return (.*)\n$", "    if x: return $1\n")]
+    changes = [(r"\n$", "(\n"), ("^import torch", "import torch as t"), (r"\n$", "\nx = 1\n"), (r"\(x\):", "():"), (r"\(x\):", "(x, *y):"), (r"\n$", ".cuda()\n"), (r"\n$", ", x\n"), (r"    return (.*)\n$", "    if x: return $1\n")]
     for i, (old, new) in enumerate(changes):
         text = F.when(kind == i, F.regexp_replace("pytorch_code", old, new)).otherwise(text)
     return av.code(spark, sf).select("seq", code.guard_train(text).alias("reason"))
