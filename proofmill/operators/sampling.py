@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofmill.functions import ids
-from proofmill.tables import few
+from proofmill.tables import bounded, few
 from proofmill.vocab import AXES, FORMS, OP_CATEGORY, QUOTAS, STOCK_SHAPES, form_dtypes
 
 
@@ -27,8 +27,13 @@ def distributions(observations: DataFrame, axes: dict[str, list[str]] = AXES) ->
     return full.select("op_category", "axis", "ord", "value", share.alias("share"))
 
 
+#: Categories that are ordered in one task at most.
+MOST_CATEGORIES = 1_000_000
+
+
 def scaled_quotas(quotas: DataFrame, total: int, category: str = "op_category", weight: str = "quota", order: str = "ord") -> DataFrame:
-    """``category, ord, n``: ``total`` in proportion to the weights, whole numbers by largest remainder, ties in declared order."""
+    """``category, ord, n``: ``total`` in proportion to the weights, whole numbers by largest remainder, ties in declared order; more than MOST_CATEGORIES are an error."""
+    quotas = bounded(quotas, MOST_CATEGORIES, "categories")
     every = Window.partitionBy()
     raw = F.col(weight) * total / F.sum(weight).over(every)
     parts = quotas.select(category, order, raw.alias("raw")).withColumn("n", F.floor("raw"))

@@ -12,7 +12,7 @@ from proofmill.functions import tails
 from proofmill.operators.records import last_per_key
 from proofmill.plans import describe as d
 from proofmill.plans.describe import average_ranks, passed, placed, wilson_difference
-from proofmill.tables import cut, few
+from proofmill.tables import bounded, cut, few
 from proofmill.vocab import TIER
 
 
@@ -115,8 +115,13 @@ def _mcnemar(sums: DataFrame) -> DataFrame:
     return rows.withColumns({"cohen_h": cohens_h(F.col("p_a"), F.col("p_b")), "delta_p": F.col("p_a") - F.col("p_b"), "delta_lo": low, "delta_hi": high})
 
 
+#: Tests that are ordered in one task at most.
+MOST_TESTS = 1_000_000
+
+
 def holm(rows: DataFrame, p: str = "p_value", order: str = "name", alpha: float = 0.05) -> DataFrame:
-    """H6: ``p_holm, holm_threshold, reject_holm`` over all rows with a p; few rows, one for each test."""
+    """H6: ``p_holm, holm_threshold, reject_holm`` over all rows with a p, one for each test; more than MOST_TESTS are an error."""
+    rows = bounded(rows, MOST_TESTS, "tests")
     tested = Window.partitionBy(F.col(p).isNull())
     rank = F.row_number().over(tested.orderBy(p, order))
     m = F.count("*").over(tested)

@@ -61,6 +61,15 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(out) if out.count() <= FEW else out
 
 
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """``df`` written once; an error if it has more than ``most`` rows, as what follows orders them in one task."""
+    out = cut(df)
+    n = out.count()
+    if n > most:
+        raise ValueError(f"{n} {what}, at most {most} can be ordered in one task")
+    return out
+
+
 class Scratch(list):
     """Tables that ``cut`` has written for one job, to be deleted together once its result is written."""
 

@@ -387,3 +387,13 @@ def test_cap_reports_what_it_left_out(spark):
     have = spark.createDataFrame([(f"h{i}", "x") for i in range(7)] + [("h0", "x")], "example_id string, op_category string")
     kept = records.cap(rows.where("op_category IS NOT NULL"), have, 20)
     assert {r["op_category"]: tuple(r)[1:] for r in records.cap_skipped(rows, kept).collect()} == {"x": (50, 13, 37), "y": (10, 10, 0), None: (10, 0, 10)}
+
+
+def test_what_is_ordered_in_one_task_is_bounded(spark, monkeypatch):
+    tests = spark.createDataFrame([(str(i), i / 10) for i in range(5)], "name string, p_value double")
+    monkeypatch.setattr(hypothesis, "MOST_TESTS", 4)
+    monkeypatch.setattr(sampling, "MOST_CATEGORIES", 4)
+    with pytest.raises(ValueError, match="5 tests"):
+        hypothesis.holm(tests)
+    with pytest.raises(ValueError, match="11 categories"):
+        sampling.scaled_quotas(sampling.quota_table(spark), 7)
