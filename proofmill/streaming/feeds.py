@@ -18,8 +18,6 @@ from proofmill.schemas import schema
 from proofmill.tables import shared_dir
 
 CORRUPT = "_corrupt_record"
-#: Batches whose list is broadcast at most.
-SMALL = 100_000
 
 
 def read_feed(spark: SparkSession, folder: str, ddl: str, files_per_batch: int = 100) -> DataFrame:
@@ -31,17 +29,20 @@ def read_feed(spark: SparkSession, folder: str, ddl: str, files_per_batch: int =
 def by_batch(root: str, parts: Callable[[DataFrame], dict[str, DataFrame]]) -> Callable[[DataFrame, int], None]:
     """A sink for ``foreachBatch``: each named part of a batch is written to ``<root>/<name>/batch=<id>``, then the batch is listed in ``<root>/committed``.
 
-    A batch that is run again after a failure has the same id and replaces what it had written, so
-    nothing is lost or repeated; ``committed`` reads whole batches only. The stream's checkpoint
+    A batch that is run again after a failure has the same id, is taken off the list and replaces
+    what it had written, so nothing is lost or repeated; ``committed`` reads whole batches only. The stream's checkpoint
     belongs to ``root``: with another one, ids would start anew.
     """
 
     def sink(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/committed/batch={n}")
+        mark.getFileSystem(spark._jsc.hadoopConfiguration()).delete(mark, True)
         batch.persist()
         try:
             for name, rows in parts(batch).items():
                 rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={n}")
-            batch.sparkSession.range(1).selectExpr("current_timestamp() AS at").write.mode("overwrite").parquet(f"{root}/committed/batch={n}")
+            spark.range(1).selectExpr("current_timestamp() AS at").write.mode("overwrite").parquet(f"{root}/committed/batch={n}")
         finally:
             batch.unpersist()
 
@@ -49,13 +50,14 @@ def by_batch(root: str, parts: Callable[[DataFrame], dict[str, DataFrame]]) -> C
 
 
 def committed(spark: SparkSession, root: str, name: str, kind: StructType) -> DataFrame:
-    """Rows of one part of all batches that were written whole, and their ``batch``. Batches without a commit are not read."""
+    """Rows of one part of all batches that were written whole, and their ``batch``. Batches are written in order, so those up to the last listed one count."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/committed")
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], StructType([*kind.fields, StructField("batch", LongType())]))
-    done = spark.read.parquet(f"{root}/committed").select(F.col("batch").cast("bigint").alias("batch")).distinct()
-    rows = spark.read.schema(StructType([*kind.fields, StructField("batch", LongType())])).option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
-    return rows.join(F.broadcast(done) if done.count() <= SMALL else done, "batch", "left_semi").select(*kind.names, "batch")
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    last = spark.read.schema("at timestamp, batch bigint").parquet(f"{root}/committed").agg(F.max("batch")).first()[0] if there else None
+    whole = StructType([*kind.fields, StructField("batch", LongType())])
+    if last is None:
+        return spark.createDataFrame([], whole)
+    return spark.read.schema(whole).option("basePath", f"{root}/{name}").parquet(f"{root}/{name}").where(F.col("batch") <= last).select(*kind.names, "batch")
 
 
 def routed(checks: dict[str, Column]) -> Callable[[DataFrame], dict[str, DataFrame]]:
@@ -194,7 +196,8 @@ def ended(stream: DataFrame, seconds: int = 600, watermark: str = "10 minutes",
 
     A timer in the stream's state ends silent jobs: in event time (column ``ts``) when the watermark
     passes their deadline, else when so many seconds have passed on the clock (such a query never
-    comes to rest, so it needs a processing-time trigger). Later signs of a job that is over are left
+    comes to rest, so it needs a processing-time trigger; after a restart its timers go on with the
+    first sign of any job). Later signs of a job that is over are left
     out for ``keep_seconds``. Queries over it are started by ``start_with_timers``.
     """
     rows = stream.select(key, "status", "ts")

@@ -96,7 +96,8 @@ def test_timers_end_silent_jobs_by_the_clock_and_hold_over_a_restart(spark, tmp_
         return {r["job_id"]: r["status"] for r in feeds.committed(spark, root, "jobs", out.schema).collect()}
 
     assert run(1)["quick"] == "done"
-    assert run(2) == {"quick": "done", "silent": "timeout"}  # no new sign arrives
+    _write(folder, "late.json", [{"job_id": "other", "status": "running", "ts": "2024-01-01T00:05:00"}])  # a sign of another job
+    assert run(3) == {"quick": "done", "silent": "timeout", "other": "timeout"}
 
 
 def test_an_idle_attempt_sequence_is_closed(spark, tmp_path):
