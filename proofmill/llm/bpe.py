@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from proofmill.llm.arrow import HELD, batched, with_fields
 SPLIT = re.compile(r"(?<!\s) (?!\s)")
 #: Entries of a generation of the caches of chunks and of matches; a worker keeps two generations of each, some 120 MB in all, until it works for another operator.
 CACHE = (200_000, 100_000)
+#: The same for matches of texts that are encoded together; they fill this cache instead of those two.
+TOGETHER = 300_000
 OWNER = "bpe"
 #: Matches and chunks longer than this are encoded each time, so the caches stay small.
 LONGEST = 64
@@ -119,7 +122,8 @@ class ByteBpe:
         self.model = self.tokenizer.model
         self.chunks = _Kept(self._chunk, CACHE[0])
         self.matches = _Kept(self._match, CACHE[1])
-        HELD.setdefault(OWNER, []).extend((self.chunks, self.matches))
+        self.together = _Kept(self._match, TOGETHER)
+        HELD.setdefault(OWNER, []).extend((self.chunks, self.matches, self.together))
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -152,6 +156,47 @@ class ByteBpe:
             first, *words = SPLIT.split(text)
             return self._matches(first) + b"".join([self._matches(" " + w) for w in words])
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts one after another, and where each text's begin (one more than texts); null counts as empty.
+
+        A word behind a space that comes again, in any of the texts, is split and looked up once. Texts that
+        need more care (white space beside a space, an added token) are encoded one by one.
+        """
+        if not len(texts):
+            return np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+        texts = pc.fill_null(texts, "")
+        split = pc.split_pattern(texts, " ")
+        at = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        words = split.flatten().dictionary_encode()
+        word, known = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        first = word[at[:-1]]
+        odd = np.logical_or.reduceat(np.array([not w or w[0].isspace() or w[-1].isspace() for w in known])[word], at[:-1])
+        for t in self.added:
+            odd |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        behind = np.repeat(~odd, np.diff(at))
+        behind[at[:-1]] = False
+        asked = np.zeros(len(known), dtype=bool)
+        asked[word[behind]] = True
+        alpha = np.array(list(map(str.isalpha, known)))
+        # runs of ids: a match each, several a word, then the first word of each text (or all of an odd one), at last an empty run
+        one, more = np.flatnonzero(asked & alpha), np.flatnonzero(asked & ~alpha)
+        found = self.pattern.findall("".join([" " + known[i] for i in more.tolist()]))
+        ids = list(map(self.together.__getitem__, [" " + known[i] for i in one.tolist()] + found))
+        for i, (o, k) in enumerate(zip(odd.tolist(), first.tolist(), strict=True)):
+            ids.append(self.encode(texts[i].as_py()) if o else b"".join(map(self.together.__getitem__, self.pattern.findall(known[k]))))
+        heads = len(one) + len(more) + np.arange(len(texts))
+        empty = len(one) + len(more) + len(texts)
+        run = np.concatenate([np.arange(len(one)), len(one) - 1 + np.cumsum([m[0] == " " for m in found], dtype=np.int64), heads])
+        sizes = np.bincount(run, np.array(list(map(len, ids))) // 4, empty + 1).astype(np.int64)
+        run_of = np.full(len(known), empty)
+        run_of[one], run_of[more] = np.arange(len(one)), len(one) + np.arange(len(more))
+        place = np.where(behind, run_of[word], empty)
+        place[at[:-1]] = heads
+        n = sizes[place]
+        ends = np.cumsum(n)
+        source = np.repeat((np.cumsum(sizes) - sizes)[place] - ends + n, n) + np.arange(ends[-1])
+        return np.frombuffer(b"".join(ids), dtype="<u4")[source], np.concatenate([[0], ends])[at]
+
     def decode(self, ids_le: bytes) -> bytes:
         """Bytes of packed ids; an id that the table lacks is an error."""
         return decoded(self.table, ids_le)

@@ -2,6 +2,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -72,3 +73,45 @@ def test_caches_turn_over_and_are_emptied_by_other_operators(monkeypatch):
     parts = list(arrow.slices([batch], 4, 50))
     assert not own.chunks and not own.matches and not own.matches.older
     assert sum(x.num_rows for x in parts) == 11 and max(x.num_rows for x in parts) <= 4 and parts[-1].num_rows == 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.sampled_from(TEXTS), st.text(st.one_of(st.sampled_from(" \n\t'sa1.é"), st.characters(exclude_categories=["Cs"])), max_size=40)), max_size=8), st.integers(0, 3), st.booleans())
+def test_texts_together_as_one_by_one(texts, skip, large):
+    own = bpe.load(JSON, P.PATTERN)
+    found, bounds = own.encode_all(pa.array(texts, pa.large_string() if large else pa.string())[skip:])
+    assert [found[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[skip:]]
+
+
+def test_a_word_of_many_texts_is_looked_up_once(spark):
+    from proofmill.llm import packing
+
+    class Counting(dict):
+        asked = 0
+
+        def __getitem__(self, text):
+            Counting.asked += 1
+            return self.kept[text]
+
+    own = bpe.load(JSON, P.PATTERN)
+    caches = {n: getattr(own, n) for n in ("chunks", "matches", "together") if hasattr(own, n)}
+    try:
+        for name, cache in caches.items():
+            counting = Counting()
+            counting.kept = cache
+            setattr(own, name, counting)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(["first word and, then more.\nWords"] * 500)], names=["doc_id", "text"])
+
+        class Docs:
+            def select(self, *columns):
+                return self
+
+            def mapInArrow(self, run, schema):
+                return list(run([batch]))
+
+        (out,) = packing.pieces(Docs(), JSON, P.PATTERN, 1024, 0)
+    finally:
+        for name, cache in caches.items():
+            setattr(own, name, cache)
+    n = len(Tokenizer.from_file(JSON).encode("first word and, then more.\nWords", add_special_tokens=False).ids) + 1
+    assert out.column("length").to_pylist() == [n] * 500 and Counting.asked < 500 + 20
