@@ -31,7 +31,7 @@ SPLIT = re.compile(r"(?<!\s) (?!\s)")
 #: Entries of a generation of the caches of chunks and of matches; a worker keeps two generations of each, some 120 MB in all, until it works for another operator.
 CACHE = (200_000, 100_000)
 #: The same for matches of texts that are encoded together; they fill this cache instead of those two.
-TOGETHER = 300_000
+TOGETHER = 200_000
 OWNER = "bpe"
 #: Matches and chunks longer than this are encoded each time, so the caches stay small.
 LONGEST = 64

@@ -23,8 +23,8 @@ from proofmill.tables import cut
 
 #: The sequence ids of a group start at its number times this.
 STRIDE = 1 << 32
-#: Rows that a worker takes at a time; the more there are, the fewer words it looks up again.
-ROWS = 4000
+#: Rows and bytes of text that a worker takes at a time; the more, the fewer words it looks up again and the more memory it needs.
+ROWS, SIZE = 1000, 2 << 20
 #: Names a row of the cut table: its partition and position.
 ROW = "_row"
 
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, length: int, end: int, key:
 
     def run(batches):
         bpe = load(path, pattern)
-        for batch in slices(batches, ROWS, owner=OWNER):
+        for batch in slices(batches, ROWS, SIZE, OWNER):
             out = [[] for _ in names]
             every, bounds = bpe.encode_all(batch.column(1))
             for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
