@@ -929,7 +929,7 @@ _STATISTIC = "CASE WHEN n10 + n01 < 25 THEN least(n10, n01) ELSE (abs(n10 - n01)
     _TESTED,
 )
 def h4_mcnemar(spark: SparkSession, sf: str) -> DataFrame:
-    out = h.mcnemar(h.pass_map(av.eval_rows(spark, sf)), h.default_contrasts(spark, av.LABELS))
+    out = h.mcnemar_of(h.pass_patterns(av.eval_rows(spark, sf), av.LABELS), av.LABELS, h.default_contrasts(spark, av.LABELS))
     return rounded(out.select("name", "n_common", "n11", "n10", "n01", "n00", "p_a", "p_b", "exact", "statistic", "p_value", "cohen_h", "delta_p"), "p_a", "p_b", "statistic", "p_value", "cohen_h", "delta_p")
 
 

@@ -151,6 +151,21 @@ def test_mcnemar_takes_the_exact_test_below_25(spark):
         assert math.isclose(r["p_value"], want, rel_tol=1e-9)
 
 
+def test_exact_mcnemar_is_not_run_on_many_discordant_examples(spark, monkeypatch):
+    def checked(k, n):
+        assert n < 25, "its time grows with the cube of n"
+        return tails.binomial_two_sided(int(k), int(n))
+
+    monkeypatch.setattr(tails, "binomial_p", tails._vector(checked))
+    a, b, c = 1, 2, 4
+    patterns = spark.createDataFrame([(a, a | b, 60000), (b, a | b, 60100), (a | b, a | b, 9), (a, a | c, 3), (c, a | c, 1)], "passed long, present long, n long")
+    got = {r["name"]: r for r in hypothesis.mcnemar_of(patterns, list("abc"), hypothesis.default_contrasts(spark, list("abc"))).collect()}
+    many, few = got["b vs a"], got["c vs a"]
+    assert (many["n_common"], many["n10"], many["n01"], many["exact"]) == (120109, 60000, 60100, False)
+    assert math.isclose(many["p_value"], tails.chi2_tail(99 * 99 / 120100, 1), rel_tol=1e-9)
+    assert (few["n10"], few["n01"], few["exact"], few["p_value"]) == (3, 1, True, 0.625)
+
+
 def test_degenerate_and_skipped_tests(spark):
     same = _labels(spark, [(1.0, 1.0, 1.0)] * 4)
     r = hypothesis.cochran_q(same, list("abc")).first()
