@@ -166,6 +166,25 @@ def test_exact_mcnemar_is_not_run_on_many_discordant_examples(spark, monkeypatch
     assert (few["n10"], few["n01"], few["exact"], few["p_value"]) == (3, 1, True, 0.625)
 
 
+def test_planned_contrasts_of_many_examples(spark, monkeypatch):
+    def checked(k, n):
+        assert n < 25, "its time grows with the cube of n"
+        return tails.binomial_two_sided(int(k), int(n))
+
+    monkeypatch.setattr(tails, "binomial_p", tails._vector(checked))
+    a, b, c, d = 1, 2, 4, 8
+    discordant = {"b vs a": (b, 69120, 66600), "c vs a": (c, 74520, 66960), "d vs a": (d, 9, 2)}
+    counts = [(one, a | bit, n) for bit, n10, n01 in discordant.values() for one, n in ((a, n10), (bit, n01), (a | bit, 1000))]
+    patterns = spark.createDataFrame(counts, "passed long, present long, n long")
+    got = {r["name"]: r for r in hypothesis.contrasts_of(patterns, list("abcd"), hypothesis.default_contrasts(spark, [*"abcd", "x"])).collect()}
+    chi2 = lambda n10, n01: tails.chi2_tail((n10 - n01 - 1) ** 2 / (n10 + n01), 1)
+    want = {"c vs a": chi2(74520, 66960), "b vs a": chi2(69120, 66600), "d vs a": tails.binomial_two_sided(2, 11)}
+    for i, (name, p) in enumerate(want.items()):  # both chi-squared tails lie below what one minus a sum can tell from zero
+        assert math.isclose(got[name]["p_value"], p, rel_tol=1e-9) and math.isclose(got[name]["holm_threshold"], 0.05 / (3 - i))
+        assert math.isclose(got[name]["p_holm"], (3 - i) * p, rel_tol=1e-9) and got[name]["exact"] == (name == "d vs a")
+    assert got["x vs a"]["missing"] and got["x vs a"]["p_value"] is None
+
+
 def test_degenerate_and_skipped_tests(spark):
     same = _labels(spark, [(1.0, 1.0, 1.0)] * 4)
     r = hypothesis.cochran_q(same, list("abc")).first()
